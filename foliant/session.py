@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -53,3 +56,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that pandas functions can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    staging = pathlib.Path(tempfile.mkdtemp(prefix="spark-"))
+    shutil.copytree(package, staging / "src" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    archive = shutil.make_archive(str(staging / package.name), "zip", staging / "src")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
