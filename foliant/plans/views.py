@@ -169,7 +169,8 @@ SELECT user_id AS id,
 FROM @events
 """
 
-_TABLE = re.compile(r"@(\w+)")
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+_TABLE = re.compile(rf"@({'|'.join(TABLES.split())})\b")
 _VIEW = re.compile(r"\b(\w+_v)\b")
 
 
