@@ -191,6 +191,12 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
+def one_page_per_url(metadata: DataFrame) -> DataFrame:
+    """The metadata of the first page of each address."""
+    row = F.struct(*metadata.columns)
+    return metadata.groupBy("url").agg(F.min_by(row, "page_id").alias("m")).select("m.*")
+
+
 def url_kind(url: Column, content_type: Column) -> Column:
     """``pdf`` by the recorded content type or the ending of the address, else ``landing_page``."""
     is_pdf = F.coalesce(content_type.startswith("application/pdf"), F.lit(False)) | F.lower(url).endswith(".pdf")

@@ -1,6 +1,6 @@
 """Registered queries and their oracle SQL, one module per area."""
 
-from foliant.plans import identifiers, listing, pages, paths, search, stats, tree  # noqa: F401
+from foliant.plans import identifiers, listing, pages, paths, resolve, search, stats, tree  # noqa: F401
 from foliant.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
