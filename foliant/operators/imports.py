@@ -151,7 +151,8 @@ def import_urls(
     direct = direct.withColumn("duplicate", F.col("duplicate") & F.col("ok"))
 
     landing = rows.where(kind == "landing_page")
-    found = web.verify_pdf_urls(web.one_page_per_url(web.page_metadata(pages)), crawl_log)
+    asked = web.pages_at(pages, landing.select(F.col("item").alias("url")))
+    found = web.verify_pdf_urls(web.one_page_per_url(web.page_metadata(asked)), crawl_log)
     landing = landing.join(found.drop("page_id").withColumnRenamed("url", "item"), "item", "left")
     landing = resolve.page_import_outcomes(landing, papers, articles, oa_records)
     columns = ["seq", "item", "ok", "reason", "duplicate", "meta", "open_access"]

@@ -24,7 +24,7 @@ LONG_WORD = 40
 ANALYSERS = ("simple", "en_stem")
 
 _POSTINGS = "bucket INT, term STRING, field STRING, id BIGINT, tf BIGINT, dl INT, positions ARRAY<INT>"
-_TERMS = "term STRING, field STRING, df BIGINT"
+_TERMS = "bucket INT, term STRING, field STRING, df BIGINT"
 _STATS = "field STRING, n_docs BIGINT, total BIGINT, avgdl DOUBLE"
 _DOCS = "id BIGINT, title STRING, year INT, date_modified STRING"
 
@@ -98,7 +98,7 @@ def postings_of(docs: DataFrame, buckets: int, analyser: str = "simple") -> Data
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term", "field").agg(F.count("*").alias("df"))
+    return postings.groupBy("bucket", "term", "field").agg(F.count("*").alias("df"))
 
 
 def field_statistics(postings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -126,9 +126,9 @@ def write_index(docs: DataFrame, path: str, buckets: int = 64, analyser: str = "
     write_postings(postings_of(docs, buckets, analyser), f"{path}/postings")
     docs.select("id", "title", "year", "date_modified").write.parquet(f"{path}/docs")
     postings = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
-    document_frequencies(postings).repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.parquet(
-        f"{path}/terms"
-    )
+    # One row per word and field, grouped by bucket like the postings: no word can make a bucket heavy here.
+    terms = document_frequencies(postings).repartition("bucket").sortWithinPartitions("bucket", "term", "field")
+    terms.write.partitionBy("bucket").parquet(f"{path}/terms")
     stored = spark.read.schema(_DOCS).parquet(f"{path}/docs")
     field_statistics(postings, stored).coalesce(1).write.parquet(f"{path}/stats")  # at most one row per field
     return read_index(spark, path, buckets, analyser)

@@ -54,11 +54,15 @@ def glob_regex(pattern: str) -> str:
     return "^" + ".*".join(re.escape(part) for part in pattern.lower().split("*")) + "$"
 
 
-def _postings_for(index: Index, terms: list[str], fields: tuple[str, ...], columns: list[str]) -> DataFrame:
-    """Postings of literal terms: the bucket prunes folders, the term prunes row groups."""
-    buckets = [term_bucket(F.lit(t), index.buckets) for t in terms]
+def _of_terms(index: Index, table: DataFrame, terms: list[str]) -> DataFrame:
+    """Rows of literal terms: the bucket prunes folders, the term prunes row groups."""
+    buckets = [term_bucket(F.lit(t), index.buckets) for t in sorted(set(terms))]
     in_bucket = reduce(lambda a, b: a | b, [F.col("bucket") == b for b in buckets])
-    rows = index.postings.where(in_bucket & F.col("term").isin(terms))
+    return table.where(in_bucket & F.col("term").isin(sorted(set(terms))))
+
+
+def _postings_for(index: Index, terms: list[str], fields: tuple[str, ...], columns: list[str]) -> DataFrame:
+    rows = _of_terms(index, index.postings, terms)
     if set(fields) != set(FIELDS):
         rows = rows.where(F.col("field").isin(list(fields)))
     return rows.select(*columns)
@@ -66,7 +70,7 @@ def _postings_for(index: Index, terms: list[str], fields: tuple[str, ...], colum
 
 def _with_weights(index: Index, rows: DataFrame, terms: list[str]) -> DataFrame:
     """Add idf and average length. Both sides are bounded: query terms times five fields, and five fields."""
-    df = index.terms.where(F.col("term").isin(terms)).select("term", "field", "df")
+    df = _of_terms(index, index.terms, terms).select("term", "field", "df")
     weights = df.join(F.broadcast(index.stats), "field").select(
         "term", "field", bm25.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl"
     )
@@ -117,7 +121,7 @@ def phrase_matches(index: Index, terms: list[str], fields: tuple[str, ...] = FIE
 
 def _phrase_hits(index: Index, clause: int, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
     """A phrase scores like one word whose weight is the sum of its words' weights."""
-    df = index.terms.where(F.col("term").isin(terms))
+    df = _of_terms(index, index.terms, terms)
     times = F.create_map(*[x for t in sorted(set(terms)) for x in (F.lit(t), F.lit(terms.count(t)))])
     weights = (
         df.join(F.broadcast(index.stats), "field")
@@ -135,7 +139,7 @@ def glob_matches(index: Index, pattern: str, fields: tuple[str, ...] = FIELDS) -
     lead = pattern.lower().split("*")[0]
     if lead:
         terms = terms.where(F.col("term").startswith(lead))
-    found = terms.select(term_bucket(F.col("term"), index.buckets).alias("bucket"), "term", "field")
+    found = terms.select("bucket", "term", "field")
     rows = index.postings.select("bucket", "term", "field", "id")
     return rows.join(found, ["bucket", "term", "field"], "left_semi").select("field", "id").distinct()
 

@@ -6,7 +6,7 @@ lineage, and stops on cycles because a pair that was reached before is not follo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from foliant.session import scratch_path
@@ -23,8 +23,9 @@ def _walk(start: DataFrame, step, key: list[str]) -> DataFrame:
         frontier = spark.read.schema(schema).parquet(f"{path}/level={level}")
         seen = spark.read.schema(schema).parquet(*[f"{path}/level={i}" for i in range(level + 1)])
         fresh = step(frontier).select(*schema.names).join(seen.select(*key), key, "left_anti").dropDuplicates(key)
-        fresh.write.parquet(f"{path}/level={level + 1}")
-        if spark.read.schema(schema).parquet(f"{path}/level={level + 1}").isEmpty():
+        found = Observation()
+        fresh.observe(found, F.count("*").alias("n")).write.parquet(f"{path}/level={level + 1}")
+        if found.get["n"] == 0:
             return seen
         level += 1
 

@@ -89,7 +89,7 @@ def doc_lengths(spark, sf_dir):
 
 @query("doc_frequency", _TOKENS + "SELECT term, field, count(DISTINCT id) AS df FROM tok GROUP BY term, field")
 def doc_frequency(spark, sf_dir):
-    return library_index(spark, sf_dir).terms
+    return library_index(spark, sf_dir).terms.select("term", "field", "df")
 
 
 @query("avg_field_length", _TOKENS + """
@@ -244,7 +244,7 @@ def _toxic(spark, sf_dir):
 
 @query("delete_from_index", _KEPT + "SELECT term, field, count(DISTINCT id) AS df FROM kept GROUP BY term, field")
 def delete_from_index(spark, sf_dir):
-    return ix.delete_documents(library_index(spark, sf_dir), _toxic(spark, sf_dir)).terms
+    return ix.delete_documents(library_index(spark, sf_dir), _toxic(spark, sf_dir)).terms.select("term", "field", "df")
 
 
 @query("index_doc_count", "SELECT count(*) AS indexed FROM papers_v")
