@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +32,14 @@ def extracted(c: Column, pattern: str, group: int = 1) -> Column:
 
 def no_strings() -> Column:
     return F.array().cast("array<string>")
+
+
+def spread_out(df: DataFrame, array: Column, name: str, pos: str | None = None) -> DataFrame:
+    """One row per element of a computed array; rows without elements give none.
+
+    A plain ``explode`` makes the optimiser add a test of the array's size below it, which computes the array twice.
+    The outer form followed by a filter computes it once.
+    """
+    if pos is None:
+        return df.select("*", F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+    return df.select("*", F.posexplode_outer(array).alias(pos, name)).where(F.col(pos).isNotNull())

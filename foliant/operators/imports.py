@@ -11,6 +11,7 @@ from foliant.operators import pages as web
 from foliant.operators import resolve
 from foliant.operators.dedupe import known, lookup, mark_repeats, skip_processed
 from foliant.operators.titles import fuzzy_title_match
+from foliant.session import written
 
 OUTCOME = ["seq", "item", "outcome", "reason", *resolve.META_TYPES, "open_access"]
 
@@ -26,6 +27,7 @@ def _finish(rows: DataFrame) -> DataFrame:
 
     Of several new items with one DOI the first is imported, the others count as duplicates.
     """
+    rows = written(rows.select("seq", "item", "ok", "reason", "duplicate", "meta", "open_access"), "resolved")
     fresh = F.col("ok") & ~F.col("duplicate")
     rows = rows.withColumn("_doi", F.when(fresh, filled(F.col("meta.doi"))))
     rows = mark_repeats(rows, "_doi", "seq", "_again")
@@ -51,15 +53,17 @@ def _documents_meta(
     rows: DataFrame, papers: DataFrame, articles: DataFrame, books_a: DataFrame, books_b: DataFrame, match_titles: bool
 ) -> DataFrame:
     """``doi``, ``duplicate`` and ``meta`` of rows with text columns and ``seq``."""
-    rows = rows.withColumns(
-        {
-            "doi": ids.tiered_doi(F.col("page_texts"), F.col("xmp_subject"), F.col("xmp_keywords")),
-            "isbn": ids.tiered_isbn(F.col("page_texts")),
-        }
-    )
+    found = {
+        "doi": ids.tiered_doi(F.col("page_texts"), F.col("xmp_subject"), F.col("xmp_keywords")),
+        "isbn": ids.tiered_isbn(F.col("page_texts")),
+        "title": ids.candidate_title(ids.first_page(F.col("page_texts"))) if match_titles else F.lit(None).cast("string"),
+    }
+    kept = [c for c in rows.columns if c not in ("page_texts", "xmp_subject", "xmp_keywords")]
+    # The texts are read once; what follows works on what was found in them.
+    rows = written(rows.withColumns(found).select(*kept, *found), "found")
     library = known(papers, "doi", "_known")
-    rows = lookup(rows, library, "doi", "seq")
     matches = title_matches(rows, articles) if match_titles else None
+    rows = lookup(rows, library, "doi", "seq")
     rows = resolve.resolve_metadata(rows, articles, books_a, books_b, "seq", matches)
     # A title match may name a DOI the text did not hold; that one is tested as well.
     rows = rows.withColumn("_meta_doi", filled(F.col("meta.doi")))
@@ -70,7 +74,7 @@ def _documents_meta(
 
 def title_matches(rows: DataFrame, articles: DataFrame) -> DataFrame:
     """(seq, record_doi, record) for documents whose candidate title is found among the article records."""
-    titled = rows.select("seq", ids.candidate_title(ids.first_page(F.col("page_texts"))).alias("title"))
+    titled = rows.select("seq", "title")
     record_title = F.get_json_object("record", "$.message.title[0]")
     found = fuzzy_title_match(titled, articles.select("doi", record_title.alias("title")))
     hits = titled.join(found.select("title", F.col("doi").alias("record_doi")), "title")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.stem import stem, stem_all, stem_word
-from foliant.functions.text import or_empty
+from foliant.functions.text import or_empty, spread_out
 from foliant.session import ship_package
 
 FIELDS = ("title", "abstract", "authors", "keywords", "fulltext")
@@ -69,10 +69,9 @@ def _field_words(docs: DataFrame, analyser: str) -> DataFrame:
     if analyser == "en_stem":
         ship_package(docs.sparkSession)
         rows = rows.withColumn("raw", F.col("words")).withColumn("words", stem_all("words"))
-        return rows.select("id", "field", "dl", F.posexplode(F.arrays_zip("raw", "words")).alias("pos", "w")).select(
-            "id", "field", "dl", "pos", F.col("w.words").alias("term"), F.col("w.raw").alias("raw")
-        )
-    exploded = rows.select("id", "field", "dl", F.posexplode("words").alias("pos", "term"))
+        both = spread_out(rows.select("id", "field", "dl", F.arrays_zip("raw", "words").alias("both")), F.col("both"), "w", "pos")
+        return both.select("id", "field", "dl", "pos", F.col("w.words").alias("term"), F.col("w.raw").alias("raw"))
+    exploded = spread_out(rows, F.col("words"), "term", "pos").select("id", "field", "dl", "pos", "term")
     return exploded.withColumn("raw", F.col("term"))
 
 

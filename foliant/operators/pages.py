@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import html, ids
-from foliant.functions.text import extracted, filled, first_filled, no_strings, or_empty
+from foliant.functions.text import extracted, filled, first_filled, no_strings, or_empty, spread_out
 
 # Words of a sign-in address, and the linked-data types that describe a work.
 SIGN_IN_WORDS = ["login", "sso", "auth", "signin", "access"]
@@ -24,12 +24,12 @@ def with_tags(pages: DataFrame) -> DataFrame:
 
 def meta_tags(pages: DataFrame) -> DataFrame:
     """One row per named meta tag: (page_id, pos, kind, key, content)."""
-    rows = with_tags(pages).select("page_id", F.posexplode("tags").alias("pos", "t"))
+    rows = spread_out(with_tags(pages).select("page_id", "tags"), F.col("tags"), "t", "pos")
     both = F.array(
         F.struct(F.lit("name").alias("kind"), F.col("t.name").alias("key")),
         F.struct(F.lit("property").alias("kind"), F.col("t.property").alias("key")),
     )
-    named = rows.select("page_id", "pos", F.explode(F.filter(both, lambda k: k["key"].isNotNull())).alias("k"), "t")
+    named = spread_out(rows, F.filter(both, lambda k: k["key"].isNotNull()), "k")
     return named.select("page_id", "pos", "k.kind", "k.key", F.col("t.content").alias("content"))
 
 
