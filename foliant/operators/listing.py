@@ -60,7 +60,7 @@ def by_subtree(papers: DataFrame, collections: DataFrame, collection_id: int) ->
     below = subtree(collections, collection_id)
     few = [r.id for r in below.limit(LITERAL_IDS + 1).collect()]
     if len(few) <= LITERAL_IDS:
-        return papers.where(F.arrays_overlap("collection_ids", F.lit(few).cast("array<bigint>")))
+        return papers.where(F.exists("collection_ids", lambda c: c.isin(few)))
     member = papers.select("id", F.explode("collection_ids").alias("_c"))
     inside = member.join(below.withColumnRenamed("id", "_c"), "_c", "left_semi").select("id")
     return papers.join(inside, "id", "left_semi")
