@@ -1,10 +1,17 @@
-"""Existence tests and deduplication. Rows without a key never match anything and are never merged."""
+"""Existence tests and deduplication. Rows without a key never match anything and are never merged.
+
+A key may be very common on the side of the rows (one DOI printed in a third of all documents). The other side of
+these joins is a stored table with one row per key, read right before the join: then adaptive execution can split the
+rows of a common key over many tasks. An aggregate directly below the join would prevent that.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.session import written
+
 
 def _spread(key: str, row_id: str) -> Column:
     """Join key that gives each row without a value a key of its own, so that they do not all meet in one task."""
@@ -24,8 +31,8 @@ def without(rows: DataFrame, table: DataFrame, key: str, row_id: str) -> DataFra
 
 
 def known(table: DataFrame, key: str, flag: str) -> DataFrame:
-    """The distinct keys of a table with a flag, for ``lookup``."""
-    return table.where(F.col(key).isNotNull()).select(key).distinct().withColumn(flag, F.lit(True))
+    """The keys of a table, which are unique in it, with a flag for ``lookup``."""
+    return table.where(F.col(key).isNotNull()).select(key, F.lit(True).alias(flag))
 
 
 def new_by_doi(items: DataFrame, papers: DataFrame, row_id: str = "seq", fold_case: bool = False) -> DataFrame:
@@ -41,8 +48,12 @@ def new_by_path(items: DataFrame, papers: DataFrame, row_id: str = "seq") -> Dat
 
 
 def mark_repeats(items: DataFrame, key: str = "doi", order: str = "seq", flag: str = "repeat") -> DataFrame:
-    """Flag every row after the first with the same key. Firsts are found by a pre-aggregated minimum."""
-    firsts = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
+    """Flag every row after the first with the same key.
+
+    Firsts are found by a pre-aggregated minimum, and only keys that do repeat are joined back.
+    """
+    counted = items.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
+    firsts = written(counted.where(F.col("_n") > 1).drop("_n"), "repeated")
     rows = lookup(items, firsts, key, order)
     return rows.withColumn(flag, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_first")
 

@@ -10,6 +10,9 @@ from foliant.functions.text import filled, or_empty, strip_ws
 from foliant.operators import pages as web
 from foliant.operators import resolve
 from foliant.operators.dedupe import known, lookup, mark_repeats, skip_processed
+from foliant.functions.naming import base_name
+from foliant.operators.paths import collision_suffix, plan_destinations
+from foliant.operators.updates import insert_papers
 from foliant.operators.titles import fuzzy_title_match
 from foliant.session import written
 
@@ -78,7 +81,7 @@ def title_matches(rows: DataFrame, articles: DataFrame) -> DataFrame:
     record_title = F.get_json_object("record", "$.message.title[0]")
     found = fuzzy_title_match(titled, articles.select("doi", record_title.alias("title")))
     hits = titled.join(found.select("title", F.col("doi").alias("record_doi")), "title")
-    records = articles.groupBy(F.col("doi").alias("record_doi")).agg(F.min("record").alias("record"))
+    records = articles.select(F.col("doi").alias("record_doi"), "record")
     return hits.join(records, "record_doi").select("seq", "record_doi", "record")
 
 
@@ -143,8 +146,9 @@ def import_urls(
 ) -> DataFrame:
     """Addresses: direct documents go the document way, landing pages go by their page metadata."""
     rows = first_of_each(queue, processed)
-    answers = web.one_answer(crawl_log).withColumnRenamed("url", "item").withColumnRenamed("status", "_status")
-    rows = rows.join(answers.select("item", "_status", "content_type"), "item", "left")
+    answers = web.one_answer(crawl_log)
+    here = answers.select(F.col("url").alias("item"), F.col("status").alias("_status"), "content_type")
+    rows = rows.join(here, "item", "left")
     kind = web.url_kind(F.col("item"), F.col("content_type"))
 
     direct = rows.where(kind == "pdf").join(fulltext, "item", "left")
@@ -156,7 +160,7 @@ def import_urls(
 
     landing = rows.where(kind == "landing_page")
     asked = web.pages_at(pages, landing.select(F.col("item").alias("url")))
-    found = web.verify_pdf_urls(web.one_page_per_url(web.page_metadata(asked)), crawl_log)
+    found = web.verify_pdf_urls(web.one_page_per_url(web.page_metadata(asked)), answers, "url")
     landing = landing.join(found.drop("page_id").withColumnRenamed("url", "item"), "item", "left")
     landing = resolve.page_import_outcomes(landing, papers, articles, oa_records)
     columns = ["seq", "item", "ok", "reason", "duplicate", "meta", "open_access"]
@@ -171,6 +175,16 @@ def _download_reason(status: Column, content_type: Column) -> Column:
     )
 
 
+def stored(outcomes: DataFrame, papers: DataFrame, root: str, now: str) -> DataFrame:
+    """The next paper snapshot: imported items under free paths below ``root``, with new ids in queue order."""
+    rows = accepted(outcomes).withColumn("file_name", base_name(F.col("item")))
+    planned = written(plan_destinations(rows, root), "planned")
+    taken = papers.select(F.col("file_path").alias("path"))
+    paths = collision_suffix(planned.select("seq", "dest"), taken).select("seq", F.col("path").alias("file_path"))
+    placed = planned.drop("dest", "file_name", "file_path").join(paths, "seq").withColumn("date_added", F.lit(now))
+    return insert_papers(papers, placed, now)
+
+
 def accepted(outcomes: DataFrame) -> DataFrame:
     """Paper rows of the items that were imported, without id and path."""
     rows = outcomes.where(F.col("outcome").isin("succeeded", "needs_review"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import html, ids
 from foliant.functions.text import extracted, filled, first_filled, no_strings, or_empty, spread_out
+from foliant.operators.dedupe import lookup
+from foliant.session import written
 
 # Words of a sign-in address, and the linked-data types that describe a work.
 SIGN_IN_WORDS = ["login", "sso", "auth", "signin", "access"]
@@ -232,23 +234,24 @@ def document_url_ok(status: Column, location: Column, content_type: Column) -> C
 
 
 def one_answer(crawl_log: DataFrame) -> DataFrame:
-    """One recorded answer per address."""
+    """A stored table with one recorded answer per address."""
     answer = F.struct("status", "location", "content_type")
     rows = crawl_log.groupBy("url").agg(F.min(answer).alias("a"))
-    return rows.select("url", "a.status", "a.location", "a.content_type")
+    return written(rows.select("url", "a.status", "a.location", "a.content_type"), "answers")
 
 
-def classify_urls(urls: DataFrame, crawl_log: DataFrame) -> DataFrame:
-    known = one_answer(crawl_log).select("url", "content_type")
+def classify_urls(urls: DataFrame, answers: DataFrame) -> DataFrame:
+    """Add ``kind`` to addresses. ``answers`` has one row per address, as from ``one_answer``."""
+    known = answers.select("url", "content_type")
     rows = urls.join(known, "url", "left")
     return rows.withColumn("kind", url_kind(F.col("url"), F.col("content_type"))).drop("content_type")
 
 
-def verify_pdf_urls(metadata: DataFrame, crawl_log: DataFrame) -> DataFrame:
+def verify_pdf_urls(metadata: DataFrame, answers: DataFrame, row_id: str = "page_id") -> DataFrame:
     """Drop document addresses that the recorded answers do not confirm; open access goes with them."""
-    answers = one_answer(crawl_log).withColumnRenamed("url", "pdf_url")
+    answers = answers.withColumnRenamed("url", "pdf_url")
     ok = document_url_ok(F.col("status"), F.col("location"), F.col("content_type"))
-    rows = metadata.join(answers, "pdf_url", "left")
+    rows = lookup(metadata, answers, "pdf_url", row_id)  # most pages name no document
     kept = F.when(ok, F.col("pdf_url"))
     access = F.when(F.col("pdf_url").isNotNull() & ~ok, F.lit(False)).otherwise(F.col("open_access"))
     return rows.withColumns({"pdf_url": kept, "open_access": access}).select(*metadata.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import ids
 from foliant.functions.text import filled, first_filled, no_strings, or_empty
 from foliant.operators.dedupe import known, lookup
+from foliant.session import written
 
 META_TYPES = {
     "doi": "string", "title": "string", "authors": "array<string>", "journal": "string", "year": "int",
@@ -150,9 +151,13 @@ def _book_meta_b(isbn: Column, item: Column) -> Column:
     )
 
 
-def _one_per_key(records: DataFrame, key: str, name: str) -> DataFrame:
-    """One record per key, the smallest when a dump repeats a key."""
-    return records.groupBy(key).agg(F.min("record").alias(name))
+def unique_records(records: DataFrame, key: str) -> DataFrame:
+    """A stored table with one record per key, the smallest when a dump repeats a key. The lookups below expect that."""
+    return written(records.groupBy(key).agg(F.min("record").alias("record")), "records")
+
+
+def _by_key(records: DataFrame, key: str, name: str) -> DataFrame:
+    return records.select(key, F.col("record").alias(name))
 
 
 def parse_article_records(records: DataFrame) -> DataFrame:
@@ -160,8 +165,11 @@ def parse_article_records(records: DataFrame) -> DataFrame:
 
 
 def resolve_by_doi(items: DataFrame, articles: DataFrame, row_id: str = "seq", name: str = "article") -> DataFrame:
-    """Add the metadata struct of the article record with the item's DOI. Only joined records are parsed."""
-    rows = lookup(items, _one_per_key(articles, "doi", "_record"), "doi", row_id)
+    """Add the metadata struct of the article record with the item's DOI. Only joined records are parsed.
+
+    ``articles`` has one record per DOI (see ``unique_records``); so have the other record tables here.
+    """
+    rows = lookup(items, _by_key(articles, "doi", "_record"), "doi", row_id)
     return with_article(rows, "_record", name).drop("_record")
 
 
@@ -169,8 +177,8 @@ def resolve_by_isbn(
     items: DataFrame, books_a: DataFrame, books_b: DataFrame, row_id: str = "seq", name: str = "book"
 ) -> DataFrame:
     """Add the metadata struct of the item's ISBN: the first book source, else the second."""
-    rows = lookup(items, _one_per_key(books_a, "isbn", "_a"), "isbn", row_id)
-    rows = lookup(rows, _one_per_key(books_b, "isbn", "_b"), "isbn", row_id)
+    rows = lookup(items, _by_key(books_a, "isbn", "_a"), "isbn", row_id)
+    rows = lookup(rows, _by_key(books_b, "isbn", "_b"), "isbn", row_id)
     item_b = F.get(F.from_json(F.col("_b"), _BOOK_B)["items"], F.lit(0))
     rows = rows.withColumns({"_a": F.try_parse_json(F.col("_a")), "_b": item_b})
     both = F.coalesce(_book_meta_a(F.col("isbn"), F.col("_a")), _book_meta_b(F.col("isbn"), F.col("_b")))
@@ -215,7 +223,7 @@ def resolve_metadata(
 
 def best_oa_location(oa_records: DataFrame) -> DataFrame:
     """Best open document address per DOI, or the reason there is none."""
-    record = _one_per_key(oa_records, "doi", "record")
+    record = _by_key(oa_records, "doi", "record")
     place = lambda name: F.get_json_object("record", f"$.best_oa_location.{name}")
     url = first_filled(place("url_for_pdf"), place("url"))
     return record.select("doi", url.alias("oa_url"), F.when(url.isNull(), F.lit("no_oa_pdf")).alias("reason"))

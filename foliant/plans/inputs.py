@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.operators.resolve import unique_records
 from foliant.plans.views import view
 from foliant.sources.schema import PAPER_COLUMNS
 
@@ -18,6 +19,11 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "collections_v")
 
 
+def books(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Both book sources, one record per ISBN (short ISBNs repeat in the first source of a large library)."""
+    return [unique_records(view(spark, sf_dir, "book_records_a_v"), "isbn"), view(spark, sf_dir, "book_records_b_v")]
+
+
 def flat(papers_like: DataFrame) -> DataFrame:
     """Lists joined to text, so that results compare as scalars."""
     lists = {c: F.array_join(F.col(c), ";") for c in ("authors", "keywords", "tags") if c in papers_like.columns}

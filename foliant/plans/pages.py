@@ -154,7 +154,7 @@ FROM @pages p JOIN (SELECT DISTINCT ON (url) url, content_type FROM crawl_log_v
 """)
 def classify_url(spark, sf_dir):
     urls = table(spark, sf_dir, "pages").select("page_id", "url")
-    return op.classify_urls(urls, view(spark, sf_dir, "crawl_log_v"))
+    return op.classify_urls(urls, op.one_answer(view(spark, sf_dir, "crawl_log_v")))
 
 
 ANSWER_OK = """CASE WHEN {s} IS NULL THEN FALSE
@@ -176,5 +176,5 @@ FROM (SELECT meta.*, {ANSWER_OK.format(s='a.status', l='a.location', t='a.conten
 """)
 def verified_page_metadata(spark, sf_dir):
     found = op.page_metadata(view(spark, sf_dir, "pages_meta_v"))
-    checked = op.verify_pdf_urls(found, view(spark, sf_dir, "answers_v"))
+    checked = op.verify_pdf_urls(found, op.one_answer(view(spark, sf_dir, "answers_v")))
     return checked.select("page_id", "doi", "title", "pdf_url", "open_access")

@@ -8,7 +8,7 @@ from foliant.operators import dedupe, identifiers, resolve
 from foliant.operators import pages as web
 from foliant.operators import titles as title_op
 from foliant.plans.identifiers import FULLTEXT_DOI, FULLTEXT_ISBN, JUNK, ws, year_of
-from foliant.plans.inputs import FLAT_PAPER, flat, papers
+from foliant.plans.inputs import FLAT_PAPER, books, flat, papers
 from foliant.plans.pages import PAGE_METADATA
 from foliant.plans.registry import query
 from foliant.plans.views import spark_sql, view
@@ -141,8 +141,7 @@ SELECT id, asked.isbn AS asked, title, authors, journal, year, pages, abstract,
 """)
 def resolve_by_isbn(spark, sf_dir):
     asked = identifiers.extract_isbn(view(spark, sf_dir, "fulltext_v")).select("id", "isbn")
-    books = [view(spark, sf_dir, f"book_records_{s}_v") for s in "ab"]
-    rows = resolve.resolve_by_isbn(asked, *books, row_id="id").select("id", F.col("isbn").alias("asked"), "book.*")
+    rows = resolve.resolve_by_isbn(asked, *books(spark, sf_dir), row_id="id").select("id", F.col("isbn").alias("asked"), "book.*")
     return flat_lists(rows).drop("doi", "volume", "issue", "needs_review", "isbn", "document_type")
 
 
@@ -156,8 +155,7 @@ UNION ALL SELECT id, {META_COLUMNS} FROM (SELECT found.id, g.* FROM found, LATER
 """)
 def resolve_metadata(spark, sf_dir):
     asked = identifiers.extract_isbn(identifiers.extract_doi(view(spark, sf_dir, "fulltext_v")))
-    books = [view(spark, sf_dir, f"book_records_{s}_v") for s in "ab"]
-    rows = resolve.resolve_metadata(asked, view(spark, sf_dir, "article_records_v"), *books, row_id="id")
+    rows = resolve.resolve_metadata(asked, view(spark, sf_dir, "article_records_v"), *books(spark, sf_dir), row_id="id")
     return flat_lists(rows.select("id", "meta.*"))
 
 

@@ -76,7 +76,7 @@ def build_index(spark, sf_dir):
     return rows.select("term", "field", "id", "tf", "dl", positions.alias("positions"))
 
 
-@query("write_index")
+@query("write_index", _TOKENS + "SELECT field, count(DISTINCT (id, term)) AS postings, count(*) AS words FROM tok GROUP BY field")
 def write_index(spark, sf_dir):
     fresh = ix.write_index(documents(spark, sf_dir), scratch_path(spark, "index-fresh"), BUCKETS)
     return fresh.postings.groupBy("field").agg(F.count("*").alias("postings"), F.sum("tf").alias("words"))

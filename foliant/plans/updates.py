@@ -21,7 +21,7 @@ def _replaced(**new: str) -> str:
     return ", ".join(f"{new[c]} AS {c}" if c in new else f"p.{c}" for c in PAPER_COLUMNS)
 
 
-@query("write_papers")
+@query("write_papers", _FLAT + " SELECT " + _replaced(date_added=f"CASE WHEN id % 2 = 0 THEN p.date_added ELSE '{NOW}' END", date_modified=f"'{NOW}'") + " FROM p")
 def write_papers(spark, sf_dir):
     rows = papers(spark, sf_dir).withColumn("date_added", F.when(F.col("id") % 2 == 0, F.col("date_added")).otherwise(""))
     return flat(tables.write_papers(rows, scratch_path(spark, "papers"), NOW))
