@@ -14,12 +14,33 @@ META = r"(?i)<meta\b[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>"
 ATTRIBUTE = r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 LINKED_DATA = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
 ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
     ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"),
 ]
 
 
+NUMBERED = r"(?is)^(x[0-9a-f]{1,6}|[0-9]{1,7});(.*)$"
+LAST_CHARACTER = 0x10FFFF
+
+
+def _numbered_entities(text: Column) -> Column:
+    """Decode ``&#8211;`` and ``&#x2013;``; what names no character stays as it is."""
+    pieces = F.split(text, "&#")
+
+    def piece(p: Column) -> Column:
+        name = F.lower(F.regexp_extract(p, NUMBERED, 1))
+        digits = F.when(name.startswith("x"), F.substring(name, 2, 6)).otherwise(F.hex(name.try_cast("bigint")))
+        code = F.conv(digits, 16, 10).try_cast("bigint")
+        real = (code > 0) & (code <= LAST_CHARACTER) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.when(real, digits).otherwise("41"), 8, "0")), "UTF-32")
+        return F.when(real, F.concat(char, F.regexp_extract(p, NUMBERED, 2))).otherwise(F.concat(F.lit("&#"), p))
+
+    whole = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
+    return F.when(F.contains(text, F.lit("&#")), whole).otherwise(text)
+
+
 def decoded(text: Column) -> Column:
+    text = _numbered_entities(text)
     for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text

@@ -20,6 +20,11 @@ def test_attribute_forms(spark):
     assert m.title == ""
 
 
+def test_entities(spark):
+    m = meta(spark, '<meta name="citation_title" content="a&#8211;b&#x2014;c &#39;q&#39; &lt;i&gt; &amp;#65; &#xD800; &#; &#99999999;">')
+    assert m.title == "a–b—c 'q' <i> &#65; &#xD800; &#; &#99999999;"
+
+
 def test_first_tag_counts(spark):
     m = meta(spark, '<meta name="citation_title" content=""><meta name="citation_title" content="second">')
     assert m.title == ""
