@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import filled, strip_ws
+from foliant.functions.text import filled, no_strings, strip_ws
 
 # The shapes of tags and attributes, and the entities that are decoded (ampersand last).
 COMMENT = r"(?s)<!--.*?-->"
@@ -40,30 +40,35 @@ def _numbered_entities(text: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    text = _numbered_entities(text)
+    plain = _numbered_entities(text)
     for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute, NULL when absent. Names ignore case; the first of equal names counts."""
+def _attributes(tag: Column) -> Column:
+    """Names (lower case) and raw values of the attributes of a tag, in order."""
     names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
     values = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2))
-    raw = F.get(values, F.nullif(F.array_position(names, F.lit(name)), F.lit(0)).cast("int") - 1)
-    return decoded(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
+    return F.struct(names.alias("names"), values.alias("values"))
+
+
+def _value(attributes: Column, name: str) -> Column:
+    """Value of an attribute, NULL when absent. The first of equal names counts."""
+    at = F.nullif(F.array_position(attributes["names"], F.lit(name)), F.lit(0)).cast("int")
+    return decoded(F.regexp_replace(F.get(attributes["values"], at - 1), "^[\"']|[\"']$", ""))
 
 
 def meta_tags(html: Column) -> Column:
     """``array<struct<name, property, content>>`` in page order; content is trimmed, NULL when absent."""
     visible = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), CODE, "")
-    tags = F.regexp_extract_all(visible, F.lit(META), F.lit(0))
+    tags = F.transform(F.regexp_extract_all(visible, F.lit(META), F.lit(0)), _attributes)
     return F.transform(
         tags,
         lambda t: F.struct(
-            _attribute(t, "name").alias("name"),
-            _attribute(t, "property").alias("property"),
-            strip_ws(_attribute(t, "content")).alias("content"),
+            _value(t, "name").alias("name"),
+            _value(t, "property").alias("property"),
+            strip_ws(_value(t, "content")).alias("content"),
         ),
     )
 
@@ -85,4 +90,5 @@ def variants(name: str) -> list[str]:
 
 
 def linked_data_blocks(html: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(html, COMMENT, ""), F.lit(LINKED_DATA), F.lit(1))
+    found = F.regexp_extract_all(F.regexp_replace(html, COMMENT, ""), F.lit(LINKED_DATA), F.lit(1))
+    return F.when(F.contains(html, F.lit("application/ld+json")), found).otherwise(no_strings())
