@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import mixing, urls
+from foliant.llm import embeddings, mixing, ngram_join, order_minhash, packing, quality, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,62 @@ SELECT page_id, host, path, split_part(best, ' ', 1) AS rule, CASE WHEN best IS
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urls.judge_urls(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+# --- 1 and 2: classifiers -------------------------------------------------------------------------------------------
+
+
+@_query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    weights = toxicity.train(docs, _table(spark, sf_dir, "labels"), toxicity.learnable)
+    scored = toxicity.score(docs, weights, cut=0.7)
+    return scored.select("doc_id", (~toxicity.learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted", "offending")
+
+
+@_query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), quality.learnable)
+    scored = quality.score(docs, model, cut=0.3)
+    return scored.select("doc_id", (~quality.learnable(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
+# --- 4: fingerprints ------------------------------------------------------------------------------------------------
+
+
+@_query("op4_order_minhash")
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.order_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+# --- 7 and 8: tokens ------------------------------------------------------------------------------------------------
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer(), tokens.fresh_cache(spark), limit=2048)
+
+
+@_query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=4096, end_id=1)
+
+
+# --- 9 and 10: joins ------------------------------------------------------------------------------------------------
+
+
+@_query("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
+@_query("op10_embedding_near")
+def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
