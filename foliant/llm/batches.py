@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliant.session import ship_package
 
@@ -18,7 +19,7 @@ BATCH_BYTES = 8 << 20
 BROADCAST_BYTES = 16 << 20
 
 
-def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package on the executors and batches bounded in bytes as well as in rows."""
     spark = df.sparkSession
     ship_package(spark)

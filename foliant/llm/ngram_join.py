@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.batches import Batches, Words, by_ids, map_batches, mix, pieces, texts_of
+from foliant.llm.batches import BROADCAST_BYTES, Batches, Words, by_ids, map_batches, mix, pieces, texts_of
 from foliant.llm.components import components
 from foliant.session import written
 
@@ -45,10 +45,10 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
         if n >= words:
             yield np.unique(rolled[first : last - words + 1])
         elif n:
-            short = np.uint64(n)
+            short = np.array([n], np.uint64)
             for x in h[first:last]:
                 short = short * _STEP + x
-            yield mix(np.array([short], np.uint64))
+            yield mix(short)
         else:
             yield np.zeros(0, np.uint64)
 
@@ -232,3 +232,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     joined = keyed.where("doc_id IS NOT NULL AND n_shingles > 0").join(of_content, "content")
     alone = keyed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """The documents without those that link, directly or through others, to one with a smaller doc_id."""
+    found = jaccard_components(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(found, "near-copies")
+    small = gone.count() * 8 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")

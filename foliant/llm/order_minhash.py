@@ -20,6 +20,7 @@ K = 8
 SKETCHES = 64
 #: k-mers multiplied at once, small enough for a core's cache.
 _CHUNK = 4096
+_DOUBLING = [(1, np.uint64(0x9E3779B97F4A7C15)), (2, np.uint64(0xD1B54A32D192ED03)), (4, np.uint64(0xABC98388FB8FAC03))]
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FACTOR = (_RNG.integers(0, 2**31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _SHIFT = _RNG.integers(0, 2**32, SKETCHES, dtype=np.uint32)[:, None]
@@ -33,11 +34,10 @@ def numbered_kmers(text: str) -> np.ndarray:
         points = np.concatenate([points, np.zeros(K - len(points), np.uint64)])
     if not len(points):
         return points
-    h, base = points, np.uint64(0x9E3779B97F4A7C15)
-    for width in (1, 2, 4):  # hashes of 2, 4 and 8 code points, each from two halves
+    h = points
+    for width, base in _DOUBLING:  # hashes of 2, 4 and 8 code points, each from two halves
         h = h[:-width] * base + h[width:]
         h = h ^ (h >> np.uint64(29))
-        base = base * base + np.uint64(2)
     h = mix(h)
     n = len(h)
     bits = np.uint64(max(1, n.bit_length()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import embeddings, mixing, ngram_join, order_minhash, packing, quality, tokens, toxicity, urls
+from foliant.llm import embeddings, lines, mixing, ngram_join, order_minhash, packing, quality, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +66,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+# --- 5: line dedup --------------------------------------------------------------------------------------------------
+
+
+@_query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs, percent=85).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 # --- 6: URL filters -------------------------------------------------------------------------------------------------
 
 URL_RULES = [

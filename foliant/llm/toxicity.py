@@ -19,7 +19,11 @@ from foliant.llm.training import fit_in_one_task, id_share, labelled_sample
 WEIGHTS = 1 << 18
 #: Labelled documents the model is fitted on, smallest hashes of their ids first.
 FIT_DOCUMENTS = 6000
-_PREFIXES = (4, 5)
+#: Fewest documents of the sample that a feature must occur in to get a weight.
+LEAST_DOCUMENTS = 3
+#: Documents by which the first log odds of a feature are drawn to the overall odds.
+PRIOR = 3.0
+_PREFIXES = (3, 4, 5, 6)
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
@@ -61,6 +65,11 @@ class Sentences:
         self.feature = (np.concatenate(hashes) >> np.uint64(46)).astype(np.int64)
         self.row = np.concatenate(rows)
 
+    def keep(self, known: np.ndarray) -> None:
+        """Drop the features that are not known."""
+        used = known[self.feature]
+        self.feature, self.row = self.feature[used], self.row[used]
+
     def scores(self, weights: np.ndarray) -> np.ndarray:
         """Chance of each sentence to be toxic; the last weight is the bias."""
         z = np.bincount(self.row, weights[self.feature], minlength=self.count) + weights[-1]
@@ -82,7 +91,17 @@ def fit(texts: list[bytes], y: np.ndarray, rounds: int = 12, batch: int = 64) ->
         return weights
     weights[-1] = -5.0
     parts = [(Sentences(texts[k : k + batch]), y[k : k + batch]) for k in range(0, len(texts), batch)]
-    squares = np.full(WEIGHTS + 1, 1e-6)
+    held = np.zeros((2, WEIGHTS))  # documents of each label that hold a feature
+    for s, labels in parts:
+        pairs = np.unique(s.owner[s.row] * WEIGHTS + s.feature)
+        for label in (0, 1):
+            held[label] += np.bincount(pairs[labels[pairs // WEIGHTS] == label] % WEIGHTS, minlength=WEIGHTS)
+    for s, _ in parts:  # a feature of one or two documents can only be learnt by heart
+        s.keep(held.sum(axis=0) >= LEAST_DOCUMENTS)
+    # The start: log odds of the label among the documents with the feature, drawn to the overall odds.
+    start = np.log((held[1] + PRIOR * share) / (held[0] + PRIOR * (1 - share))) - np.log(share / (1 - share))
+    weights[:-1] = np.where(held.sum(axis=0) >= LEAST_DOCUMENTS, start, 0.0)
+    squares = np.ones(WEIGHTS + 1)
     order = np.random.Generator(np.random.PCG64(5))
     for _ in range(rounds):
         for k in order.permutation(len(parts)):
@@ -134,6 +153,19 @@ def score(docs: DataFrame, weights: np.ndarray, cut: float = 0.7, sentence_cut:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, predicted int, offending array<string>")
 
 
+def clean_documents(docs: DataFrame, weights: np.ndarray, cut: float = 0.7) -> DataFrame:
+    """The rows whose score is below ``cut``, with all their columns."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            for start, stop in pieces(b, "text", 1 << 20):
+                s = Sentences(texts_of(b, "text", start, stop))
+                keep = noisy_or(s.scores(weights), s.owner, stop - start) < cut
+                yield b.slice(start, stop - start).filter(pa.array(keep))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def learnable(doc_id: Column) -> Column:
     """Ids whose labels may be learnt; the others are held out."""
     return id_share(doc_id, 3) != 1
