@@ -31,7 +31,7 @@ _SHAPE[192:] = ord("l")
 def _grams(tokens: np.ndarray, width: int, kind: int) -> np.ndarray:
     """Hashes of runs of ``width`` tokens, each at the place of its first token (shorter at the end of the array)."""
     h = np.full(len(tokens), kind, np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(tokens))):
         h[: len(tokens) - k] = h[: len(tokens) - k] * np.uint64(0x9E3779B97F4A7C15) + tokens[k:]
     return mix(h)
 
