@@ -2,48 +2,47 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions.text import filled, no_strings, strip_ws
 
-# The shapes of tags and attributes, and the entities that are decoded (ampersand last).
+# The shapes of tags and attributes.
 COMMENT = r"(?s)<!--.*?-->"
 CODE = r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>"
 META = r"(?i)<meta\b[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>"
 ATTRIBUTE = r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 LINKED_DATA = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"),
-]
-
-
-NUMBERED = r"(?is)^(x[0-9a-f]{1,6}|[0-9]{1,7});(.*)$"
+# The named entities of the web, from the standard library's table.
+ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+NAMED = r"(?s)^([A-Za-z][A-Za-z0-9]{1,31});(.*)$"
+NUMBERED = r"(?is)^#(x[0-9a-f]{1,6}|[0-9]{1,7});(.*)$"
 LAST_CHARACTER = 0x10FFFF
 
 
-def _numbered_entities(text: Column) -> Column:
-    """Decode ``&#8211;`` and ``&#x2013;``; what names no character stays as it is."""
-    pieces = F.split(text, "&#")
+def decoded(text: Column) -> Column:
+    """Decode ``&eacute;``, ``&#8211;`` and ``&#x2013;`` in one pass; what names no character stays as it is."""
+    pieces = F.split(text, "&")
+    table = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")
 
     def piece(p: Column) -> Column:
-        name = F.lower(F.regexp_extract(p, NUMBERED, 1))
-        digits = F.when(name.startswith("x"), F.substring(name, 2, 6)).otherwise(F.hex(name.try_cast("bigint")))
+        number = F.lower(F.regexp_extract(p, NUMBERED, 1))
+        digits = F.when(number.startswith("x"), F.substring(number, 2, 6)).otherwise(F.hex(number.try_cast("bigint")))
         code = F.conv(digits, 16, 10).try_cast("bigint")
-        real = (code > 0) & (code <= LAST_CHARACTER) & ~code.between(0xD800, 0xDFFF)
+        real = F.coalesce((code > 0) & (code <= LAST_CHARACTER) & ~code.between(0xD800, 0xDFFF), F.lit(False))
         char = F.decode(F.unhex(F.lpad(F.when(real, digits).otherwise("41"), 8, "0")), "UTF-32")
-        return F.when(real, F.concat(char, F.regexp_extract(p, NUMBERED, 2))).otherwise(F.concat(F.lit("&#"), p))
+        named = F.try_element_at(table, F.regexp_extract(p, NAMED, 1))
+        return (
+            F.when(real, F.concat(char, F.regexp_extract(p, NUMBERED, 2)))
+            .when(named.isNotNull(), F.concat(named, F.regexp_extract(p, NAMED, 2)))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
 
     whole = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), piece), ""))
-    return F.when(F.contains(text, F.lit("&#")), whole).otherwise(text)
-
-
-def decoded(text: Column) -> Column:
-    plain = _numbered_entities(text)
-    for entity, char in ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), plain).otherwise(text)
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def _attributes(tag: Column) -> Column:
@@ -61,7 +60,7 @@ def _value(attributes: Column, name: str) -> Column:
 
 def meta_tags(html: Column) -> Column:
     """``array<struct<name, property, content>>`` in page order; content is trimmed, NULL when absent."""
-    visible = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), CODE, "")
+    visible = F.regexp_replace(F.regexp_replace(html, CODE, ""), COMMENT, "")
     tags = F.transform(F.regexp_extract_all(visible, F.lit(META), F.lit(0)), _attributes)
     return F.transform(
         tags,

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import extracted, filled, or_empty, strip_ws
+from foliant.functions.text import SPACE, extracted, filled, or_empty, strip_ws
 
 # Patterns and word lists that decide what counts as an identifier.
-DOI = r"\b(10\.\d{4,9}/[^\s\"<>{|}\\^\[\]`]+)"
-DOI_ANYWHERE = r"(10\.\d{4,9}/[^\s\"<>{|}\\^\[\]`]+)"
+DOI_ANYWHERE = r"(10\.\d{4,9}/[^" + SPACE + r"\"<>{|}\\^\[\]`]+)"
+DOI = r"\b" + DOI_ANYWHERE
 DOI_START = r"^10\.\d{4,9}/"
 DOI_TAIL = r"[.,;)>\"']+$"
 DOI_RESOLVER = r"^https?://(?:dx\.)?doi\.org/"

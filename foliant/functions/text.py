@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What counts as white space inside a character class, with the blanks that PDFs and the web bring.
+SPACE = "\\s\u00a0\u2000-\u200a\u202f\u205f\u3000"
+
+
 def strip_ws(c: Column) -> Column:
     """Drop white space at both ends (``trim`` alone drops blanks only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def filled(c: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,54 +15,54 @@ from pyspark.sql import functions as F
 from foliant.functions.phrases import phrase_words, phrases_of, picked_phrases
 from foliant.functions.text import filled, or_empty, strip_ws
 from foliant.operators.dedupe import skip_processed
-from foliant.operators.numbering import ranked, with_new_ids
+from foliant.operators.numbering import with_new_ids
 from foliant.session import ship_package
 
 THRESHOLD = 0.35
 TAG_COUNT = 5
 DIVERSITY = 0.5
-#: Categories compared in one pass. A pass holds one matrix of this many rows; more categories take more passes.
+#: Categories compared at once inside a task.
 BLOCK = 4096
+#: Most bytes of category vectors; a longer list is refused with an error and has to be split by the caller.
+MOST_CATEGORY_BYTES = 1 << 29
 
 
-def _scan_block(documents: DataFrame, block: DataFrame, threshold: float) -> DataFrame:
-    """Similarities of all documents to one block of categories, at or above the threshold."""
-    rows = block.select("category_id", "embedding").orderBy("category_id").collect()  # at most BLOCK rows
+def similarity_join(documents: DataFrame, categories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, category_id, similarity) of unit vectors whose dot product reaches the threshold.
+
+    One scan of the documents; each task walks the categories in blocks. Categories are a list kept by people and are
+    sent to all tasks; their size is checked. Rows without a vector match nothing; a vector of another width than the
+    categories' is an error, in either table.
+    """
+    known = categories.where(F.col("embedding").isNotNull()).select("category_id", "embedding")
+    size = known.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if size["n"] and size["least"] != size["most"]:
+        raise ValueError(f"category vectors have {size['least']} to {size['most']} components")
+    width = size["most"] or 0
+    if size["n"] * width * 8 > MOST_CATEGORY_BYTES:
+        raise ValueError(f"{size['n']} categories of {width} components exceed {MOST_CATEGORY_BYTES} bytes")
+    rows = known.orderBy("category_id").collect()
     names = np.array([r.category_id for r in rows], dtype=np.int64)
-    matrix = np.array([r.embedding for r in rows], dtype=np.float64)
-    width = matrix.shape[1]
+    matrix = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), width)
     shared = documents.sparkSession.sparkContext.broadcast((names, matrix))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
         for batch in batches:
             values = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            found = values.astype(np.float64).reshape(batch.num_rows, width) @ vectors.T
-            row, col = np.nonzero(found >= threshold)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(row)), pa.array(ids[col]), pa.array(found[row, col])],
-                names=["id", "category_id", "similarity"],
-            )
-
-    usable = documents.where(F.size("embedding") == width).select("id", "embedding")
-    return usable.mapInArrow(score, "id BIGINT, category_id BIGINT, similarity DOUBLE")
-
-
-def similarity_join(documents: DataFrame, categories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, category_id, similarity) of unit vectors whose dot product reaches the threshold."""
-    size = categories.limit(BLOCK + 1).count()
-    if size == 0:
-        empty = documents.select("id", F.lit(0).cast("bigint").alias("category_id"), F.lit(0.0).alias("similarity"))
-        return empty.limit(0)
-    if size <= BLOCK:
-        return _scan_block(documents, categories, threshold)
-    numbered = ranked(categories.select("category_id", "embedding"), [], [F.col("category_id")], "n")
-    blocks = -(-numbered.count() // BLOCK)
-    passes = [
-        _scan_block(documents, numbered.where(((F.col("n") - 1) / BLOCK).cast("bigint") == b), threshold)
-        for b in range(blocks)
-    ]
-    return reduce(DataFrame.unionByName, passes)
+            own = values.astype(np.float64).reshape(batch.num_rows, width)
+            for start in range(0, len(ids), BLOCK):
+                found = own @ vectors[start : start + BLOCK].T
+                row, col = np.nonzero(found >= threshold)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").take(pa.array(row)), pa.array(ids[start + col]), pa.array(found[row, col])],
+                    names=["id", "category_id", "similarity"],
+                )
+
+    wrong = F.raise_error(F.concat(F.lit("vector width is not that of the categories: "), F.size("embedding").cast("string")))
+    checked = F.when(F.size("embedding") == width, F.col("embedding")).otherwise(wrong)
+    usable = documents.where(F.col("embedding").isNotNull()) if len(rows) else documents.limit(0)
+    return usable.select("id", checked.alias("embedding")).mapInArrow(score, "id BIGINT, category_id BIGINT, similarity DOUBLE")
 
 
 def category_text(categories: DataFrame) -> DataFrame:

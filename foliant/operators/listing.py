@@ -11,8 +11,6 @@ from foliant.functions.naming import base_name
 from foliant.functions.text import first_filled, strip_ws
 from foliant.operators.tree import subtree
 
-#: A subtree up to this many ids is tested as a literal set in the scan; a larger one goes through a join.
-LITERAL_IDS = 10_000
 HEAVY_COLUMNS = ("abstract", "keywords")
 
 
@@ -55,18 +53,17 @@ def by_any_tag(papers: DataFrame, tags: list[str] | tuple[str, ...]) -> DataFram
     return papers.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
 
 
-def by_subtree(papers: DataFrame, collections: DataFrame, collection_id: int) -> DataFrame:
-    """Papers in a collection or in any collection below it."""
-    below = subtree(collections, collection_id)
-    few = [r.id for r in below.limit(LITERAL_IDS + 1).collect()]
-    if len(few) <= LITERAL_IDS:
-        return papers.where(F.exists("collection_ids", lambda c: c.isin(few)))
+def by_subtree(papers: DataFrame, closure: DataFrame, collection_id: int) -> DataFrame:
+    """Papers in a collection or in any collection below it. ``closure`` is the stored one of the snapshot.
+
+    The test of a paper's list against the subtree is a semi-join on its members; no job runs while it is planned.
+    """
     member = papers.select("id", F.explode("collection_ids").alias("_c"))
-    inside = member.join(below.withColumnRenamed("id", "_c"), "_c", "left_semi").select("id")
-    return papers.join(inside, "id", "left_semi")
+    below = subtree(closure, collection_id).withColumnRenamed("id", "_c")
+    return papers.join(member.join(below, "_c", "left_semi").select("id"), "id", "left_semi")
 
 
-def apply_filters(papers: DataFrame, filters: Filters, collections: DataFrame | None = None) -> DataFrame:
+def apply_filters(papers: DataFrame, filters: Filters, closure: DataFrame | None = None) -> DataFrame:
     papers = by_year(papers, filters.year_from, filters.year_to)
     if filters.journal:
         papers = by_journal(papers, filters.journal)
@@ -77,9 +74,9 @@ def apply_filters(papers: DataFrame, filters: Filters, collections: DataFrame |
     if filters.tags:
         papers = by_any_tag(papers, filters.tags)
     if filters.collection_id is not None:
-        if collections is None:
-            raise ValueError("a collection filter needs the collections table")
-        papers = by_subtree(papers, collections, filters.collection_id)
+        if closure is None:
+            raise ValueError("a collection filter needs the closure of the collections")
+        papers = by_subtree(papers, closure, filters.collection_id)
     return papers
 
 

@@ -193,16 +193,9 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     )
 
 
-#: Up to this many addresses are sent to the page scan; beyond it every page is parsed and joined by its narrow result.
-FEW_ADDRESSES = 500_000
-
-
 def pages_at(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """Pages worth parsing for a list of addresses. Raw pages are never shuffled."""
-    wanted = urls.select("url").distinct()
-    if wanted.limit(FEW_ADDRESSES + 1).count() > FEW_ADDRESSES:
-        return pages
-    return pages.join(F.broadcast(wanted), "url", "left_semi")
+    """Pages at a list of addresses. The engine sends a short list to the page scan and joins a long one."""
+    return pages.join(urls.select("url").distinct(), "url", "left_semi")
 
 
 def one_page_per_url(metadata: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -49,9 +48,12 @@ def years(first: int, last: int, occur: str = "must") -> Clause:
     return Clause("years", (first, last), occur)
 
 
-def glob_regex(pattern: str) -> str:
-    """A ``*`` pattern as an expression over whole terms."""
-    return "^" + ".*".join(re.escape(part) for part in pattern.lower().split("*")) + "$"
+def glob_like(pattern: str) -> str:
+    """A ``*`` pattern as a LIKE pattern over whole terms."""
+    plain = pattern.lower()
+    for special in ("\\", "%", "_"):
+        plain = plain.replace(special, "\\" + special)
+    return plain.replace("*", "%")
 
 
 def _of_terms(index: Index, table: DataFrame, terms: list[str]) -> DataFrame:
@@ -105,18 +107,21 @@ def _term_hits(index: Index, wanted: list[tuple[int, str, tuple[str, ...]]]) ->
 def phrase_matches(index: Index, terms: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """How often the terms stand next to each other, per (field, id).
 
-    Each position is moved back by the place of its word in the phrase; the phrase stands where all places meet.
+    The postings of a document's field meet as they are, one row per word of the phrase. Where all words are there,
+    each position list is moved back by the place of its word, and the phrase stands where the moved lists meet.
     """
-    rows = _postings_for(index, sorted(set(terms)), fields, ["term", "field", "id", "dl", "positions"])
-    places = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).alias("offset")) for i, t in enumerate(terms)])
-    mine = F.filter(places, lambda p: p["term"] == F.col("term"))
-    starts = (
-        rows.withColumn("p", F.explode(mine))
-        .select("field", "id", "dl", F.col("p.offset").alias("offset"), F.explode("positions").alias("pos"))
-        .withColumn("start", F.col("pos") - F.col("offset"))
-    )
-    whole = starts.groupBy("field", "id", "dl", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(terms))
-    return whole.groupBy("field", "id", "dl").agg(F.count("*").alias("tf"))
+    different = sorted(set(terms))
+    rows = _postings_for(index, different, fields, ["term", "field", "id", "dl", "positions"])
+    by_word = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{k}") for k, t in enumerate(different)]
+    met = rows.groupBy("field", "id", "dl").agg(*by_word)
+    for k in range(len(different)):
+        met = met.where(F.col(f"_p{k}").isNotNull())
+
+    def moved_back(places: int):
+        return lambda position: position - places
+
+    moved = [F.transform(F.col(f"_p{different.index(t)}"), moved_back(i)) for i, t in enumerate(terms)]
+    return met.select("field", "id", "dl", F.size(reduce(F.array_intersect, moved)).cast("bigint").alias("tf")).where("tf > 0")
 
 
 def _phrase_hits(index: Index, clause: int, terms: list[str], fields: tuple[str, ...]) -> DataFrame:
@@ -135,7 +140,7 @@ def _phrase_hits(index: Index, clause: int, terms: list[str], fields: tuple[str,
 
 def glob_matches(index: Index, pattern: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(field, id) of documents with a term of that shape. The pattern runs over the distinct terms only."""
-    terms = index.terms.where(F.col("field").isin(list(fields))).where(F.col("term").rlike(glob_regex(pattern)))
+    terms = index.terms.where(F.col("field").isin(list(fields))).where(F.col("term").like(glob_like(pattern)))
     lead = pattern.lower().split("*")[0]
     if lead:
         terms = terms.where(F.col("term").startswith(lead))
@@ -236,10 +241,10 @@ def search_and_filter(
     clauses: list[Clause] | None,
     papers: DataFrame,
     filters: Filters = Filters(),
-    collections: DataFrame | None = None,
+    closure: DataFrame | None = None,
 ) -> DataFrame:
-    """Search results that pass every filter, best first. Without a query: all papers that pass, newest first."""
-    kept = apply_filters(papers, filters, collections)
+    """Search results that pass every filter, best first. ``closure`` serves a collection filter. Without a query: all papers that pass, newest first."""
+    kept = apply_filters(papers, filters, closure)
     if clauses is None:
         return newest_first(kept.select("id", "title", "authors", "journal", "year", "date_added"))
     hits = normalised(search(index, clauses))

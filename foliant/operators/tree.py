@@ -1,7 +1,7 @@
 """The collection tree: levels, closure and member counts.
 
-The walk goes level by level with joins, one written level per step, so it has no row limit, keeps no growing
-lineage, and stops on cycles because a pair that was reached before is not followed again.
+Levels and names are walked step by step with joins, one written level per step, so there is no row limit and no
+growing lineage, and cycles end because a row that was reached before is not followed again. The closure doubles.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from foliant.session import scratch_path
+from foliant.session import scratch_path, written
 
 
 def _walk(start: DataFrame, step, key: list[str]) -> DataFrame:
@@ -50,25 +50,29 @@ def collection_tree(collections: DataFrame, separator: str = "/") -> DataFrame:
     return _walk(roots, step, ["id"])
 
 
-def _down(collections: DataFrame):
-    edges = collections.where(F.col("parent_id").isNotNull()).select(
-        F.col("parent_id").alias("descendant"), F.col("id").alias("_child")
-    )
-    return lambda frontier: frontier.join(edges, "descendant").select("ancestor", F.col("_child").alias("descendant"))
-
-
 def collection_closure(collections: DataFrame) -> DataFrame:
-    """(ancestor, descendant) pairs, each collection being its own descendant."""
+    """(ancestor, descendant) pairs, each collection being its own descendant, as a stored table.
+
+    Pairs are joined with themselves, which doubles their depth, until no new pair appears; so the number of rounds
+    follows the logarithm of the depth, and cycles end. Build it once per snapshot of the collections.
+    """
     own = collections.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"))
-    return _walk(own, _down(collections), ["ancestor", "descendant"])
+    known = collections.select("id")
+    edges = collections.where(F.col("parent_id").isNotNull()).join(known.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi")
+    pairs = written(own.unionByName(edges.select(F.col("parent_id").alias("ancestor"), F.col("id").alias("descendant"))).distinct(), "closure")
+    size = pairs.count()
+    while True:
+        lower = pairs.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("_below"))
+        pairs = written(pairs.join(lower, "descendant").select("ancestor", F.col("_below").alias("descendant")).distinct(), "closure")
+        grown = pairs.count()
+        if grown == size:
+            return pairs
+        size = grown
 
 
-def subtree(collections: DataFrame, root_id: int) -> DataFrame:
-    """Ids of one collection and everything below it."""
-    own = collections.sparkSession.range(1).select(
-        F.lit(root_id).cast("bigint").alias("ancestor"), F.lit(root_id).cast("bigint").alias("descendant")
-    )
-    return _walk(own, _down(collections), ["descendant"]).select(F.col("descendant").alias("id"))
+def subtree(closure: DataFrame, root_id: int) -> DataFrame:
+    """Ids of one collection and everything below it, from the stored closure."""
+    return closure.where(F.col("ancestor") == root_id).select(F.col("descendant").alias("id"))
 
 
 def collection_counts(papers: DataFrame, collections: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import filled, or_empty, strip_ws
-from foliant.operators.dedupe import dedupe_batch, new_by_doi, new_by_path
+from foliant.operators.dedupe import mark_repeats, new_by_doi, new_by_path, without
 from foliant.operators.index import Index, delete_documents
 from foliant.operators.numbering import with_new_ids
+from foliant.session import written
 from foliant.sources.schema import EDITABLE, PAPER_COLUMNS
 
 _TYPED = {
@@ -22,10 +25,38 @@ _TYPED = {
 }
 
 
+def accepted_in_order(rows: DataFrame) -> DataFrame:
+    """The rows that one-by-one insertion in ``seq`` order would take: no earlier taken row has the DOI or the path.
+
+    A round takes the rows that are first for both of their keys and refuses the rest of those keys. A row behind a
+    refused one waits for the next round; rounds end when no row waits, mostly after one or two.
+    """
+    waiting, taken = written(rows, "waiting"), []
+    while True:
+        keys = ("doi", "file_path")
+        marked = waiting
+        for key in keys:
+            marked = mark_repeats(marked, key, "seq", f"_later_{key}")
+        first = written(marked.where("NOT _later_doi AND NOT _later_file_path").drop("_later_doi", "_later_file_path"), "taken")
+        taken.append(first)
+        rest = waiting.join(first.select("seq"), "seq", "left_anti")
+        for key in keys:
+            rest = without(rest, first.where(F.col(key).isNotNull()), key, "seq")
+        waiting = written(rest, "waiting")
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+
+
+def last_of_each(changes: DataFrame) -> DataFrame:
+    """One row per id: the last by ``seq`` when there is one, else the largest."""
+    rest = F.struct(*[c for c in changes.columns if c != "id"])
+    order = F.struct("seq", rest) if "seq" in changes.columns else rest
+    return changes.groupBy("id").agg(F.max_by(rest, order).alias("_r")).select("id", "_r.*")
+
+
 def insert_papers(papers: DataFrame, rows: DataFrame, now: str) -> DataFrame:
     """Append rows (with ``seq``, without ``id``) that break no unique rule, with the next free ids."""
-    fresh = new_by_path(new_by_doi(rows, papers), papers)
-    fresh = dedupe_batch(dedupe_batch(fresh, "doi"), "file_path")
+    fresh = accepted_in_order(new_by_path(new_by_doi(rows, papers), papers))
     stamped = fresh.withColumns(
         {"date_added": F.coalesce(filled(F.col("date_added")), F.lit(now)), "date_modified": F.lit(now)}
     )
@@ -34,9 +65,9 @@ def insert_papers(papers: DataFrame, rows: DataFrame, now: str) -> DataFrame:
 
 
 def update_papers(papers: DataFrame, changed: DataFrame, now: str) -> DataFrame:
-    """Replace whole rows by id. ``id`` and ``date_added`` stay; unknown ids are ignored."""
+    """Replace whole rows by id. ``id`` and ``date_added`` stay; unknown ids are ignored, the last change of an id holds."""
     fields = [c for c in PAPER_COLUMNS if c not in ("id", "date_added", "date_modified")]
-    side = changed.select("id", F.struct(*fields).alias("_new"))
+    side = last_of_each(changed).select("id", F.struct(*fields).alias("_new"))
     rows = papers.join(side, "id", "left")
     hit = F.col("_new").isNotNull()
     new = {c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in fields}
@@ -89,9 +120,9 @@ def insert_collections(collections: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def rename_collections(collections: DataFrame, changes: DataFrame) -> DataFrame:
-    """Set name and parent by id; a change to a blank name is refused."""
+    """Set name and parent by id; a change to a blank name is refused, the last other change of an id holds."""
     name = strip_ws(F.col("name"))
-    side = changes.where(name != "").select("id", F.struct(name.alias("name"), "parent_id").alias("_new"))
+    side = last_of_each(changes.where(name != "")).select("id", F.struct(name.alias("name"), "parent_id").alias("_new"))
     hit = F.col("_new").isNotNull()
     rows = collections.join(side, "id", "left")
     return rows.select(

@@ -11,7 +11,8 @@ from foliant.plans.registry import query
 from foliant.plans.views import spark_sql, view
 
 # The same fixed patterns as foliant.functions.ids, quoted for DuckDB.
-_DOI = r"""'\b(10\.\d{4,9}/[^\s"<>{|}\\^\[\]`]+)'"""
+_SPACE = "\\s\u00a0\u2000-\u200a\u202f\u205f\u3000"
+_DOI = r"""'\b(10\.\d{4,9}/[^@"<>{|}\\^\[\]`]+)'""".replace("@", _SPACE)
 _DOI_ANY = _DOI.replace(r"\b", "")
 _TAIL = """'[.,;)>"'']+$'"""
 _ISBN = r"""'(?i)(?:ISBN(?:-1[03])?[:\s]*)((?:97[89][- ]?)?(?:\d[- ]?){9}[\dX])'"""
@@ -24,7 +25,7 @@ def doi_of(text: str) -> str:
 
 
 def ws(text: str) -> str:
-    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+    return rf"regexp_replace({text}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
 
 
 def norm_doi(text: str) -> str:

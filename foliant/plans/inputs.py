@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.operators.resolve import unique_records
+from foliant.operators.tree import collection_closure
 from foliant.plans.views import view
 from foliant.sources.schema import PAPER_COLUMNS
 
@@ -19,6 +20,17 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "collections_v")
 
 
+_CLOSURES: dict[tuple[str, str], DataFrame] = {}
+
+
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored closure of the collections, built once per application like the index."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CLOSURES:
+        _CLOSURES[key] = collection_closure(collections(spark, sf_dir))
+    return _CLOSURES[key]
+
+
 def books(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Both book sources, one record per ISBN (short ISBNs repeat in the first source of a large library)."""
     return [unique_records(view(spark, sf_dir, "book_records_a_v"), "isbn"), view(spark, sf_dir, "book_records_b_v")]

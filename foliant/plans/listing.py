@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.operators import listing as op
-from foliant.plans.inputs import FLAT_PAPER, SLIM_PAPER, collections, flat, papers
+from foliant.plans.inputs import FLAT_PAPER, SLIM_PAPER, closure, collections, flat, papers
 from foliant.plans.registry import query
 from foliant.plans.views import spark_sql, table, view
 from foliant.sources import tables
@@ -89,7 +89,7 @@ WITH RECURSIVE below AS (SELECT CAST({root} AS BIGINT) AS id UNION
 
 @query("filter_collection_subtree", SUBTREE.format(root=3) + f"SELECT {_SLIM} FROM papers_v WHERE collection_id IN (SELECT id FROM below)")
 def filter_collection_subtree(spark, sf_dir):
-    return op.by_subtree(papers(spark, sf_dir), collections(spark, sf_dir), 3).select(*_SHORT)
+    return op.by_subtree(papers(spark, sf_dir), closure(spark, sf_dir), 3).select(*_SHORT)
 
 
 @query("list_slim", f"SELECT {SLIM_PAPER} FROM papers_v ORDER BY date_added DESC, id")

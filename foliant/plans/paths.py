@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from foliant.functions import naming
 from foliant.operators import paths as op
 from foliant.plans.inputs import papers
+from foliant.plans.identifiers import _SPACE
 from foliant.plans.registry import query
 from foliant.plans.views import spark_sql
 
-_SAFE = r"""regexp_replace(substr(regexp_replace({}, '[/:*?"<>|\\]', '_', 'g'), 1, 80), '^\s+|\s+$', '', 'g')"""
+_SAFE = r"""regexp_replace(substr(regexp_replace({}, '[/:*?"<>|\\]', '_', 'g'), 1, 80), '^[@]+|[@]+$', '', 'g')""".replace("@", _SPACE)
 _AUTHOR = r"""CASE WHEN len(authors) = 0 THEN 'Unknown' ELSE concat(CASE WHEN contains(authors[1], ',') THEN trim(string_split(authors[1], ',')[1])
   ELSE string_split(trim(authors[1]), ' ')[1] END, CASE WHEN len(authors) > 2 THEN ' et al' ELSE '' END) END"""
 _JOURNAL = f"CASE WHEN trim(journal) = '' THEN 'Unsorted' ELSE {_SAFE.format('journal')} END"
@@ -24,7 +25,7 @@ def destination_path(spark, sf_dir):
     return op.plan_destinations(papers(spark, sf_dir), "/library").select("id", "dest")
 
 
-_MESSY = """SELECT doc_id, concat(' a/b:c*d?e"f<g>h|i', chr(92), CAST(doc_id AS STRING), ' ', substr(text, 1, 90)) AS raw FROM @documents"""
+_MESSY = """SELECT doc_id, concat(' a/b:c*d?e"f<g>h|i', chr(92), CAST(doc_id AS STRING), ' ', text) AS raw FROM @documents"""
 
 
 @query("fs_safe", f"SELECT doc_id, {_SAFE.format('raw')} AS safe FROM ({_MESSY}) t")

@@ -232,8 +232,8 @@ def resolve_page_import(spark, sf_dir):
 # Records whose titles are near, or far from, the first lines of the documents.
 TITLE_RECORDS = """
 SELECT concat('10.1234/abc.', CAST(doc_id AS STRING)) AS doi,
-  CASE doc_id % 3 WHEN 0 THEN upper(substr(split_part(text, chr(10), 1), 1, 280)) WHEN 1 THEN concat(substr(split_part(text, chr(10), 1), 1, 250), ' second edition')
-    ELSE concat('On ', lang, ' ', substr(text, 400, 40)) END AS title
+  CASE doc_id % 3 WHEN 0 THEN upper(split_part(text, chr(10), 1)) WHEN 1 THEN concat(split_part(text, chr(10), 1), ' second edition')
+    ELSE concat('On ', lang, ' ', split_part(text, chr(10), 3)) END AS title
 FROM @documents
 """
 

@@ -8,7 +8,7 @@ from foliant.operators import index as ix
 from foliant.operators import search as op
 from foliant.operators.listing import Filters
 from foliant.operators.stats import library_status as status_of
-from foliant.plans.inputs import collections, papers
+from foliant.plans.inputs import closure, collections, papers
 from foliant.plans.listing import SUBTREE
 from foliant.plans.registry import query
 from foliant.plans.views import table, view
@@ -219,7 +219,7 @@ def search_and_filter(spark, sf_dir):
         op.any_of(WORDS),
         papers(spark, sf_dir),
         Filters(year_from=1995, year_to=2020, collection_id=3),
-        collections(spark, sf_dir),
+        closure(spark, sf_dir),
     )
     out = shown(found).withColumn("score_pct", F.round("score_pct", 4) + F.lit(0.0))
     return out.withColumn("authors", F.array_join("authors", ";"))

@@ -65,7 +65,7 @@ def stream_progress(spark, sf_dir):
 
 
 _WORDS = r"""
-WITH field_text AS (SELECT doc_id AS id, 'abstract' AS field, substr(text, 1, 600) AS text FROM @documents UNION ALL
+WITH field_text AS (SELECT doc_id AS id, 'abstract' AS field, split_part(text, chr(10), 1) AS text FROM @documents UNION ALL
   SELECT doc_id, 'keywords', concat(source, ' ', lang) FROM @documents UNION ALL SELECT doc_id, 'fulltext', text FROM @documents),
 tok AS (SELECT id, field, term FROM (SELECT id, field, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM field_text) WHERE strlen(term) < 40),
 post AS MATERIALIZED (SELECT term, field, id, count(*) AS tf FROM tok GROUP BY term, field, id),
@@ -85,7 +85,7 @@ def stream_index(spark, sf_dir):
     shaped = docs.select(
         F.col("doc_id").alias("id"),
         empty.alias("title"),
-        F.substring("text", 1, 600).alias("abstract"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("abstract"),
         empty.alias("authors"),
         F.concat("source", F.lit(" "), "lang").alias("keywords"),
         F.col("text").alias("fulltext"),

@@ -46,12 +46,24 @@ def _new_rows(spark, sf_dir):
     return rows.withColumns({**fixed, **empty})
 
 
+def _one_by_one(rounds: int) -> str:
+    """Insertion in seq order: rows that are first for both keys go in, rows behind them on a key are refused."""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"""
+w{k}f AS (SELECT *, doi IS NOT NULL AND seq > min(seq) OVER (PARTITION BY doi) AS late_doi, seq > min(seq) OVER (PARTITION BY file_path) AS late_path FROM w{k}),
+t{k} AS MATERIALIZED (SELECT seq, doi, file_path, title FROM w{k}f WHERE NOT late_doi AND NOT late_path),
+w{k + 1} AS MATERIALIZED (SELECT seq, doi, file_path, title FROM w{k} WHERE seq NOT IN (SELECT seq FROM t{k}) AND file_path NOT IN (SELECT file_path FROM t{k})
+  AND (doi IS NULL OR doi NOT IN (SELECT doi FROM t{k} WHERE doi IS NOT NULL)))""")
+    union = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(rounds))
+    return ",".join(steps) + f", taken AS ({union} UNION ALL SELECT seq, error('rows are left') , file_path, title FROM w{rounds})"
+
+
 @query("insert_papers", f"""
-WITH fresh AS (SELECT * FROM ({_NEW}) n WHERE (doi IS NULL OR doi NOT IN (SELECT doi FROM papers_v WHERE doi IS NOT NULL)) AND file_path NOT IN (SELECT file_path FROM papers_v)),
-a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY seq) AS n FROM fresh) t WHERE doi IS NULL OR n = 1),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY seq) AS k FROM a) t WHERE k = 1)
+WITH w0 AS MATERIALIZED (SELECT seq, doi, file_path, title FROM ({_NEW}) n WHERE (doi IS NULL OR doi NOT IN (SELECT doi FROM papers_v WHERE doi IS NOT NULL)) AND file_path NOT IN (SELECT file_path FROM papers_v)),
+{_one_by_one(8)}
 SELECT id, doi, title, file_path, date_added, date_modified FROM papers_v UNION ALL
-SELECT (SELECT max(doc_id) FROM @documents) + row_number() OVER (ORDER BY seq), doi, title, file_path, '{NOW}', '{NOW}' FROM b
+SELECT (SELECT max(doc_id) FROM @documents) + row_number() OVER (ORDER BY seq), doi, title, file_path, '{NOW}', '{NOW}' FROM taken
 """)
 def insert_papers(spark, sf_dir):
     out = op.insert_papers(papers(spark, sf_dir), _new_rows(spark, sf_dir), NOW)

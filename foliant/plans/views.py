@@ -15,7 +15,7 @@ VIEWS["papers_v"] = """
 SELECT d.doc_id AS id,
   CASE WHEN d.doc_id % 5 = 0 THEN NULL
        ELSE concat('10.1234/abc.', CAST(d.doc_id AS STRING)) END AS doi,
-  substr(split_part(split_part(d.text, chr(10), 1), '.', 1), 1, 120) AS title,
+  split_part(d.text, chr(10), 1) AS title,
   split(CASE WHEN d.doc_id % 13 = 0 THEN concat('Solo', CAST(d.doc_id % 17 AS STRING), ', Ann')
              WHEN d.doc_id % 2 = 0 THEN concat('Fam', CAST(d.doc_id % 17 AS STRING), ', Ann;Second, Bo')
              ELSE concat('Given Last', CAST(d.doc_id % 17 AS STRING), ';Second, Bo;Third, Cy') END, ';') AS authors,
@@ -24,7 +24,7 @@ SELECT d.doc_id AS id,
   CAST(1 + d.doc_id % 40 AS STRING) AS volume,
   CAST(1 + d.doc_id % 12 AS STRING) AS issue,
   '' AS pages,
-  substr(d.text, 1, 600) AS abstract,
+  CASE WHEN split_part(d.text, chr(10), 2) = '' THEN d.text ELSE split_part(d.text, chr(10), 2) END AS abstract,
   split(concat(d.source, ' corpus,', d.lang), ',') AS keywords,
   split(concat('tag', CAST(d.doc_id % 9 AS STRING), ',', d.lang), ',') AS tags,
   CASE WHEN d.doc_id % 3 = 0 THEN 1 + d.doc_id % 5
@@ -49,29 +49,33 @@ UNION ALL SELECT CAST(1000 + s_suppkey AS BIGINT), s_name, CAST(100 + s_nationke
 UNION ALL SELECT CAST(9999999 AS BIGINT), 'orphan', CAST(8888888 AS BIGINT)
 """
 
-VIEWS["idtext_v"] = """
-SELECT doc_id, concat(substr(text, 1, 300), chr(10),
+VIEWS["idline_v"] = """
+SELECT doc_id, text,
   CASE doc_id % 6
     WHEN 0 THEN concat('(https://doi.org/10.1234/abc.', CAST(doc_id AS STRING), ').')
     WHEN 1 THEN concat('ISBN-13: 978-0-306-4', lpad(CAST(doc_id % 10000 AS STRING), 4, '0'), '-7')
     WHEN 2 THEN concat('c 2019 9780306', lpad(CAST(doc_id AS STRING), 6, '0'), ' print')
-    WHEN 3 THEN concat('doi 10.55555/x(', CAST(doc_id AS STRING), ')y; ISBN 0-306-40615-X')
-    WHEN 4 THEN concat('Published <jats:p>March 18', CAST(10 + doc_id % 90 AS STRING), '</jats:p>')
-    ELSE 'no identifier here 10.12/short' END) AS text
+    WHEN 3 THEN concat('doi 10.55555/x(', CAST(doc_id AS STRING), ')y', chr(160), 'Received 2019; ISBN 0-306-40615-X')
+    WHEN 4 THEN concat(chr(160), 'Published <jats:p>March 18', CAST(10 + doc_id % 90 AS STRING), '</jats:p>')
+    ELSE 'no identifier here 10.12/short' END AS line
 FROM @documents
 """
 
+VIEWS["idtext_v"] = """
+SELECT doc_id, concat(text, chr(10), line) AS text FROM idline_v
+"""
+
+# Whole texts in pages of 1,000 characters. The identifier stands before the text, or after its first line.
 VIEWS["fulltext_v"] = """
 SELECT i.doc_id AS id,
-  split(concat(CASE WHEN i.doc_id % 12 < 6 THEN i.text ELSE substr(d.text, 1, 300) END, chr(12),
-               CASE WHEN i.doc_id % 12 < 6 THEN substr(d.text, 301, 300) ELSE i.text END, chr(12),
-               substr(d.text, 601, 300)), chr(12)) AS page_texts,
+  regexp_extract_all(concat(CASE WHEN i.doc_id % 12 < 6 THEN '' ELSE concat(split_part(i.text, chr(10), 1), chr(10)) END,
+    i.line, chr(10), i.text), '(?s)(.{1,1000})', 1) AS page_texts,
   CASE i.doc_id % 4 WHEN 0 THEN 'Untitled' WHEN 1 THEN '' ELSE concat('XMP title ', CAST(i.doc_id AS STRING)) END AS xmp_title,
   CASE WHEN i.doc_id % 8 = 2 THEN '' ELSE 'Writer, A' END AS xmp_author,
   CASE WHEN i.doc_id % 12 = 5 THEN concat('doi:10.9999/xs.', CAST(i.doc_id AS STRING), ';') ELSE '' END AS xmp_subject,
   CASE WHEN i.doc_id % 12 >= 10 THEN concat('k1, 10.9999/xk.', CAST(i.doc_id AS STRING), ' k2') ELSE '' END AS xmp_keywords,
   concat('scan_', CAST(i.doc_id AS STRING), '.pdf') AS file_name
-FROM idtext_v i JOIN @documents d ON i.doc_id = d.doc_id
+FROM idline_v i
 """
 
 VIEWS["pages_meta_v"] = """

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions.phrases import pick_phrases
@@ -61,6 +62,11 @@ def test_similarity_in_blocks(spark, monkeypatch):
         got = {(r.id, r.category_id) for r in op.similarity_join(docs, cats).collect()}
         assert got == want
     assert op.similarity_join(docs, cats.limit(0)).count() == 0
+    wide = docs.union(spark.createDataFrame([(98, [1.0] * 9)], "id BIGINT, embedding ARRAY<FLOAT>"))
+    with pytest.raises(Exception, match="vector width"):
+        op.similarity_join(wide, cats).collect()
+    with pytest.raises(ValueError, match="components"):
+        op.similarity_join(docs, cats.union(spark.createDataFrame([(99, "w", [1.0])], cats.schema)))
 
 
 def test_collections_of_categories(spark):
