@@ -16,7 +16,9 @@ from foliant.operators.updates import insert_papers
 from foliant.operators.titles import fuzzy_title_match
 from foliant.session import written
 
-OUTCOME = ["seq", "item", "outcome", "reason", *resolve.META_TYPES, "open_access"]
+OUTCOME = {
+    "seq": "bigint", "item": "string", "outcome": "string", "reason": "string", **resolve.META_TYPES, "open_access": "boolean",
+}
 
 
 def first_of_each(queue: DataFrame, processed: DataFrame | None = None) -> DataFrame:
@@ -52,18 +54,22 @@ def _finish(rows: DataFrame) -> DataFrame:
     )
 
 
-def _documents_meta(
-    rows: DataFrame, papers: DataFrame, articles: DataFrame, books_a: DataFrame, books_b: DataFrame, match_titles: bool
-) -> DataFrame:
-    """``doi``, ``duplicate`` and ``meta`` of rows with text columns and ``seq``."""
+def text_findings(fulltext: DataFrame, match_titles: bool) -> DataFrame:
+    """What an import needs of each text, so that joins move identifiers and not whole texts."""
     found = {
         "doi": ids.tiered_doi(F.col("page_texts"), F.col("xmp_subject"), F.col("xmp_keywords")),
         "isbn": ids.tiered_isbn(F.col("page_texts")),
         "title": ids.candidate_title(ids.first_page(F.col("page_texts"))) if match_titles else F.lit(None).cast("string"),
     }
-    kept = [c for c in rows.columns if c not in ("page_texts", "xmp_subject", "xmp_keywords")]
-    # The texts are read once; what follows works on what was found in them.
-    rows = written(rows.withColumns(found).select(*kept, *found), "found")
+    kept = [c for c in fulltext.columns if c not in ("page_texts", "xmp_subject", "xmp_keywords")]
+    return fulltext.withColumns(found).select(*kept, *found)
+
+
+def _documents_meta(
+    rows: DataFrame, papers: DataFrame, articles: DataFrame, books_a: DataFrame, books_b: DataFrame, match_titles: bool
+) -> DataFrame:
+    """``doi``, ``duplicate`` and ``meta`` of rows with the findings of their texts and ``seq``."""
+    rows = written(rows, "found")  # read by several joins below
     library = known(papers, "doi", "_known")
     matches = title_matches(rows, articles) if match_titles else None
     rows = lookup(rows, library, "doi", "seq")
@@ -99,7 +105,7 @@ def import_documents(
     is still imported, under its file name."""
     rows = first_of_each(queue, processed)
     paths = known(papers, "file_path", "_here").withColumnRenamed("file_path", "item")
-    rows = rows.join(paths, "item", "left").join(fulltext, "item", "left")
+    rows = rows.join(paths, "item", "left").join(text_findings(fulltext, match_titles), "item", "left")
     name = F.coalesce(F.col("file_name"), F.substring_index("item", "/", -1))
     rows = rows.withColumn("file_name", name)
     rows = _documents_meta(rows, papers, articles, books_a, books_b, match_titles)
@@ -151,7 +157,7 @@ def import_urls(
     rows = rows.join(here, "item", "left")
     kind = web.url_kind(F.col("item"), F.col("content_type"))
 
-    direct = rows.where(kind == "pdf").join(fulltext, "item", "left")
+    direct = rows.where(kind == "pdf").join(text_findings(fulltext, match_titles), "item", "left")
     direct = direct.withColumn("file_name", F.coalesce(F.col("file_name"), F.substring_index("item", "/", -1)))
     direct = _documents_meta(direct, papers, articles, books_a, books_b, match_titles)
     reason = _download_reason(F.col("_status"), F.col("content_type"))

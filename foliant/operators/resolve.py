@@ -156,6 +156,13 @@ def unique_records(records: DataFrame, key: str) -> DataFrame:
     return written(records.groupBy(key).agg(F.min("record").alias("record")), "records")
 
 
+def asked_records(records: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """As ``unique_records``, for the keys that some item asks for, letter case folded. Of the dump only these are moved."""
+    asked = items.where(F.col(key).isNotNull()).select(F.lower(key).alias("_key")).distinct()
+    folded = records.select(F.lower(key).alias("_key"), "record").join(asked, "_key", "left_semi")
+    return unique_records(folded, "_key")
+
+
 def _by_key(records: DataFrame, key: str, name: str) -> DataFrame:
     return records.select(key, F.col("record").alias(name))
 
@@ -165,12 +172,13 @@ def parse_article_records(records: DataFrame) -> DataFrame:
 
 
 def resolve_by_doi(items: DataFrame, articles: DataFrame, row_id: str = "seq", name: str = "article") -> DataFrame:
-    """Add the metadata struct of the article record with the item's DOI. Only joined records are parsed.
+    """Add the metadata struct of the article record with the item's DOI, whatever its letter case.
 
-    ``articles`` has one record per DOI (see ``unique_records``); so have the other record tables here.
+    Only joined records are parsed. Of several records for one DOI the smallest text is used.
     """
-    rows = lookup(items, _by_key(articles, "doi", "_record"), "doi", row_id)
-    return with_article(rows, "_record", name).drop("_record")
+    records = asked_records(articles, items, "doi").select(F.col("_key").alias("_folded"), F.col("record").alias("_record"))
+    rows = lookup(items.withColumn("_folded", F.lower("doi")), records, "_folded", row_id)
+    return with_article(rows.drop("_folded"), "_record", name).drop("_record")
 
 
 def resolve_by_isbn(

@@ -46,9 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/foliant/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in the folder of this application."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to its scratch folder. Results that still read it must be stored first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -11,23 +11,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from foliant.operators.categorise import THRESHOLD, similarity_join
 from foliant.operators.dedupe import dedupe_batch, without
-from foliant.operators.imports import import_dois
+from foliant.operators.imports import OUTCOME, import_dois
 from foliant.operators.index import (
     _DOCS,
     _POSTINGS,
     Index,
     document_frequencies,
-    field_statistics,
     postings_of,
+    read_index,
     write_postings,
 )
 
 
-def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
+_OUTCOME = ", ".join(f"{c} {kind}" for c, kind in OUTCOME.items())
+_STALE = "id BIGINT, old BIGINT"
+_COUNTS = "field STRING, n_docs BIGINT, total BIGINT"
+
+
+def read_files(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
     """A stream of the parquet files that arrive in a folder."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if per_batch:
@@ -35,12 +40,11 @@ def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str =
     return reader.parquet(folder)
 
 
-def _earlier(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame:
+def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
     """Rows earlier micro-batches have written."""
     if batch_id == 0:
         return spark.createDataFrame([], schema)
-    stored = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
-    return stored.where(F.col("batch") < batch_id).drop("batch")
+    return _folder(spark, path, schema, batch_id).drop("batch")
 
 
 def run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -55,9 +59,7 @@ def import_stream(
     """Import DOIs as (seq, item) arrive. Items of earlier batches are done; DOIs stored by them are duplicates."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        probe = import_dois(batch, papers, articles, oa_records)
-        done = _earlier(spark, out, probe.schema, batch_id)
+        done = _earlier(batch.sparkSession, out, _OUTCOME, batch_id)
         stored = done.where(F.col("outcome").isin("succeeded", "needs_review")).select("doi")
         library = papers.select("doi").unionByName(stored)
         fresh = import_dois(batch, library, articles, oa_records, processed=done.select("item"))
@@ -70,7 +72,7 @@ def dedupe_stream(items: DataFrame, papers: DataFrame, out: str, checkpoint: str
     """Keep the first of each DOI that neither the library nor an earlier batch has: (seq, doi)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = _earlier(batch.sparkSession, out, batch.select("seq", "doi").schema, batch_id)
+        seen = _earlier(batch.sparkSession, out, "seq BIGINT, doi STRING", batch_id)
         rows = dedupe_batch(batch.select("seq", "doi"))
         new = without(without(rows, papers, "doi", "seq"), seen, "doi", "seq")
         new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -86,22 +88,85 @@ def progress_stream(outcomes: DataFrame, name: str, checkpoint: str | None = Non
     return writer.format("memory").queryName(name).trigger(availableNow=True).start()
 
 
+def _folder(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """A table of batch folders, with its ``batch``; only the batches before a given one on request."""
+    rows = spark.read.schema(f"{schema}, batch BIGINT").parquet(path)
+    return rows if before is None else rows.where(F.col("batch") < before)
+
+
+def _counts(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Words per field, and one row without a field for the number of documents."""
+    words = postings.groupBy("field").agg(F.lit(0).cast("bigint").alias("n_docs"), F.sum("tf").alias("total"))
+    return words.unionByName(docs.agg(F.count("*").alias("n_docs")).select(F.lit(None).cast("string").alias("field"), "n_docs", F.lit(0).cast("bigint").alias("total")))
+
+
+def _less(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: -F.col(c) for c in columns})
+
+
 def index_stream(docs: DataFrame, out: str, checkpoint: str, buckets: int = 64, analyser: str = "simple", once: bool = True) -> StreamingQuery:
-    """Add arriving documents (shaped as by ``index_documents``) to an index that can be searched after each batch."""
+    """Add arriving documents (shaped as by ``index_documents``) to an index that can be searched after each batch.
+
+    A batch writes its postings, its documents, its word frequencies and its field counts. A document that arrives
+    again replaces its earlier text: the earlier batch's rows of it are noted as stale, and its words are taken off the
+    frequencies and counts. Of an id that a batch holds twice the row with the latest ``date_modified`` counts.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_postings(postings_of(batch, buckets, analyser), f"{out}/postings/batch={batch_id}", "overwrite")
-        stored = batch.select("id", "title", "year", "date_modified")
-        stored.write.mode("overwrite").parquet(f"{out}/docs/batch={batch_id}")
+        spark = batch.sparkSession
+        row = F.struct(*[c for c in batch.columns if c != "id"])
+        newest = batch.groupBy("id").agg(F.max_by(row, F.struct(F.coalesce("date_modified", F.lit("")), row)).alias("r")).select("id", "r.*")
+        write_postings(postings_of(newest, buckets, analyser), f"{out}/postings/batch={batch_id}", "overwrite")
+        newest.select("id", "title", "year", "date_modified").write.mode("overwrite").parquet(f"{out}/docs/batch={batch_id}")
+        postings = spark.read.schema(_POSTINGS).parquet(f"{out}/postings/batch={batch_id}")
+        stored = spark.read.schema(_DOCS).parquet(f"{out}/docs/batch={batch_id}")
+        terms, counts = document_frequencies(postings), _counts(postings, stored)
+        if batch_id == 0:
+            stale = spark.createDataFrame([], _STALE)
+        else:
+            earlier = _folder(spark, f"{out}/docs", _DOCS, batch_id).select("id", F.col("batch").alias("old"))
+            noted = _folder(spark, f"{out}/stale", _STALE, batch_id).select("id", "old")
+            stale = earlier.join(stored.select("id"), "id", "left_semi").join(noted, ["id", "old"], "left_anti")
+        stale.write.mode("overwrite").parquet(f"{out}/stale/batch={batch_id}")
+        stale = spark.read.schema(_STALE).parquet(f"{out}/stale/batch={batch_id}")
+        if not stale.isEmpty():
+            gone = _folder(spark, f"{out}/postings", _POSTINGS, batch_id).withColumnRenamed("batch", "old").join(stale, ["id", "old"], "left_semi")
+            terms = terms.unionByName(_less(document_frequencies(gone), "df"))
+            counts = counts.unionByName(_less(_counts(gone, stale), "n_docs", "total"))
+        by_bucket = terms.repartition("bucket").sortWithinPartitions("bucket", "term", "field")
+        by_bucket.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/terms/batch={batch_id}")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
 
     return run(docs, handle, checkpoint, once)
 
 
 def open_stream_index(spark: SparkSession, out: str, buckets: int = 64, analyser: str = "simple") -> Index:
-    """The index as of the batches written so far. A filter on terms reaches the scan through the frequency count."""
-    postings = spark.read.schema(_POSTINGS).parquet(f"{out}/postings").drop("batch")
-    docs = spark.read.schema(_DOCS).parquet(f"{out}/docs").drop("batch")
-    return Index(postings, document_frequencies(postings), field_statistics(postings, docs), docs, buckets, analyser)
+    """The index as of the batches written so far, each document by its newest text.
+
+    Frequencies and counts are sums over the small tables of the batches, so a search reads postings of its own words
+    only. Stale rows are left out by a join with the noted (id, batch) pairs.
+    """
+    stale = _folder(spark, f"{out}/stale", _STALE).select("id", F.col("old").alias("batch"))
+    postings = _folder(spark, f"{out}/postings", _POSTINGS)
+    docs = _folder(spark, f"{out}/docs", _DOCS)
+    if not stale.isEmpty():
+        postings, docs = (rows.join(stale, ["id", "batch"], "left_anti") for rows in (postings, docs))
+    terms = _folder(spark, f"{out}/terms", "bucket INT, term STRING, field STRING, df BIGINT").groupBy("bucket", "term", "field").agg(F.sum("df").alias("df"))
+    counts = _folder(spark, f"{out}/counts", _COUNTS)
+    n_docs = counts.agg(F.sum("n_docs")).scalar()
+    totals = counts.where("field IS NOT NULL").groupBy("field").agg(F.sum("total").alias("total")).where("total > 0")
+    stats = totals.select("field", n_docs.alias("n_docs"), "total", (F.col("total").cast("double") / n_docs).alias("avgdl"))
+    return Index(postings.drop("batch"), terms.where("df > 0"), stats, docs.drop("batch"), buckets, analyser)
+
+
+def merge_stream_index(spark: SparkSession, out: str, target: str, buckets: int = 64, analyser: str = "simple") -> Index:
+    """Rewrite the index of a stream as one plain index in ``target``: few files per bucket, no stale rows."""
+    index = open_stream_index(spark, out, buckets, analyser)
+    write_postings(index.postings, f"{target}/postings")
+    index.docs.write.parquet(f"{target}/docs")
+    index.terms.repartition("bucket").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(f"{target}/terms")
+    index.stats.coalesce(1).write.parquet(f"{target}/stats")
+    return read_index(spark, target, buckets, analyser)
 
 
 def categorise_stream(

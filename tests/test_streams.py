@@ -67,6 +67,28 @@ def test_index_in_batches(spark):
     assert sorted(found.collect()) == sorted(search.search(batch, query).collect())
 
 
+def test_a_document_that_comes_again_replaces_its_text(spark):
+    schema = "id BIGINT, title STRING, abstract STRING, authors STRING, keywords STRING, fulltext STRING, year INT, date_modified STRING"
+    row = lambda i, text, when: (i, f"title {i}", "", "", "", text, 2000, when)
+    batches = [
+        [row(1, "old words", "1"), row(2, "old other", "1"), row(3, "stay here", "1")],
+        [row(1, "fresh words", "2"), row(4, "early", "1"), row(4, "late", "2")],
+        [row(1, "third text", "3"), row(2, "fresh", "3")],
+    ]
+    folder, out, checkpoint = (scratch_path(spark, x) for x in ("feed", "out", "progress"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        jobs.index_stream(jobs.read_files(spark, folder, spark.createDataFrame(rows, schema).schema), out, checkpoint, 4).awaitTermination()
+    now = spark.createDataFrame([row(1, "third text", "3"), row(2, "fresh", "3"), row(3, "stay here", "1"), row(4, "late", "2")], schema)
+    want = ix.write_index(now, scratch_path(spark, "index"), 4)
+    merged = jobs.merge_stream_index(spark, out, scratch_path(spark, "merged"), 4)
+    for index in (jobs.open_stream_index(spark, out, 4), merged):
+        for words in ("old words", "fresh early late", "third text stay"):
+            assert sorted(search.search(index, search.any_of(words)).collect()) == sorted(search.search(want, search.any_of(words)).collect())
+        assert sorted(search.result_rows(index, search.search(index, search.any_of("title"))).select("id").collect()) == [(1,), (2,), (3,), (4,)]
+        assert sorted(index.stats.collect()) == sorted(want.stats.collect())
+
+
 def test_progress_counts(spark):
     counts = {r.outcome: r.n for r in streams.stream_progress(spark, SF).collect()}
     assert sum(counts.values()) == streams.stream_import(spark, SF).count()
