@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.batches import BROADCAST_BYTES, Batches, Words, by_ids, map_batches, mix, pieces, texts_of
@@ -118,8 +118,8 @@ def shingle_table(docs: DataFrame, words: int, percent: int, classes: np.ndarray
     )
 
 
-def _tokens(groups: DataFrame) -> DataFrame:
-    """One row per group and prefix token: token, place in the prefix, group and size."""
+def _tokens(groups: DataFrame, classes: np.ndarray) -> DataFrame:
+    """One row per group and prefix token: token, whether it is common, place in the prefix, group and size."""
 
     def spread(batches: Batches) -> Batches:
         for b in batches:
@@ -130,14 +130,29 @@ def _tokens(groups: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(tokens, pa.int64()),
+                    pa.array(classes[(tokens.view(np.uint64) >> np.uint64(46)).astype(np.int64)] > 0),
                     pa.array(place.astype(np.int32)),
                     pa.array(np.repeat(b["grp"].to_numpy(), lengths)),
                     pa.array(np.repeat(b["n_shingles"].to_numpy(), lengths).astype(np.int32)),
                 ],
-                ["token", "place", "grp", "n"],
+                ["token", "common", "place", "grp", "n"],
             )
 
-    return map_batches(groups.select("grp", "n_shingles", "prefix"), spread, "token bigint, place int, grp bigint, n int")
+    return map_batches(groups.select("grp", "n_shingles", "prefix"), spread, "token bigint, common boolean, place int, grp bigint, n int")
+
+
+def _shared_tokens(tokens: DataFrame) -> DataFrame:
+    """The token rows whose token occurs in several groups, with the smallest of them as the token's leader.
+
+    A token that the sketch does not call common has at most two sketch means of rows, less than a partition's share,
+    so one shuffle and a window find its groups. Common tokens are few and may have very many rows: they are counted
+    before the shuffle and joined back.
+    """
+    plain, common = tokens.where("NOT common").drop("common"), tokens.where("common").drop("common")
+    of_token = Window.partitionBy("token")
+    met = plain.withColumns({"groups": F.count("*").over(of_token), "leader": F.min("grp").over(of_token)}).where("groups > 1").drop("groups")
+    often = common.groupBy("token").agg(F.count("*").alias("groups"), F.min("grp").alias("leader")).where("groups > 1").drop("groups")
+    return met.unionByName(common.join(often, "token"))
 
 
 def _may_reach(percent: int) -> str:
@@ -166,18 +181,31 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return map_batches(both.select("a", "b", "x", "y"), check, "a bigint, b bigint")
 
 
+def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether ``shared`` common prefix tokens, and all that lies behind a prefix, can make the needed overlap.
+
+    Common tokens up to the earlier of the two prefix ends lie in both prefixes; behind it one set has only its rest.
+    """
+    rest = F.ceil(F.greatest(n, m) * percent / 100) - 1
+    return (100 + percent) * (shared + rest) >= percent * (n + m)
+
+
 def _star_pairs(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every group with the leader it shares most prefix tokens with, every member with its group's first."""
+    """(a, b): every group with the leader of most of its tokens, every member with the first content of its group."""
     lead = shared.where("grp = leader").select("token", F.struct("n", "place").alias("r"))
     met = shared.where("grp <> leader").select("token", "grp", "leader", F.struct("n", "place").alias("l")).join(lead, "token")
     ties = met.where(_may_reach(percent)).groupBy("grp", "leader").count()
-    best = ties.groupBy("grp").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-    stars = best.select(F.least("grp", "leader").alias("a"), F.greatest("grp", "leader").alias("b"))
+    best = written(ties.groupBy("grp").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")), "best-leaders")
+    own = shared.select("grp", "token", "n").join(best, "grp")
+    other = shared.select(F.col("grp").alias("leader"), "token", F.col("n").alias("m")).join(best.select("leader").distinct(), "leader", "left_semi")
+    counted = own.join(other, ["leader", "token"]).groupBy("grp", "leader").agg(F.count("*").alias("s"), F.max("n").alias("n"), F.max("m").alias("m"))
+    near = counted.where(_enough(F.col("s"), F.col("n"), F.col("m"), percent))
+    stars = near.select(F.least("grp", "leader").alias("a"), F.greatest("grp", "leader").alias("b"))
     return stars.unionByName(members.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))).distinct()
 
 
 def _pairs_apart(shared: DataFrame, members: DataFrame, now: DataFrame, percent: int) -> DataFrame:
-    """(a, b) in different components that share a prefix token, or a group, and may reach the threshold."""
+    """(a, b) in different components that share enough prefix tokens, or a group, to reach the threshold."""
     placed = members.join(now, "node", "left").select("grp", "node", "n_shingles", F.coalesce("component", "node").alias("comp"))
     by_token = shared.select("token", "grp", "n", "place").join(placed, "grp").select(F.lit(0).alias("kind"), F.col("token").alias("key"), "node", "comp", "n", "place")
     by_group = placed.select(
@@ -192,7 +220,18 @@ def _pairs_apart(shared: DataFrame, members: DataFrame, now: DataFrame, percent:
     left = open_rows.select("kind", "key", F.col("comp").alias("one"), F.col("node").alias("x"), F.struct("n", "place").alias("l"))
     right = open_rows.select("kind", "key", F.col("comp").alias("two"), F.col("node").alias("y"), F.struct("n", "place").alias("r"))
     met = meet.join(left, ["kind", "key", "one"]).join(right, ["kind", "key", "two"]).where(_may_reach(percent))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Contents of one group have the whole prefix in common.
+    tokens = F.sum(F.when(F.col("kind") == 1, F.col("l.n")).otherwise(1))
+    counted = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+        tokens.alias("s"), F.max("l.n").alias("n"), F.max("r.n").alias("m")
+    )
+    return counted.where(_enough(F.col("s"), F.col("n"), F.col("m"), percent)).select("a", "b")
+
+
+def _texts_of_pairs(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and text of the documents in some pairs, read from where they lie when the pairs are few."""
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
+    return written(by_ids(source.withColumnRenamed("doc_id", "node"), nodes, ["node"], 8).select("node", "text"), "texts")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -204,7 +243,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     doc_id each has the component of its own text. An empty table gives an empty result. Shingles are compared by 64-bit hashes.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    table = written(shingle_table(source, words, percent, _frequency_classes(source, words)), "shingles")
+    classes = _frequency_classes(source, words)
+    table = written(shingle_table(source, words, percent, classes), "shingles")
     usable = table.where("doc_id IS NOT NULL AND n_shingles > 0")
     contents = usable.groupBy("content", "n_shingles", "prefix_digest").agg(F.min("doc_id").alias("node"))
     contents = written(contents, "contents")
@@ -212,19 +252,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     members = written(contents.join(groups, ["prefix_digest", "n_shingles"]).select("grp", "node", "n_shingles", "content"), "members")
 
     first = members.where("grp = node").select(F.col("node").alias("doc_id"), "grp", "content")
-    tokens = _tokens(by_ids(usable.select("doc_id", "content", "n_shingles", "prefix"), first, ["doc_id", "content"], 32))
-    often = tokens.groupBy("token").agg(F.count("*").alias("groups"), F.min("grp").alias("leader")).where("groups > 1")
-    shared = written(tokens.join(often.drop("groups"), "token"), "shared-tokens")
-
-    several = members.groupBy("grp").count().where("count > 1").select("grp")
-    crowd = written(members.join(several.unionByName(shared.select("grp")).distinct(), "grp").select("node", "content"), "crowd")
-    bodies = by_ids(source.withColumnRenamed("doc_id", "node"), crowd.select("node").distinct(), ["node"], 8)
-    texts = written(bodies.select("node", "text"), "texts")
+    prefixes = by_ids(usable.select("doc_id", "content", "n_shingles", "prefix"), first, ["doc_id", "content"], 32)
+    shared = written(_shared_tokens(_tokens(prefixes, classes)), "shared-tokens")
 
     stars = written(_star_pairs(shared, members, percent), "star-pairs")
-    linked = written(_verify(stars, texts, words, percent), "star-links")
-    apart = _pairs_apart(shared, members, components(linked), percent)
-    more = written(_verify(written(apart.join(stars, ["a", "b"], "left_anti"), "rest-pairs"), texts, words, percent), "rest-links")
+    linked = written(_verify(stars, _texts_of_pairs(source, stars), words, percent), "star-links")
+    apart = _pairs_apart(shared, members, components(linked), percent).join(stars, ["a", "b"], "left_anti")
+    rest = written(apart, "rest-pairs")
+    more = written(_verify(rest, _texts_of_pairs(source, rest), words, percent), "rest-links")
     final = components(linked.unionByName(more))
 
     of_content = contents.join(final, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
