@@ -1,149 +1,142 @@
-"""English stems by the published Porter2 rules, for tokens of letters and digits (no apostrophes)."""
+"""English stems by the published Porter2 rules, for lower-case tokens of letters and digits (no apostrophes).
 
-from __future__ import annotations
+Every rule is one SQL expression over the columns before it, in the functions that Spark and DuckDB share, so the same
+steps run as column expressions here and as nested selects in an oracle.
+"""
 
-from functools import lru_cache
+from __future__ import annotations
 
-import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # The published rule tables.
-_VOWELS = frozenset("aeiouy")
-_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
-_LI_ENDINGS = frozenset("cdeghkmnrt")
-_WHOLE = {
+VOWEL = "[aeiouy]"
+CONSONANT = "[^aeiouy]"
+DOUBLES = "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
+SHORT_END = "(^[aeiouy][^aeiouy]$)|([^aeiouy][aeiouy][^aeiouywxY]$)"
+LI_ENDINGS = "[cdeghkmnrt]$"
+WHOLE = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl",
     "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news",
     "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
 }
-_KEPT_AFTER_1A = frozenset("inning outing canning herring earring proceed exceed succeed".split())
-_STEP2 = {
+KEPT_AFTER_1A = "inning outing canning herring earring proceed exceed succeed".split()
+STEP2 = {
     "ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive", "tional": "tion",
     "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate", "alism": "al", "aliti": "al", "ousli": "ous",
     "iviti": "ive", "fulli": "ful", "enci": "ence", "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate",
     "alli": "al", "bli": "ble", "ogi": "og", "li": "",
 }
-_STEP3 = {
+STEP3 = {
     "ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ative": "", "ical": "ic",
     "ness": "", "ful": "",
 }
-_STEP4 = (
+STEP4 = (
     "ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion",
     "al", "er", "ic",
 )
+SPARK, DUCK = "spark", "duck"
+
+
+def _cut(column: str, n: int) -> str:
+    return f"substr({column}, 1, length({column}) - {n})"
+
+
+def _ends(column: str, suffix: str) -> str:
+    return f"{column} LIKE '%{suffix}'"
+
+
+def _suffix_step(column: str, rules: dict[str, str], region: dict[str, str], extra: dict[str, str]) -> str:
+    """The longest suffix decides: replaced when it lies in its region and the letters before it allow it."""
+    cases = []
+    for suffix in sorted(rules, key=len, reverse=True):
+        n, base = len(suffix), _cut(column, len(suffix))
+        allowed = f"length({column}) - {n} >= {region.get(suffix, region[''])}"
+        if suffix in extra:
+            allowed += f" AND {extra[suffix].replace('@', base)}"
+        cases.append(f"WHEN {_ends(column, suffix)} THEN CASE WHEN {allowed} THEN concat({base}, '{rules[suffix]}') ELSE {column} END")
+    return f"CASE {' '.join(cases)} ELSE {column} END"
+
+
+def stem_steps(word: str, dialect: str = SPARK) -> list[tuple[str, str]]:
+    """(column, expression) pairs in order; the last column, ``stem``, holds the stem of ``word``."""
+    duck = dialect == DUCK
+
+    def has(column: str, pattern: str) -> str:
+        return f"regexp_matches({column}, '{pattern}')" if duck else f"{column} RLIKE '{pattern}'"
+
+    def after(column: str) -> str:
+        return f"length(regexp_extract({column}, '^.*?{VOWEL}{CONSONANT}', 0))"
+
+    marked = f"regexp_replace({word}, '^y', 'Y')"
+    marked = f"regexp_replace({marked}, '([aeiouy])y', '\\1Y', 'g')" if duck else f"regexp_replace({marked}, '([aeiouy])y', '$1Y')"
+    whole = " ".join(f"WHEN {word} = '{a}' THEN '{b}'" for a, b in WHOLE.items())
+    kept = ", ".join(f"'{w}'" for w in KEPT_AFTER_1A)
+    steps = [
+        ("s_m", marked),
+        (
+            "s_r1",
+            f"CASE WHEN {has('s_m', '^(gener|arsen)')} THEN 5 WHEN {has('s_m', '^commun')} THEN 6 "
+            f"WHEN {has('s_m', VOWEL + CONSONANT)} THEN {after('s_m')} ELSE length(s_m) END",
+        ),
+        ("s_rest", "substr(s_m, s_r1 + 1)"),
+        ("s_r2", f"CASE WHEN {has('s_rest', VOWEL + CONSONANT)} THEN s_r1 + {after('s_rest')} ELSE length(s_m) END"),
+        (
+            "s_1a",
+            f"CASE WHEN {_ends('s_m', 'sses')} THEN {_cut('s_m', 2)} "
+            f"WHEN {has('s_m', 'ie[ds]$')} THEN CASE WHEN length(s_m) > 4 THEN {_cut('s_m', 2)} ELSE {_cut('s_m', 1)} END "
+            f"WHEN {has('s_m', '[^us]s$')} AND {has(_cut('s_m', 2), VOWEL)} THEN {_cut('s_m', 1)} ELSE s_m END",
+        ),
+        (
+            "s_base",
+            "CASE "
+            + " ".join(f"WHEN {_ends('s_1a', s)} THEN {_cut('s_1a', len(s))}" for s in ("ingly", "edly", "ing", "ed"))
+            + " ELSE '' END",
+        ),
+        (
+            "s_1b",
+            f"CASE WHEN {_ends('s_1a', 'eedly')} THEN CASE WHEN length(s_1a) - 5 >= s_r1 THEN {_cut('s_1a', 3)} ELSE s_1a END "
+            f"WHEN {_ends('s_1a', 'eed')} THEN CASE WHEN length(s_1a) - 3 >= s_r1 THEN {_cut('s_1a', 1)} ELSE s_1a END "
+            f"WHEN {has('s_base', VOWEL)} THEN CASE WHEN {has('s_base', '(at|bl|iz)$')} THEN concat(s_base, 'e') "
+            f"WHEN {has('s_base', DOUBLES)} THEN {_cut('s_base', 1)} "
+            f"WHEN s_r1 >= length(s_base) AND {has('s_base', SHORT_END)} THEN concat(s_base, 'e') ELSE s_base END ELSE s_1a END",
+        ),
+        ("s_1c", f"CASE WHEN {has('s_1b', '^.+' + CONSONANT + '[yY]$')} THEN concat({_cut('s_1b', 1)}, 'i') ELSE s_1b END"),
+        ("s_2", _suffix_step("s_1c", STEP2, {"": "s_r1"}, {"ogi": _ends("@", "l"), "li": has("@", LI_ENDINGS)})),
+        ("s_3", _suffix_step("s_2", STEP3, {"": "s_r1", "ative": "s_r2"}, {})),
+        ("s_4", _suffix_step("s_3", dict.fromkeys(STEP4, ""), {"": "s_r2"}, {"ion": has("@", "[st]$")})),
+        (
+            "s_5",
+            f"CASE WHEN {_ends('s_4', 'e')} THEN CASE WHEN length(s_4) - 1 >= s_r2 OR (length(s_4) - 1 >= s_r1 AND NOT {has(_cut('s_4', 1), SHORT_END)}) "
+            f"THEN {_cut('s_4', 1)} ELSE s_4 END WHEN {_ends('s_4', 'll')} AND length(s_4) - 1 >= s_r2 THEN {_cut('s_4', 1)} ELSE s_4 END",
+        ),
+        (
+            "stem",
+            f"CASE WHEN length({word}) <= 2 THEN {word} {whole} WHEN s_1a IN ({kept}) THEN s_1a ELSE replace(s_5, 'Y', 'y') END",
+        ),
+    ]
+    return steps
+
+
+def with_stem(rows: DataFrame, word: str) -> DataFrame:
+    """Add ``stem`` of a word column."""
+    columns = rows.columns
+    for name, expression in stem_steps(word):
+        rows = rows.withColumn(name, F.expr(expression))
+    return rows.select(*[c for c in columns if c != "stem"], "stem")
+
+
+def stem_query(table: str, word: str) -> str:
+    """DuckDB: the rows of a table expression with ``stem`` and the columns of the steps."""
+    for name, expression in stem_steps(word, DUCK):
+        table = f"(SELECT *, {expression} AS {name} FROM {table})"
+    return table
+
+
+def stems_of(spark: SparkSession, words: list[str]) -> list[str]:
+    """Stems of a handful of query words; a local table that is evaluated where the plan is made, without a job."""
+    if not words:
+        return []
+    rows = spark.createDataFrame(list(enumerate(words)), "n INT, word STRING")
+    return [r["stem"] for r in sorted(with_stem(rows, "word").collect())]
 
-
-def _region(word: str, start: int) -> int:
-    """Where the part after the first vowel-consonant pair begins."""
-    for i in range(start + 1, len(word)):
-        if word[i] not in _VOWELS and word[i - 1] in _VOWELS:
-            return i + 1
-    return len(word)
-
-
-def _short_end(w: str) -> bool:
-    if len(w) == 2:
-        return w[0] in _VOWELS and w[1] not in _VOWELS
-    return len(w) > 2 and w[-3] not in _VOWELS and w[-2] in _VOWELS and w[-1] not in _VOWELS and w[-1] not in "wxY"
-
-
-def _mark_y(word: str) -> str:
-    out: list[str] = []
-    for i, c in enumerate(word):
-        out.append("Y" if c == "y" and (i == 0 or out[i - 1] in _VOWELS) else c)
-    return "".join(out)
-
-
-def _step1(w: str, r1: int) -> str:
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith(("ied", "ies")):
-        w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and any(c in _VOWELS for c in w[:-2]):
-        w = w[:-1]
-    if w in _KEPT_AFTER_1A:
-        return w
-    for suffix in ("eedly", "eed"):
-        if w.endswith(suffix):
-            w = w[: -len(suffix)] + "ee" if len(w) - len(suffix) >= r1 else w
-            break
-    else:
-        for suffix in ("ingly", "edly", "ing", "ed"):
-            if w.endswith(suffix):
-                base = w[: -len(suffix)]
-                if any(c in _VOWELS for c in base):
-                    if base.endswith(("at", "bl", "iz")):
-                        base += "e"
-                    elif base.endswith(_DOUBLES):
-                        base = base[:-1]
-                    elif r1 >= len(base) and _short_end(base):
-                        base += "e"
-                    w = base
-                break
-    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWELS:
-        w = w[:-1] + "i"
-    return w
-
-
-def _longest(w: str, table) -> str | None:
-    return max((s for s in table if w.endswith(s)), key=len, default=None)
-
-
-def _step2(w: str, r1: int) -> str:
-    s = _longest(w, _STEP2)
-    if s is None or len(w) - len(s) < r1:
-        return w
-    base = w[: -len(s)]
-    if s == "ogi" and not base.endswith("l") or s == "li" and base[-1:] not in _LI_ENDINGS:
-        return w
-    return base + _STEP2[s]
-
-
-def _step3(w: str, r1: int, r2: int) -> str:
-    s = _longest(w, _STEP3)
-    if s is None or len(w) - len(s) < (r2 if s == "ative" else r1):
-        return w
-    return w[: -len(s)] + _STEP3[s]
-
-
-def _step4(w: str, r2: int) -> str:
-    s = _longest(w, _STEP4)
-    if s is None or len(w) - len(s) < r2:
-        return w
-    base = w[: -len(s)]
-    return w if s == "ion" and base[-1:] not in ("s", "t") else base
-
-
-def _step5(w: str, r1: int, r2: int) -> str:
-    last = len(w) - 1
-    if w.endswith("e") and (last >= r2 or last >= r1 and not _short_end(w[:-1])):
-        return w[:-1]
-    return w[:-1] if w.endswith("ll") and last >= r2 else w
-
-
-@lru_cache(maxsize=200_000)
-def stem(word: str) -> str:
-    if len(word) <= 2:
-        return word
-    if word in _WHOLE:
-        return _WHOLE[word]
-    w = _mark_y(word)
-    prefix = next((p for p in ("gener", "commun", "arsen") if w.startswith(p)), None)
-    r1 = len(prefix) if prefix else _region(w, 0)
-    r2 = _region(w, r1)
-    w = _step1(w, r1)
-    if w not in _KEPT_AFTER_1A:
-        w = _step5(_step4(_step3(_step2(w, r1), r1, r2), r2), r1, r2)
-    return w.replace("Y", "y")
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def stem_all(tokens: pd.Series) -> pd.Series:
-    """Stems of whole token lists; each worker remembers the words it has seen."""
-    return tokens.map(lambda words: None if words is None else [stem(w) for w in words])
-
-
-@F.pandas_udf(StringType())
-def stem_word(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")

@@ -13,9 +13,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions.stem import stem, stem_all, stem_word
+from foliant.functions.stem import stems_of, with_stem
 from foliant.functions.text import or_empty, spread_out
-from foliant.session import ship_package
 
 FIELDS = ("title", "abstract", "authors", "keywords", "fulltext")
 # What a word is, and the length in bytes from which a word is not indexed.
@@ -66,18 +65,14 @@ def _field_words(docs: DataFrame, analyser: str) -> DataFrame:
     # A dropped long word keeps its place, so the length is counted and positions are left alone.
     kept = F.size(F.filter("words", lambda w: F.octet_length(w) < LONG_WORD))
     rows = rows.withColumn("dl", kept)
-    if analyser == "en_stem":
-        ship_package(docs.sparkSession)
-        rows = rows.withColumn("raw", F.col("words")).withColumn("words", stem_all("words"))
-        both = spread_out(rows.select("id", "field", "dl", F.arrays_zip("raw", "words").alias("both")), F.col("both"), "w", "pos")
-        return both.select("id", "field", "dl", "pos", F.col("w.words").alias("term"), F.col("w.raw").alias("raw"))
     exploded = spread_out(rows, F.col("words"), "term", "pos").select("id", "field", "dl", "pos", "term")
-    return exploded.withColumn("raw", F.col("term"))
+    return exploded.where(F.octet_length("term") < LONG_WORD)
 
 
 def tokenize(docs: DataFrame, analyser: str = "simple") -> DataFrame:
     """One row per word: (id, field, dl, pos, term)."""
-    return _field_words(docs, analyser).where(F.octet_length("raw") < LONG_WORD).drop("raw")
+    rows = _field_words(docs, analyser)
+    return rows if analyser == "simple" else with_stem(rows, "term").drop("term").withColumnRenamed("stem", "term")
 
 
 def term_bucket(term: Column, buckets: int) -> Column:
@@ -88,8 +83,12 @@ def postings_of(docs: DataFrame, buckets: int, analyser: str = "simple") -> Data
     """Postings rows. Documents are spread by id first, so that grouping the words of a document needs no
     further shuffle: the texts move once, not the much larger word rows."""
     spread = docs.repartition("id")
-    grouped = tokenize(spread, analyser).groupBy("id", "field", "dl", "term").agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")
+    words_at = _field_words(spread, analyser).groupBy("id", "field", "dl", "term").agg(F.collect_list("pos").alias("at"))
+    if analyser == "en_stem":  # each different word of a document is stemmed once; its words meet where they are
+        stemmed = with_stem(words_at, "term").groupBy("id", "field", "dl", F.col("stem").alias("term"))
+        words_at = stemmed.agg(F.flatten(F.collect_list("at")).alias("at"))
+    grouped = words_at.select(
+        "id", "field", "dl", "term", F.size("at").cast("bigint").alias("tf"), F.sort_array("at").alias("positions")
     )
     return grouped.select(
         term_bucket(F.col("term"), buckets).alias("bucket"), "term", "field", "id", "tf", "dl", "positions"
@@ -175,11 +174,10 @@ def index_drift(index: Index, papers: DataFrame) -> DataFrame:
 
 def stems_of_terms(index: Index) -> DataFrame:
     """Stem of every distinct word of an index."""
-    ship_package(index.terms.sparkSession)
-    return index.terms.select("term").distinct().withColumn("stem", stem_word("term"))
+    return with_stem(index.terms.select("term").distinct(), "term")
 
 
-def analyse_query(text: str, analyser: str) -> list[str]:
+def analyse_query(text: str, index: Index) -> list[str]:
     """Index terms of a query text; a query is a handful of words, so this runs where the plan is made."""
     found = re.findall(r"[^\W_]+", text.lower())
-    return [stem(w) for w in found] if analyser == "en_stem" else found
+    return stems_of(index.docs.sparkSession, found) if index.analyser == "en_stem" else found

@@ -170,7 +170,7 @@ def clause_hits(index: Index, clauses: list[Clause]) -> DataFrame | None:
             if c.value[0].replace("*", ""):
                 parts.append(_glob_hits(index, no, c.value[0], c.fields))
         else:
-            terms = analyse_query(c.value[0], index.analyser)
+            terms = analyse_query(c.value[0], index)
             if len(terms) == 1:
                 single.append((no, terms[0], c.fields))
             elif terms:
@@ -202,7 +202,7 @@ def search(index: Index, clauses: list[Clause]) -> DataFrame:
 def _usable(index: Index, c: Clause) -> bool:
     if c.kind == "glob":
         return bool(c.value[0].replace("*", ""))
-    return c.kind == "years" or bool(analyse_query(c.value[0], index.analyser))
+    return c.kind == "years" or bool(analyse_query(c.value[0], index))
 
 
 def best_first(hits: DataFrame) -> DataFrame:

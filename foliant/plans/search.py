@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions.stem import stem_query
 from foliant.operators import index as ix
 from foliant.operators import search as op
 from foliant.operators.listing import Filters
@@ -100,12 +101,24 @@ def avg_field_length(spark, sf_dir):
     return library_index(spark, sf_dir).stats.withColumn("avgdl", F.round("avgdl", 6))
 
 
-@query("stem_terms")
+@query("stem_terms", _TOKENS + f"SELECT term, stem FROM {stem_query('(SELECT DISTINCT term FROM tok)', 'term')}")
 def stem_terms(spark, sf_dir):
     return ix.stems_of_terms(library_index(spark, sf_dir))
 
 
-@query("search_stemmed")
+_STEMMED = _WEIGHTS.replace("FROM tok GROUP BY term, field, id)", "FROM stemmed GROUP BY term, field, id)").replace(
+    "post AS MATERIALIZED",
+    f"""stems AS MATERIALIZED (SELECT term, stem FROM {stem_query('(SELECT DISTINCT term FROM tok)', 'term')}),
+stemmed AS (SELECT id, field, pos, stem AS term FROM tok JOIN stems USING (term)),
+post AS MATERIALIZED""",
+    1,
+)
+
+
+@query("search_stemmed", _STEMMED + f"""
+SELECT id, {_ROUND} FROM scored WHERE term IN (SELECT stem FROM {stem_query("(SELECT unnest(['retitioning', 'licensed', 'ouens']) AS term)", 'term')})
+GROUP BY id ORDER BY score DESC, id
+""")
 def search_stemmed(spark, sf_dir):
     index = library_index(spark, sf_dir, "en_stem")
     return shown(op.best_first(op.search(index, op.any_of("retitioning Licensed ouens"))))
