@@ -34,7 +34,7 @@ def by_ids(rows: DataFrame, ids: DataFrame, on: list[str], row_bytes: int) -> Da
     return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), on)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts together hold about ``limit`` bytes; a longer text is a range of its own."""
     import pyarrow.compute as pc
 

@@ -26,9 +26,11 @@ from foliant.llm.components import components
 from foliant.session import written
 
 #: Counters of the frequency sketch (four bytes each), the same at every size of the corpus.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
 #: A sketch is summed in slices of this many counters.
-_SLICE = 1 << 13
+_SLICE = 1 << 15
+#: Bits by which a shingle hash is shifted to give its counter.
+_SHIFT = np.uint64(64 - 20)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,7 +56,7 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
 
 
 def _frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
-    """Class of each counter: 0 up to twice the mean of the sketch, then one more with every doubling."""
+    """Class of each counter: 0 within four deviations of the median, then one more with every doubling of the excess."""
 
     def count(batches: Batches) -> Batches:
         sketch = np.zeros(SKETCH, np.int64)
@@ -62,13 +64,13 @@ def _frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
             for start, stop in pieces(b, "text"):
                 sets = list(shingle_sets(texts_of(b, "text", start, stop), words))
                 if sets:
-                    sketch += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
+                    sketch += np.bincount((np.concatenate(sets) >> _SHIFT).astype(np.int64), minlength=SKETCH)
         used = [k for k in range(0, SKETCH, _SLICE) if sketch[k : k + _SLICE].any()]
-        parts = [sketch[k : k + _SLICE].astype("<i8").tobytes() for k in used]
+        parts = [sketch[k : k + _SLICE].astype("<i4").tobytes() for k in used]  # one task stays below 2^31
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
+        sums = sum(np.frombuffer(c, "<i4" if len(c) == 4 * _SLICE else "<i8").astype("<i8") for c in pdf["counts"])
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [sums.tobytes()]})
 
     # Summed in two rounds, so that no group holds the slices of all tasks.
@@ -78,13 +80,15 @@ def _frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
     sketch = np.zeros(SKETCH, np.int64)
     for r in total.collect():  # at most SKETCH numbers
         sketch[r["slice"] : r["slice"] + _SLICE] = np.frombuffer(bytes(r["counts"]), "<i8")
-    mean = max(1.0, sketch.mean())
-    return np.maximum(0, np.ceil(np.log2(np.maximum(sketch, 1) / mean)) - 1).astype(np.uint8)
+    usual = float(np.median(sketch))
+    slack = 4 * max(1.0, usual) ** 0.5  # counters of single shingles spread like random counts
+    excess = np.maximum(sketch - usual, 0.5 * slack) / slack
+    return np.maximum(0, np.ceil(np.log2(excess)) + 1).astype(np.uint8) * (excess > 1)
 
 
 def _ordered(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Shingles in the global order."""
-    return shingles[np.lexsort((shingles, classes[(shingles >> np.uint64(46)).astype(np.int64)]))]
+    return shingles[np.lexsort((shingles, classes[(shingles >> _SHIFT).astype(np.int64)]))]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -130,7 +134,7 @@ def _tokens(groups: DataFrame, classes: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(tokens, pa.int64()),
-                    pa.array(classes[(tokens.view(np.uint64) >> np.uint64(46)).astype(np.int64)] > 0),
+                    pa.array(classes[(tokens.view(np.uint64) >> _SHIFT).astype(np.int64)] > 0),
                     pa.array(place.astype(np.int32)),
                     pa.array(np.repeat(b["grp"].to_numpy(), lengths)),
                     pa.array(np.repeat(b["n_shingles"].to_numpy(), lengths).astype(np.int32)),
@@ -144,8 +148,8 @@ def _tokens(groups: DataFrame, classes: np.ndarray) -> DataFrame:
 def _shared_tokens(tokens: DataFrame) -> DataFrame:
     """The token rows whose token occurs in several groups, with the smallest of them as the token's leader.
 
-    A token that the sketch does not call common has at most two sketch means of rows, less than a partition's share,
-    so one shuffle and a window find its groups. Common tokens are few and may have very many rows: they are counted
+    A token that the sketch does not call common has at most its counter's number of rows, little more than one of
+    ``SKETCH`` equal shares of all shingles, so one shuffle and a window find its groups. Common tokens are few and may have very many rows: they are counted
     before the shuffle and joined back.
     """
     plain, common = tokens.where("NOT common").drop("common"), tokens.where("common").drop("common")
