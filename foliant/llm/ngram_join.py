@@ -31,6 +31,7 @@ SKETCH = 1 << 20
 _SLICE = 1 << 15
 #: Bits by which a shingle hash is shifted to give its counter.
 _SHIFT = np.uint64(64 - 20)
+_BITS = ("b0", "b1", "b2", "b3")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,6 +92,13 @@ def _ordered(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return shingles[np.lexsort((shingles, classes[(shingles >> _SHIFT).astype(np.int64)]))]
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """256 parity bits of a set as four numbers. A shingle in one of two sets only flips one bit, so the number of bits
+    in which two sets differ is at most the number of shingles they do not share."""
+    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Shingles to look at so that a partner with at least ``percent`` Jaccard similarity shares one of them."""
     return n - -(-n * percent // 100) + 1
@@ -101,7 +109,7 @@ def shingle_table(docs: DataFrame, words: int, percent: int, classes: np.ndarray
 
     def scan(batches: Batches) -> Batches:
         for b in batches:
-            sizes, digests, groups, prefixes = [], [], [], []
+            sizes, digests, groups, prefixes, bits = [], [], [], [], []
             for start, stop in pieces(b, "text"):
                 for s in shingle_sets(texts_of(b, "text", start, stop), words):
                     ordered = _ordered(s, classes)
@@ -110,15 +118,22 @@ def shingle_table(docs: DataFrame, words: int, percent: int, classes: np.ndarray
                     digests.append(hashlib.blake2b(ordered.tobytes(), digest_size=16).digest())
                     groups.append(hashlib.blake2b(prefix.tobytes(), digest_size=16).digest())
                     prefixes.append(prefix.astype("<u8").tobytes())
+                    bits.append(parity_bits(s))
+            words_of_bits = np.array(bits, np.int64).reshape(len(bits), 4).T
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(sizes, pa.int64()), *[pa.array(c, pa.binary()) for c in (digests, groups, prefixes)]],
-                ["doc_id", "n_shingles", "content", "prefix_digest", "prefix"],
+                [
+                    b["doc_id"],
+                    pa.array(sizes, pa.int64()),
+                    *[pa.array(c, pa.binary()) for c in (digests, groups, prefixes)],
+                    *[pa.array(np.ascontiguousarray(w)) for w in words_of_bits],
+                ],
+                ["doc_id", "n_shingles", "content", "prefix_digest", "prefix", *_BITS],
             )
 
     return map_batches(
         docs.select(F.col("doc_id").cast("bigint"), "text"),
         scan,
-        "doc_id bigint, n_shingles bigint, content binary, prefix_digest binary, prefix binary",
+        "doc_id bigint, n_shingles bigint, content binary, prefix_digest binary, prefix binary, b0 bigint, b1 bigint, b2 bigint, b3 bigint",
     )
 
 
@@ -165,6 +180,12 @@ def _may_reach(percent: int) -> str:
     return f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) AND {100 + percent} * {most} >= {percent} * (l.n + r.n)"
 
 
+def _bits_allow(percent: int) -> str:
+    """The sets differ in few enough parity bits for the needed overlap."""
+    apart = " + ".join(f"bit_count(l.{b} ^ r.{b})" for b in _BITS)
+    return f"{100 + percent} * (l.n + r.n - ({apart})) >= {2 * percent} * (l.n + r.n)"
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose similarity reaches the threshold. Texts meet in two joins on single nodes."""
 
@@ -210,20 +231,26 @@ def _star_pairs(shared: DataFrame, members: DataFrame, percent: int) -> DataFram
 
 def _pairs_apart(shared: DataFrame, members: DataFrame, now: DataFrame, percent: int) -> DataFrame:
     """(a, b) in different components that share enough prefix tokens, or a group, to reach the threshold."""
-    placed = members.join(now, "node", "left").select("grp", "node", "n_shingles", F.coalesce("component", "node").alias("comp"))
-    by_token = shared.select("token", "grp", "n", "place").join(placed, "grp").select(F.lit(0).alias("kind"), F.col("token").alias("key"), "node", "comp", "n", "place")
+    placed = members.join(now, "node", "left").select("grp", "node", "n_shingles", *_BITS, F.coalesce("component", "node").alias("comp"))
+    by_token = shared.select("token", "grp", "n", "place").join(placed, "grp").select(
+        F.lit(0).alias("kind"), F.col("token").alias("key"), "node", "comp", "n", "place", *_BITS
+    )
     by_group = placed.select(
-        F.lit(1).alias("kind"), F.col("grp").alias("key"), "node", "comp", F.col("n_shingles").cast("int").alias("n"), F.lit(0).alias("place")
+        F.lit(1).alias("kind"), F.col("grp").alias("key"), "node", "comp", F.col("n_shingles").cast("int").alias("n"), F.lit(0).alias("place"), *_BITS
     )
     rows = by_token.unionByName(by_group)
     split = rows.groupBy("kind", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("kind", "key")
     open_rows = written(rows.join(split, ["kind", "key"]), "open-tokens")
-    # Components of a key are paired first: rows of one component never meet one another.
-    comps = open_rows.select("kind", "key", "comp").distinct()
-    meet = comps.withColumnRenamed("comp", "one").join(comps.withColumnRenamed("comp", "two"), ["kind", "key"]).where("one < two")
-    left = open_rows.select("kind", "key", F.col("comp").alias("one"), F.col("node").alias("x"), F.struct("n", "place").alias("l"))
-    right = open_rows.select("kind", "key", F.col("comp").alias("two"), F.col("node").alias("y"), F.struct("n", "place").alias("r"))
-    met = meet.join(left, ["kind", "key", "one"]).join(right, ["kind", "key", "two"]).where(_may_reach(percent))
+    # Components of a key are paired first, so rows of one component never meet one another; the rows of the smaller
+    # component come in first, and of the pairs with the larger one only those that sizes, places and bits allow come out.
+    comps = open_rows.groupBy("kind", "key", "comp").agg(F.count("*").alias("c"))
+    ones = comps.select("kind", "key", F.col("comp").alias("one"), F.col("c").alias("c1"))
+    twos = comps.select("kind", "key", F.col("comp").alias("two"), F.col("c").alias("c2"))
+    meet = ones.join(twos, ["kind", "key"]).where("c1 < c2 OR c1 = c2 AND one < two").drop("c1", "c2")
+    facts = F.struct("n", "place", *_BITS)
+    left = open_rows.select("kind", "key", F.col("comp").alias("one"), F.col("node").alias("x"), facts.alias("l"))
+    right = open_rows.select("kind", "key", F.col("comp").alias("two"), F.col("node").alias("y"), facts.alias("r"))
+    met = meet.join(left, ["kind", "key", "one"]).join(right, ["kind", "key", "two"]).where(f"{_may_reach(percent)} AND {_bits_allow(percent)}")
     # Contents of one group have the whole prefix in common.
     tokens = F.sum(F.when(F.col("kind") == 1, F.col("l.n")).otherwise(1))
     counted = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
@@ -250,10 +277,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     classes = _frequency_classes(source, words)
     table = written(shingle_table(source, words, percent, classes), "shingles")
     usable = table.where("doc_id IS NOT NULL AND n_shingles > 0")
-    contents = usable.groupBy("content", "n_shingles", "prefix_digest").agg(F.min("doc_id").alias("node"))
+    contents = usable.groupBy("content", "n_shingles", "prefix_digest", *_BITS).agg(F.min("doc_id").alias("node"))
     contents = written(contents, "contents")
     groups = contents.groupBy("prefix_digest", "n_shingles").agg(F.min("node").alias("grp"))
-    members = written(contents.join(groups, ["prefix_digest", "n_shingles"]).select("grp", "node", "n_shingles", "content"), "members")
+    members = written(contents.join(groups, ["prefix_digest", "n_shingles"]).select("grp", "node", "n_shingles", "content", *_BITS), "members")
 
     first = members.where("grp = node").select(F.col("node").alias("doc_id"), "grp", "content")
     prefixes = by_ids(usable.select("doc_id", "content", "n_shingles", "prefix"), first, ["doc_id", "content"], 32)

@@ -85,8 +85,17 @@ def test_prefix_bound_holds():
                     assert n - ngram_join.prefix_length(n, 75) + 1 <= common
 
 
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 20, 300):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[n // 5 :], rng.integers(0, 2**63, n // 4, dtype=np.uint64)])
+        apart = sum(int(np.uint64(a ^ b)).bit_count() for a, b in zip(ngram_join.parity_bits(x).view("<u8"), ngram_join.parity_bits(y).view("<u8")))
+        assert apart <= len(np.setxor1d(x, y))
+
+
 def sim_hash(words):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(words)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
