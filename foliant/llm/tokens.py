@@ -7,6 +7,7 @@ import json
 import os
 from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from foliant.session import scratch_path, written
 
 #: Fixed value: the split pattern of tokenizers that encode every blank-free run by itself.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Distinct words a worker remembers before it starts afresh; results do not depend on it.
-MEMO_WORDS = 700_000
+#: Distinct words a worker remembers; when they are reached it keeps the short ones, which come again most often.
+#: Results do not depend on it.
+MEMO_WORDS = 1_000_000
+SHORT_WORD = 9
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -57,6 +60,10 @@ class Encoder:
             and kinds == ["NFC", "Replace", "Lowercase"]
         )
         self.special = [t["content"].encode() for t in config.get("added_tokens", [])]
+        if self.by_word:
+            end, vocabulary = config["model"]["end_of_word_suffix"], config["model"]["vocab"]
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
 
     def encode(self, text: str) -> bytes:
         if self.pieces is not None:
@@ -80,18 +87,36 @@ class Encoder:
 
     def _learn(self, words: list[bytes], missing: set[bytes]) -> None:
         if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-            missing = set(words)
+            kept = {w: ids for w, ids in self.memo.items() if len(w) <= SHORT_WORD}
+            self.memo = kept if 2 * len(kept) <= MEMO_WORDS else {}
+            missing = {w for w in words if w not in self.memo}
         # A full stop or comma after an ASCII letter or digit is a token run of its own.
         ended = {w for w in missing if len(w) > 1 and w[-1] in b".," and (97 <= w[-2] <= 122 or 48 <= w[-2] <= 57)}
         plain = [w for w in (missing - ended | {w[:-1] for w in ended} | {b".", b","}) if w not in self.memo]
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)
-        for word, e in zip(plain, found):
+        texts = [w.decode() for w in plain]
+        letters = [(w, t) for w, t in zip(plain, texts) if t.isalpha()]
+        if letters and not self._learn_letters(letters):
+            letters = []
+        others = [(w, t) for w, t in zip(plain, texts) if not (letters and t.isalpha())]
+        for (word, _), e in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
             self.memo[word] = array("I", e.ids).tobytes()
         for w in ended:
             self.memo[w] = self.memo[w[:-1]] + self.memo[w[-1:]]
 
 
+    def _learn_letters(self, words: list[tuple[bytes, str]]) -> bool:
+        """Encode words of letters as one text; each ends with its only end-of-word token. False if that fails to add up."""
+        ids = np.array(self.tokenizer.encode(" ".join(t for _, t in words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return False
+        raw, at = ids.tobytes(), 0
+        for (word, _), end in zip(words, (4 * ends).tolist()):
+            self.memo[word] = raw[at:end]
+            at = end
+        return True
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process."""
     if path not in _LOADED:
@@ -133,7 +158,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     picked = texts.join(wanted.hint("shuffle_hash"), "chosen").where(content_digest() == F.col("digest")).select("digest", "text")
     map_batches(picked, encode, schema).write.mode("append").parquet(cache)
     stored = spark.read.schema(schema).parquet(cache).where(F.col("version") == version)
-    counts = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Runs at the same time may have stored a count twice. Written down, the counts are joined by a plain scan, so that
+    # adaptive execution can split the rows of a very common text.
+    counts = written(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
