@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from foliant.session import ship_package
+from foliant.session import scratch_path, ship_package
 
 Batches = Iterator[pa.RecordBatch]
 #: Texts of one Arrow batch; keeps a task's memory independent of the length of its documents.
@@ -34,6 +34,20 @@ def by_ids(rows: DataFrame, ids: DataFrame, on: list[str], row_bytes: int) -> Da
     return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), on)
 
 
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its path, so that a later round can drop it."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that no result reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts together hold about ``limit`` bytes; a longer text is a range of its own."""
     import pyarrow.compute as pc

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import embeddings, lines, mixing, ngram_join, order_minhash, packing, quality, tokens, toxicity, urls
+from foliant.llm import ball_codes, embeddings, lines, mixing, ngram_join, order_minhash, packing, quality, tokens, toxicity, urls
+from foliant.llm.vector_oracles import ball_codes_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,3 +166,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_embedding_near")
 def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+# --- 12: vector codes -----------------------------------------------------------------------------------------------
+
+
+@_query("op12_ball_codes", ball_codes_sql())
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes.compress(_table(spark, sf_dir, "embeddings"))
