@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import ball_codes, embeddings, lines, mixing, ngram_join, order_minhash, packing, quality, tokens, toxicity, urls
+from foliant.llm import ball_codes, embeddings, lines, mixing, ngram_join, nn_descent, order_minhash, packing, prefix_trie, quality, tokens, toxicity, urls
+from foliant.llm.trie_oracle import CONVERSATION_TRIE
 from foliant.llm.vector_oracles import ball_codes_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,9 +169,26 @@ def op10_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+# --- 11: conversations ----------------------------------------------------------------------------------------------
+
+
+@_query("op11_prefix_trie", CONVERSATION_TRIE)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 # --- 12: vector codes -----------------------------------------------------------------------------------------------
 
 
 @_query("op12_ball_codes", ball_codes_sql())
 def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+# --- 13: nearest neighbours -----------------------------------------------------------------------------------------
+
+
+@_query("op13_nn_descent")
+def op13_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return nn_descent.greedy_search(nn_descent.build_graph(rows), rows.where("vec_id % 50 = 0"), top=5)
