@@ -188,8 +188,8 @@ def _local_join(k: int):
         empty = pd.DataFrame({"node": np.zeros(0, np.int64), "found": []})
         if not len(members) or not len(vectors):
             return empty
-        vectors = vectors.sort_values("member", ignore_index=True)
-        ids, last = vectors["member"].to_numpy(np.int64), vectors["last"].to_numpy(np.float32)
+        vectors = vectors.sort_values("id", ignore_index=True)
+        ids, last = vectors["id"].to_numpy(np.int64), vectors["last"].to_numpy(np.float32)
         x = np.concatenate([_matrix(vectors["small"]), np.zeros((1, len(vectors["small"].iloc[0]) // 2), np.float32)])
         members = members.groupby(["node", "member"], as_index=False)["fresh"].max()
         at = np.searchsorted(ids, members["member"].to_numpy(np.int64))
@@ -237,8 +237,8 @@ def _descend(lists: DataFrame, points: DataFrame, k: int, most: int, salt: int)
     members = written(both.join(moved, "node").join(points.select("node", "block"), "node").select("block", "node", "member", "fresh"), "members")
     last = F.when(F.size("near") < k, -(1 << 30)).otherwise(F.element_at("near", -1)["score"]).alias("last")
     known = points.select("node", "small").join(lists.select("node", last), "node").withColumnRenamed("node", "member")
-    wanted = members.select("block", "member").distinct().join(known, "member").select("block", "member", "small", "last")
-    found = members.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(_local_join(k), f"node bigint, found {_ITEM}")
+    wanted = members.select(F.col("block").alias("home"), "member").distinct().join(known, "member").select("home", F.col("member").alias("id"), "small", "last")
+    found = members.groupBy("block").cogroup(wanted.groupBy("home")).applyInPandas(_local_join(k), f"node bigint, found {_ITEM}")
     old = F.transform("near", lambda e: F.struct(e["score"].alias("score"), e["other"].alias("other")))
     rows = lists.select("node", old.alias("old"), F.lit(None).cast(_ITEM).alias("found")).unionByName(
         found.select("node", F.lit(None).cast(_ITEM).alias("old"), "found")
