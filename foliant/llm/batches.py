@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,6 +49,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished rounds: its cleaner acts when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts together hold about ``limit`` bytes; a longer text is a range of its own."""
     import pyarrow.compute as pc

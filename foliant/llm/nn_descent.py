@@ -19,23 +19,23 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.batches import Batches, drop_table, map_batches, stored
+from foliant.llm.batches import Batches, drop_table, map_batches, mix, release_shuffles, stored
 from foliant.session import ship_package, written
 
-#: Unit vectors are multiplied by this and rounded; by Cauchy-Schwarz every partial inner product stays below 2^24, exact in float32.
-SCALE = 4000
+#: Unit vectors are multiplied by this and rounded to a byte a component; their inner products are exact in float32.
+SCALE = 127
 #: Nodes of a leaf, on average.
 LEAF = 512
 #: Trees are fitted on at most so many nodes, those with the smallest digests, and hold at most so many numbers a tree.
 FIT_NODES, FIT_NUMBERS = 32768, 1 << 19
 #: Sample of a fitted leaf.
 _LEAST = 16
-_ITEM = "array<struct<score:int,other:bigint>>"
+_FOUND = "array<struct<score:int,other:bigint,home:bigint>>"
+_LISTS = "block bigint, node bigint, small binary, near array<struct<score:int,other:bigint,home:bigint,fresh:boolean>>"
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def _usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
                 unit = unit / math.sqrt(float(unit @ unit))
                 ids.append(i), widths.append(len(x)), raws.append(x.tobytes())
                 digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                smalls.append(np.rint(unit * SCALE).astype("<i2").tobytes())
+                smalls.append(np.rint(unit * SCALE).astype(np.int8).tobytes())
             columns = [pa.array(ids, pa.int64()), pa.array(widths, pa.int32()), *[pa.array(c, pa.binary()) for c in (digests, raws, smalls)]]
             yield pa.RecordBatch.from_arrays(columns, ["id", "width", "digest", "raw", "small"])
 
@@ -78,9 +78,9 @@ def _first(rows: DataFrame, keys: list[str], order: list[str], n: int, name: str
     return rows.withColumn(name, place).where(F.col(name) <= n)
 
 
-def _matrix(rows: pd.Series | list[bytes]) -> np.ndarray:
+def _matrix(rows: list[bytes]) -> np.ndarray:
     parts = list(rows)
-    return np.frombuffer(b"".join(parts), "<i2").reshape(len(parts), -1).astype(np.float32)
+    return np.frombuffer(b"".join(parts), np.int8).reshape(len(parts), -1).astype(np.float32)
 
 
 # --- First lists: projection trees ----------------------------------------------------------------------------------
@@ -144,58 +144,152 @@ def _in_leaves(points: DataFrame, trees: int, seed: int) -> DataFrame:
     return placed.join(F.broadcast(shares), leaf).select("node", "small", "tree", F.xxhash64(*leaf, share).alias("block"))
 
 
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k largest of every row, unordered."""
-    if scores.shape[1] <= k:
-        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.StructArray]:
+    """Lengths of the lists of a column and their items."""
+    lists = column.combine_chunks()
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+
+
+def _ragged(sizes: np.ndarray, **items: np.ndarray) -> pa.ListArray:
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in items.values()], list(items)))
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Place of every row among those of its key; equal keys lie together."""
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
+    return np.arange(len(keys)) - np.repeat(heads, np.diff(np.concatenate((heads, [len(keys)]))))
+
+
+def _nearest_first(node: np.ndarray, other: np.ndarray, score: np.ndarray, fresh: np.ndarray, k: int) -> np.ndarray:
+    """Row numbers of the k best different entries of every node, in order; of equal ones that which is not fresh."""
+    order = np.lexsort((fresh, other, -score, node))
+    n, o = node[order], other[order]
+    one = np.concatenate(([True], (n[1:] != n[:-1]) | (o[1:] != o[:-1]))) if len(n) else np.zeros(0, bool)
+    order = order[one]
+    return order[_ranks(node[order]) < k]
 
 
 def _leaf_lists(k: int):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, x = pdf["node"].to_numpy(np.int64), _matrix(pdf["small"])
-        found = []
+    """Of every node of a leaf: its k nearest there."""
+
+    def compare(rows: pa.Table) -> pa.Table:
+        nodes, homes, x = rows["node"].to_numpy(), rows["home"].to_numpy(), _matrix(rows["small"].to_pylist())
+        most = min(k, len(x) - 1)
+        picked, scored = [], []
         for at in range(0, len(x), 1024):  # a share may be larger than the average
             scores = x[at : at + 1024] @ x.T
             scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
-            best = _top(scores, k)
-            for i, row in enumerate(best):
-                found.append([{"score": int(scores[i, j]), "other": int(nodes[j])} for j in row if j != at + i])
-        return pd.DataFrame({"node": nodes, "found": found})
+            best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most else np.zeros((len(scores), 0), int)
+            picked.append(best.ravel()), scored.append(np.take_along_axis(scores, best, 1).ravel())
+        j, score = np.concatenate(picked), np.concatenate(scored).astype(np.int32)
+        found = _ragged(np.full(len(x), most), score=score, other=nodes[j], home=homes[j])
+        return pa.table({"home": rows["home"], "node": rows["node"], "found": found})
 
     return compare
 
 
-def _best(items: Column, k: int) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(items), asc=False), 1, k)
+def _merged(k: int):
+    """The lists of a block's nodes with what was found for them."""
 
+    def merge(lists: pa.Table, found: pa.Table) -> pa.Table:
+        node = lists["node"].to_numpy()
+        sizes, old = _flat(lists["near"])
+        more, new = _flat(found["found"])
+        node_of = np.concatenate([np.repeat(node, sizes), np.repeat(found["node"].to_numpy(), more)])
+        score, other, home = (
+            np.concatenate([old.field(c).to_numpy(zero_copy_only=False), new.field(c).to_numpy(zero_copy_only=False)]) for c in ("score", "other", "home")
+        )
+        fresh = np.arange(len(node_of)) >= len(old)
+        best = _nearest_first(node_of, other, score, fresh, k)
+        order = np.argsort(node, kind="stable")
+        held = np.searchsorted(node_of[best], node[order], side="right") - np.searchsorted(node_of[best], node[order])
+        near = _ragged(held, score=score[best], other=other[best], home=home[best], fresh=fresh[best])
+        return pa.table({"block": lists["block"].take(order), "node": node[order], "small": lists["small"].take(order), "near": near})
 
-# --- Rounds of NN-descent -------------------------------------------------------------------------------------------
+    return merge
 
 
-def _sampled_edges(lists: DataFrame, most: int, salt: int) -> DataFrame:
-    """node, other, fresh: of the edges into one node about ``most``, all where there are no more."""
-    edges = lists.select("node", F.explode("near").alias("e")).select("node", "e.other", "e.fresh")
-    into = edges.groupBy("other").agg(F.count("*").alias("degree"))
-    chance = F.pmod(F.xxhash64("node", "other", F.lit(salt)), F.lit(1 << 20)) * F.col("degree") < most << 20
-    return edges.join(into, "other").where(chance).select("node", "other", "fresh")
+# --- Rounds of NN-descent -------------------------------------------------------------------------------------------
 
 
-def _local_join(k: int):
+def _chosen(node: np.ndarray, other: np.ndarray, degree: np.ndarray, most: int, salt: int) -> np.ndarray:
+    """Whether an edge is in this round's sample: all edges into ``other``, or about ``most`` where ``degree`` is more."""
+    u = mix(mix(node.astype(np.uint64) + np.uint64(salt)) ^ other.astype(np.uint64)) >> np.uint64(11)
+    return u.astype(np.float64) * degree < float(most) * (1 << 53)
+
+
+def _gathered(k: int, most: int, salt: int):
+    """Of every node of a block the members of its join: its neighbours (``ahead``) and some of those it is a neighbour
+    of; and one row without a node that names each member of the block once."""
+
+    def gather(lists: pa.Table, back: pa.Table) -> pa.Table:
+        node = lists["node"].to_numpy()
+        sizes, near = _flat(lists["near"])
+        item = {c: near.field(c).to_numpy(zero_copy_only=False) for c in ("score", "other", "home", "fresh")}
+        last = np.full(len(node), -(1 << 30), np.int64)
+        full = np.flatnonzero(sizes >= k)
+        last[full] = item["score"][np.cumsum(sizes)[full] - 1]
+        to, source = back["node"].to_numpy(), back["member"].to_numpy()
+        order = np.argsort(node, kind="stable")
+        at = order[np.searchsorted(node[order], to)]
+        degree = np.bincount(at, minlength=len(node))
+        some = _chosen(source, to, degree[at], most, salt)
+        row = np.concatenate([np.repeat(np.arange(len(node)), sizes), at[some]])
+        member = np.concatenate([item["other"], source[some]])
+        home = np.concatenate([item["home"], back["member_home"].to_numpy()[some]])
+        fresh = np.concatenate([item["fresh"], back["fresh"].to_numpy(zero_copy_only=False)[some]]).astype(bool)
+        ahead = np.arange(len(row)) < len(item["other"])
+        moving = np.bincount(row[fresh], minlength=len(node)) > 0  # nothing is new at the others
+        open_rows = np.flatnonzero(moving[row])
+        open_rows = open_rows[np.argsort(row[open_rows], kind="stable")]
+        _, one = np.unique(member[open_rows], return_index=True)
+        each = open_rows[one]
+        joined = np.concatenate([open_rows, each])
+        held = np.concatenate([np.bincount(row[open_rows], minlength=len(node)), [len(each)]])
+        members = _ragged(held, member=member[joined], home=home[joined], fresh=fresh[joined], ahead=ahead[joined])
+        none = [None]
+        return pa.table(
+            {
+                "block": pa.array([*lists["block"].to_pylist(), lists["block"][0].as_py()], pa.int64()),
+                "node": pa.array([*node.tolist(), None], pa.int64()),
+                "small": pa.array(lists["small"].to_pylist() + none, pa.binary()),
+                "last": pa.array([*last.tolist(), None], pa.int64()),
+                "degree": pa.array([*degree.tolist(), None], pa.int64()),
+                "members": members,
+            }
+        )
+
+    return gather
+
+
+def _local_join(k: int, most: int, salt: int):
     """At every node of a block: pairs of its members, one of them fresh, that are nearer than a member's last neighbour."""
 
-    def join(members: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"node": np.zeros(0, np.int64), "found": []})
-        if not len(members) or not len(vectors):
-            return empty
-        vectors = vectors.sort_values("id", ignore_index=True)
-        ids, last = vectors["id"].to_numpy(np.int64), vectors["last"].to_numpy(np.float32)
-        x = np.concatenate([_matrix(vectors["small"]), np.zeros((1, len(vectors["small"].iloc[0]) // 2), np.float32)])
-        members = members.groupby(["node", "member"], as_index=False)["fresh"].max()
-        at = np.searchsorted(ids, members["member"].to_numpy(np.int64))
-        _, starts, sizes = np.unique(members["node"].to_numpy(np.int64), return_index=True, return_counts=True)
-        fresh = members["fresh"].to_numpy(bool)
-        froms, tos, scores = [], [], []
+    def join(members: pa.Table, vectors: pa.Table) -> pa.Table:
+        empty = np.zeros(0, np.int64)
+        nothing = pa.table({"home": empty, "node": empty, "found": _ragged(empty, score=empty.astype(np.int32), other=empty, home=empty)})
+        if not len(vectors):
+            return nothing
+        ids, homes, last, degree = (vectors[c].to_numpy() for c in ("id", "home", "last", "degree"))
+        by_id = np.argsort(ids)
+        ids, homes, last, degree = ids[by_id], homes[by_id], last[by_id].astype(np.float32), degree[by_id]
+        smalls = vectors["small"].to_pylist()
+        x = np.concatenate([_matrix([smalls[i] for i in by_id]), np.zeros((1, len(smalls[0])), np.float32)])
+        node = members["node"].to_numpy(zero_copy_only=False)
+        sizes, items = _flat(members["members"])
+        row, member = np.repeat(np.arange(len(node)), sizes), items.field("member").to_numpy(zero_copy_only=False)
+        at = np.searchsorted(ids, member)
+        ahead, fresh = (items.field(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("ahead", "fresh"))
+        keep = ~ahead | _chosen(node[row].astype(np.int64), member, degree[at], most, salt)
+        order = np.flatnonzero(keep)
+        order = order[np.lexsort((~fresh[order], at[order], row[order]))]
+        row, at, fresh = row[order], at[order], fresh[order]
+        one = np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1]))) if len(row) else np.zeros(0, bool)
+        row, at, fresh = row[one], at[one], fresh[one]
+        _, starts, sizes = np.unique(row, return_index=True, return_counts=True)
+        froms, tos, scores = [empty], [empty], [empty.astype(np.float32)]
+        bars = np.concatenate([last, [np.inf]]).astype(np.float32)
         order = np.argsort(sizes, kind="stable")
         for part in (order[p : p + 32] for p in range(0, len(order), 32)):  # nodes with about as many members
             wide = sizes[part].max()
@@ -203,54 +297,44 @@ def _local_join(k: int):
             there = np.arange(wide)[None, :] < sizes[part][:, None]
             place = np.where(there, place, 0)
             who = np.where(there, at[place], len(ids))
-            new = np.where(there, fresh[place], False)
+            new = there & fresh[place]
             g = x[who]
             s = g @ g.transpose(0, 2, 1)
-            bar = np.concatenate([last, [np.inf]]).astype(np.float32)[who]
-            ok = (s > bar[:, :, None]) & (new[:, :, None] | new[:, None, :]) & there[:, None, :]
+            ok = (s > bars[who][:, :, None]) & (new[:, :, None] | new[:, None, :]) & there[:, None, :]
             ok[:, np.arange(wide), np.arange(wide)] = False
             p, i, j = np.nonzero(ok)
             froms.append(who[p, i]), tos.append(who[p, j]), scores.append(s[p, i, j])
         a, b, s = np.concatenate(froms), np.concatenate(tos), np.concatenate(scores)
-        if not len(a):
-            return empty
-        _, one = np.unique(a * np.int64(len(ids)) + b, return_index=True)
-        a, b, s = a[one], b[one], s[one]
-        order = np.lexsort((b, -s, a))
-        a, b, s = a[order], b[order], s[order]
-        heads = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        rank = np.arange(len(a)) - np.repeat(heads, np.diff(np.concatenate((heads, [len(a)]))))
-        a, b, s = a[rank < k], b[rank < k], s[rank < k]
-        heads = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-        ends = [*heads[1:], len(a)]
-        found = [[{"score": int(s[n]), "other": int(ids[b[n]])} for n in range(h, e)] for h, e in zip(heads, ends)]
-        return pd.DataFrame({"node": ids[a[heads]], "found": found})
+        best = _nearest_first(a, b, s, np.zeros(len(a), bool), k)
+        a, b, s = a[best], b[best], s[best].astype(np.int32)
+        who, held = np.unique(a, return_counts=True)
+        return pa.table({"home": homes[who], "node": ids[who], "found": _ragged(held, score=s, other=ids[b], home=homes[b])})
 
     return join
 
 
-def _descend(lists: DataFrame, points: DataFrame, k: int, most: int, salt: int) -> DataFrame:
-    """One round: the lists after joining neighbours of neighbours. ``fresh`` marks what this round has found."""
-    edges = written(_sampled_edges(lists, most, salt), "edges")
-    both = edges.select("node", F.col("other").alias("member"), "fresh").unionByName(edges.select(F.col("other").alias("node"), F.col("node").alias("member"), "fresh"))
-    moved = both.where("fresh").select("node").distinct()  # only there anything is new
-    members = written(both.join(moved, "node").join(points.select("node", "block"), "node").select("block", "node", "member", "fresh"), "members")
-    last = F.when(F.size("near") < k, -(1 << 30)).otherwise(F.element_at("near", -1)["score"]).alias("last")
-    known = points.select("node", "small").join(lists.select("node", last), "node").withColumnRenamed("node", "member")
-    wanted = members.select(F.col("block").alias("home"), "member").distinct().join(known, "member").select("home", F.col("member").alias("id"), "small", "last")
-    found = members.groupBy("block").cogroup(wanted.groupBy("home")).applyInPandas(_local_join(k), f"node bigint, found {_ITEM}")
-    old = F.transform("near", lambda e: F.struct(e["score"].alias("score"), e["other"].alias("other")))
-    rows = lists.select("node", old.alias("old"), F.lit(None).cast(_ITEM).alias("found")).unionByName(
-        found.select("node", F.lit(None).cast(_ITEM).alias("old"), "found")
+def _descend(lists: DataFrame, k: int, most: int, salt: int) -> tuple[DataFrame, str]:
+    """One round: the lists after joining neighbours of neighbours, and their path. ``fresh`` marks what was found."""
+    spark = lists.sparkSession
+    back = lists.select("block", "node", F.explode("near").alias("e")).select(
+        F.col("e.home").alias("home"), F.col("e.other").alias("node"), F.col("node").alias("member"), F.col("block").alias("member_home"), "e.fresh"
     )
-    merged = rows.groupBy("node").agg(F.flatten(F.collect_list("found")).alias("found"), F.flatten(F.collect_list("old")).alias("old"))
-    near = F.transform(_best(F.concat("old", "found"), k), lambda e: F.struct(e["score"].alias("score"), e["other"].alias("other"), (~F.array_contains("old", e)).alias("fresh")))
-    return merged.select("node", near.alias("near"))
+    kind = "block bigint, node bigint, small binary, last bigint, degree bigint, members array<struct<member:bigint,home:bigint,fresh:boolean,ahead:boolean>>"
+    gathered = lists.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(_gathered(k, most, salt), kind)
+    members, members_path = stored(gathered, "members")
+    known = members.where("node IS NOT NULL").select(F.col("node").alias("id"), "small", "last", "degree")
+    wanted = members.where("node IS NULL").select(F.col("block").alias("asking"), F.explode("members").alias("m")).select("asking", F.col("m.member").alias("id"), "m.home")
+    vectors = wanted.join(known, "id").select("asking", "id", "home", "small", "last", "degree")
+    own = members.where("node IS NOT NULL AND size(members) > 0").select("block", "node", "members")
+    found = own.groupBy("block").cogroup(vectors.groupBy("asking")).applyInArrow(_local_join(k, most, salt), f"home bigint, node bigint, found {_FOUND}")
+    new = stored(lists.groupBy("block").cogroup(found.groupBy("home")).applyInArrow(_merged(k), _LISTS), "lists")
+    drop_table(spark, members_path)
+    return new
 
 
 def build_graph(
-    rows: DataFrame, vector: str = "embedding", id_column: str = "vec_id", k: int = 20, copies: int = 6, trees: int = 3, rounds: int = 6,
-    settled: float = 0.01, seed: int = 11,
+    rows: DataFrame, vector: str = "embedding", id_column: str = "vec_id", k: int = 40, copies: int = 6, trees: int = 4, rounds: int = 8,
+    settled: float = 0.02, seed: int = 11,
 ) -> Graph:
     """The neighbour graph of all complete vectors: each node's ``k`` nearest found, after at most ``rounds`` rounds or when a
     round changes less than ``settled`` of all list entries.
@@ -266,20 +350,24 @@ def build_graph(
     ones = kept.where("place = 1").select(F.col("vec_id").alias("node"), "digest", "width", "small")
     vectors = written(kept.select("vec_id", "digest", "raw").join(ones.select("node", "digest"), "digest"), "node-vectors")
     leaves = written(_in_leaves(ones, trees, seed), "leaf-blocks")
-    points = written(ones.join(leaves.where("tree = 0").select("node", "block"), "node").select("node", "width", "small", "block"), "points")
-    first = leaves.groupBy("block").applyInPandas(_leaf_lists(k), f"node bigint, found {_ITEM}")
-    of_node = first.groupBy("node").agg(_best(F.flatten(F.collect_list("found")), k).alias("near"))  # one list a tree
-    start = F.transform("near", lambda e: F.struct(e["score"].alias("score"), e["other"].alias("other"), F.lit(True).alias("fresh")))
-    lists, path = stored(of_node.select("node", start.alias("near")), "lists")
+    homes = leaves.where("tree = 0").select("node", F.col("block").alias("home"))
+    points = written(ones.select("node", "width", "small"), "points")
+    first = leaves.join(homes, "node").groupBy("block").applyInArrow(_leaf_lists(k), f"home bigint, node bigint, found {_FOUND}")
+    bare = points.join(homes, "node").select(F.col("home").alias("block"), "node", "small", F.array().cast(_LISTS.split("near ")[1]).alias("near"))
+    lists, path = stored(bare.groupBy("block").cogroup(first.groupBy("home")).applyInArrow(_merged(k), _LISTS), "lists")
     size = points.count() * k
     for turn in range(rounds):
-        new, new_path = stored(_descend(lists, points, k, (3 * k) // 4, seed + turn), "lists")
+        new, new_path = _descend(lists, k, (3 * k) // 4, seed + turn)
         drop_table(spark, path)
         lists, path = new, new_path
+        release_shuffles(spark)
         if lists.agg(F.coalesce(F.sum(F.size(F.filter("near", lambda e: e["fresh"]))), F.lit(0))).first()[0] < settled * size:
             break
     # A search may also go back along an edge; where very many edges lead into a node, along a sample of them.
-    back = _sampled_edges(lists, k, seed).select(F.col("other").alias("node"), F.array("node").alias("adjacent"))
+    edges = lists.select("node", F.explode("near.other").alias("other"))
+    into = edges.groupBy("other").agg(F.count("*").alias("degree"))
+    some = F.pmod(F.xxhash64("node", "other"), F.lit(1 << 20)) * F.col("degree") < k << 20
+    back = edges.join(into, "other").where(some).select(F.col("other").alias("node"), F.array("node").alias("adjacent"))
     ahead = lists.select("node", F.transform("near", lambda e: e["other"]).alias("adjacent"))
     ways = ahead.unionByName(back).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"))
     return Graph(vectors, points, lists, written(ways, "ways"))
@@ -295,7 +383,7 @@ def _scores(pairs: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x, y = b["small"].to_pylist(), b["asked"].to_pylist()
-                score = [int(np.frombuffer(p, "<i2").astype(np.int64) @ np.frombuffer(q, "<i2")) for p, q in zip(x, y)] if len({*map(len, x)}) > 1 else np.einsum("ij,ij->i", _matrix(x), _matrix(y)).astype(np.int32)
+                score = [int(np.frombuffer(p, np.int8).astype(np.int64) @ np.frombuffer(q, np.int8)) for p, q in zip(x, y)] if len({*map(len, x)}) > 1 else np.einsum("ij,ij->i", _matrix(x), _matrix(y)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b["query"], b["other"], pa.array(score, pa.int32())], ["query", "other", "score"])
 
     return map_batches(pairs.select("query", "other", "small", "asked"), multiply, "query bigint, other bigint, score int")
@@ -306,7 +394,7 @@ def _entries(graph: Graph, n: int) -> list[int]:
 
 
 def greedy_search(
-    graph: Graph, queries: DataFrame, vector: str = "embedding", id_column: str = "vec_id", top: int = 5, beam: int = 48, step: int = 12, entries: int = 32
+    graph: Graph, queries: DataFrame, vector: str = "embedding", id_column: str = "vec_id", top: int = 5, beam: int = 96, step: int = 24, entries: int = 32
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest found of each query; its own id is no answer.
 
