@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from foliant.functions.text import filled, no_strings, strip_ws
 
 # The shapes of tags and attributes.
-COMMENT = r"(?s)<!--.*?-->"
-CODE = r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>"
+# Scripts, styles and comments, whichever begins first: what looks like one of them inside another is text there.
+UNSEEN = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 META = r"(?i)<meta\b[^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>"
 ATTRIBUTE = r"([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-LINKED_DATA = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
+LINKED_DATA = r"(?is)^<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
 # The named entities of the web, from the standard library's table.
 ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 _ENTITY_TEXT = "\u0001".join(f"{name}\u0002{text}" for name, text in ENTITIES.items())
@@ -60,7 +60,7 @@ def _value(attributes: Column, name: str) -> Column:
 
 def meta_tags(html: Column) -> Column:
     """``array<struct<name, property, content>>`` in page order; content is trimmed, NULL when absent."""
-    visible = F.regexp_replace(F.regexp_replace(html, CODE, ""), COMMENT, "")
+    visible = F.regexp_replace(html, UNSEEN, "")
     tags = F.transform(F.regexp_extract_all(visible, F.lit(META), F.lit(0)), _attributes)
     return F.transform(
         tags,
@@ -89,5 +89,6 @@ def variants(name: str) -> list[str]:
 
 
 def linked_data_blocks(html: Column) -> Column:
-    found = F.regexp_extract_all(F.regexp_replace(html, COMMENT, ""), F.lit(LINKED_DATA), F.lit(1))
+    elements = F.filter(F.regexp_extract_all(html, F.lit(UNSEEN), F.lit(0)), lambda e: e.rlike(LINKED_DATA))
+    found = F.transform(elements, lambda e: F.regexp_extract(e, LINKED_DATA, 1))
     return F.when(F.contains(html, F.lit("application/ld+json")), found).otherwise(no_strings())

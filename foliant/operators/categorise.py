@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,32 +17,41 @@ from foliant.functions.phrases import phrase_words, phrases_of, picked_phrases
 from foliant.functions.text import filled, or_empty, strip_ws
 from foliant.operators.dedupe import skip_processed
 from foliant.operators.numbering import with_new_ids
-from foliant.session import ship_package
+from foliant.session import ship_package, written
 
 THRESHOLD = 0.35
 TAG_COUNT = 5
 DIVERSITY = 0.5
-#: Categories compared at once inside a task.
-BLOCK = 4096
-#: Most bytes of category vectors; a longer list is refused with an error and has to be split by the caller.
-MOST_CATEGORY_BYTES = 1 << 29
+#: Documents and categories compared at once inside a task.
+ROWS, BLOCK = 1024, 4096
+#: Bytes of category vectors that are sent to the tasks at once.
+CATEGORY_BYTES = 1 << 28
 
 
 def similarity_join(documents: DataFrame, categories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, category_id, similarity) of unit vectors whose dot product reaches the threshold.
 
-    One scan of the documents; each task walks the categories in blocks. Categories are a list kept by people and are
-    sent to all tasks; their size is checked. Rows without a vector match nothing; a vector of another width than the
-    categories' is an error, in either table.
+    Each task compares its documents with blocks of categories. Categories up to ``CATEGORY_BYTES`` are sent to all
+    tasks at once; a longer table takes one scan of the documents for every such part of it, whose matches are stored before
+    the next part is sent. Rows without a vector match nothing; a vector of another width than the categories' is an
+    error, in either table.
     """
     known = categories.where(F.col("embedding").isNotNull()).select("category_id", "embedding")
     size = known.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
     if size["n"] and size["least"] != size["most"]:
         raise ValueError(f"category vectors have {size['least']} to {size['most']} components")
     width = size["most"] or 0
-    if size["n"] * width * 8 > MOST_CATEGORY_BYTES:
-        raise ValueError(f"{size['n']} categories of {width} components exceed {MOST_CATEGORY_BYTES} bytes")
-    rows = known.orderBy("category_id").collect()
+    parts = -(-size["n"] * width * 8 // CATEGORY_BYTES) or 1
+    if parts == 1:
+        return _compared(documents, known, width, threshold)
+    share = F.pmod(F.xxhash64("category_id"), F.lit(2 * parts))  # half full on average
+    found = [_compared(documents, known.where(share == k), width, threshold) for k in range(2 * parts)]
+    kept = found if documents.isStreaming else [written(f, "matches") for f in found]
+    return reduce(DataFrame.unionByName, kept)
+
+
+def _compared(documents: DataFrame, categories: DataFrame, width: int, threshold: float) -> DataFrame:
+    rows = categories.orderBy("category_id").collect()  # at most CATEGORY_BYTES
     names = np.array([r.category_id for r in rows], dtype=np.int64)
     matrix = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), width)
     shared = documents.sparkSession.sparkContext.broadcast((names, matrix))
@@ -51,13 +61,14 @@ def similarity_join(documents: DataFrame, categories: DataFrame, threshold: floa
         for batch in batches:
             values = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             own = values.astype(np.float64).reshape(batch.num_rows, width)
-            for start in range(0, len(ids), BLOCK):
-                found = own @ vectors[start : start + BLOCK].T
-                row, col = np.nonzero(found >= threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(row)), pa.array(ids[start + col]), pa.array(found[row, col])],
-                    names=["id", "category_id", "similarity"],
-                )
+            for at in range(0, len(own), ROWS):
+                for start in range(0, len(ids), BLOCK):
+                    found = own[at : at + ROWS] @ vectors[start : start + BLOCK].T
+                    row, col = np.nonzero(found >= threshold)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("id").take(pa.array(at + row)), pa.array(ids[start + col]), pa.array(found[row, col])],
+                        names=["id", "category_id", "similarity"],
+                    )
 
     wrong = F.raise_error(F.concat(F.lit("vector width is not that of the categories: "), F.size("embedding").cast("string")))
     checked = F.when(F.size("embedding") == width, F.col("embedding")).otherwise(wrong)

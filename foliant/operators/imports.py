@@ -11,10 +11,13 @@ from foliant.operators import pages as web
 from foliant.operators import resolve
 from foliant.operators.dedupe import known, lookup, mark_repeats, skip_processed
 from foliant.functions.naming import base_name
+from foliant.operators.categorise import THRESHOLD, apply_categories, assign_collections, ensure_collections, mmr_tags, similarity_join
+from foliant.operators.index import document_frequencies, field_counts, index_documents, postings_of
 from foliant.operators.paths import collision_suffix, plan_destinations
-from foliant.operators.updates import insert_papers
+from foliant.operators.updates import insert_papers, new_papers
 from foliant.operators.titles import fuzzy_title_match
 from foliant.session import written
+from foliant.sources.snapshots import Library, Snapshot
 
 OUTCOME = {
     "seq": "bigint", "item": "string", "outcome": "string", "reason": "string", **resolve.META_TYPES, "open_access": "boolean",
@@ -119,7 +122,7 @@ def import_dois(
     """DOIs: known ones are duplicates, those without an open document fail, the rest take their record."""
     rows = first_of_each(queue, processed).withColumn("doi", filled(strip_ws(F.col("item"))))
     rows = lookup(rows, known(papers, "doi", "_known"), "doi", "seq")
-    rows = lookup(rows, resolve.best_oa_location(oa_records).drop("reason"), "doi", "seq")
+    rows = resolve.with_oa_location(rows, oa_records)
     rows = resolve.resolve_by_doi(rows, articles)
     no_text = F.lit(None).cast("string")
     file_name = F.concat(F.regexp_replace(or_empty(F.col("doi")), r'[/\\:*?"<>|]', "_"), F.lit(".pdf"))
@@ -181,14 +184,68 @@ def _download_reason(status: Column, content_type: Column) -> Column:
     )
 
 
-def stored(outcomes: DataFrame, papers: DataFrame, root: str, now: str) -> DataFrame:
-    """The next paper snapshot: imported items under free paths below ``root``, with new ids in queue order."""
+def _placed(outcomes: DataFrame, papers: DataFrame, root: str, now: str) -> DataFrame:
+    """Rows of imported items under free paths below ``root``, ready to be inserted; ``item`` is where they came from."""
     rows = accepted(outcomes).withColumn("file_name", base_name(F.col("item")))
     planned = written(plan_destinations(rows, root), "planned")
     taken = papers.select(F.col("file_path").alias("path"))
     paths = collision_suffix(planned.select("seq", "dest"), taken).select("seq", F.col("path").alias("file_path"))
-    placed = planned.drop("dest", "file_name", "file_path").join(paths, "seq").withColumn("date_added", F.lit(now))
-    return insert_papers(papers, placed, now)
+    return planned.drop("dest", "file_name", "file_path").join(paths, "seq").withColumn("date_added", F.lit(now))
+
+
+def stored(outcomes: DataFrame, papers: DataFrame, root: str, now: str) -> DataFrame:
+    """The next paper snapshot: imported items under free paths below ``root``, with new ids in queue order."""
+    return insert_papers(papers, _placed(outcomes, papers, root, now), now)
+
+
+def import_into(
+    library: Library,
+    queue: DataFrame,
+    fulltext: DataFrame,
+    articles: DataFrame,
+    books_a: DataFrame,
+    books_b: DataFrame,
+    embeddings: DataFrame,
+    categories: DataFrame,
+    root: str,
+    now: str,
+    match_titles: bool = True,
+    threshold: float = THRESHOLD,
+    with_tags: bool = True,
+) -> tuple[Snapshot, DataFrame]:
+    """A whole import of text documents: metadata, paths, categories and search index, published as one snapshot.
+
+    ``fulltext`` and ``embeddings`` (item, embedding) are keyed by ``item``. Items whose path a paper came from or is stored
+    under are duplicates. Returns the new snapshot and the outcome of every item. Nothing is visible before the snapshot is
+    published; a run that fails leaves only unused folders. Only new papers are categorised and indexed.
+    """
+    base = library.snapshot()
+    papers = base.table("papers")
+    paths = papers.select("file_path")
+    came_from = papers.select(F.lit(None).cast("string").alias("doi"), F.col("source_path").alias("file_path")).distinct()
+    known_rows = papers.select("doi", "file_path").unionByName(came_from.join(paths, "file_path", "left_anti"))
+    outcomes = written(import_documents(queue, fulltext, known_rows, articles, books_a, books_b, None, match_titles), "outcomes")
+    fresh = written(new_papers(papers, _placed(outcomes, papers, root, now).withColumn("source_path", F.col("item")), now, ["source_path"]), "new-papers")
+
+    own = fresh.select("id", F.col("source_path").alias("item"))
+    matches = written(similarity_join(own.join(embeddings, "item").select("id", "embedding"), categories, threshold), "matches")
+    used = categories.join(matches.select("category_id").distinct(), "category_id", "left_semi")
+    tree = written(ensure_collections(base.table("collections"), used), "collections")
+    tags = mmr_tags(fresh) if with_tags else None
+    filed = written(apply_categories(fresh, assign_collections(matches, categories, tree), tags, now), "filed-papers")
+
+    texts = fulltext.select("item", F.array_join("page_texts", "\n").alias("fulltext"))
+    docs = index_documents(filed, own.join(texts, "item").select("id", "fulltext"))
+    postings = written(postings_of(docs, library.buckets, library.analyser), "new-postings")
+    entries = docs.select("id", "title", "year", "date_modified")
+    added = {
+        "papers": filed,
+        "docs": entries,
+        "postings": postings,
+        "terms": document_frequencies(postings),
+        "counts": field_counts(postings, entries),
+    }
+    return library.publish(base, added, {"collections": tree}), outcomes
 
 
 def accepted(outcomes: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.stem import stems_of, with_stem
 from foliant.functions.text import or_empty, spread_out
+from foliant.session import written
 
 FIELDS = ("title", "abstract", "authors", "keywords", "fulltext")
 # What a word is, and the length in bytes from which a word is not indexed.
@@ -22,10 +23,11 @@ WORD = r"[\p{L}\p{N}]+"
 LONG_WORD = 40
 ANALYSERS = ("simple", "en_stem")
 
-_POSTINGS = "bucket INT, term STRING, field STRING, id BIGINT, tf BIGINT, dl INT, positions ARRAY<INT>"
-_TERMS = "bucket INT, term STRING, field STRING, df BIGINT"
+POSTINGS = "bucket INT, term STRING, field STRING, id BIGINT, tf BIGINT, dl INT, positions ARRAY<INT>"
+TERMS = "bucket INT, term STRING, field STRING, df BIGINT"
 _STATS = "field STRING, n_docs BIGINT, total BIGINT, avgdl DOUBLE"
-_DOCS = "id BIGINT, title STRING, year INT, date_modified STRING"
+DOCS = "id BIGINT, title STRING, year INT, date_modified STRING"
+_GRAMS = "bucket INT, gram STRING, term STRING"
 
 
 @dataclass(frozen=True)
@@ -36,6 +38,8 @@ class Index:
     docs: DataFrame
     buckets: int
     analyser: str
+    #: Character 3-grams of the distinct terms, laid out by bucket; an index without them scans its terms for a glob.
+    grams: DataFrame | None = None
 
 
 def index_documents(papers: DataFrame, fulltext: DataFrame) -> DataFrame:
@@ -123,36 +127,80 @@ def write_index(docs: DataFrame, path: str, buckets: int = 64, analyser: str = "
     spark = docs.sparkSession
     write_postings(postings_of(docs, buckets, analyser), f"{path}/postings")
     docs.select("id", "title", "year", "date_modified").write.parquet(f"{path}/docs")
-    postings = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
+    postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
     # One row per word and field, grouped by bucket like the postings: no word can make a bucket heavy here.
     terms = document_frequencies(postings).repartition("bucket").sortWithinPartitions("bucket", "term", "field")
     terms.write.partitionBy("bucket").parquet(f"{path}/terms")
-    stored = spark.read.schema(_DOCS).parquet(f"{path}/docs")
+    write_grams(spark.read.schema(TERMS).parquet(f"{path}/terms"), f"{path}/grams", buckets)
+    stored = spark.read.schema(DOCS).parquet(f"{path}/docs")
     field_statistics(postings, stored).coalesce(1).write.parquet(f"{path}/stats")  # at most one row per field
     return read_index(spark, path, buckets, analyser)
 
 
+def term_grams(term: Column) -> Column:
+    """The 3-grams of a term with its ends marked. Terms are letters and digits, so the marks are no part of them."""
+    return F.array_distinct(F.regexp_extract_all(F.concat(F.lit("^"), term, F.lit("$")), F.lit("(?=(.{3}))"), F.lit(1)))
+
+
+def write_grams(terms: DataFrame, path: str, buckets: int) -> None:
+    """Which terms hold a gram, by bucket of the gram; the vocabulary is read once, whatever the number of fields."""
+    rows = spread_out(terms.select("term").distinct(), term_grams(F.col("term")), "gram")
+    laid = rows.select(term_bucket(F.col("gram"), buckets).alias("bucket"), "gram", "term").hint("rebalance", "bucket")
+    laid.sortWithinPartitions("bucket", "gram", "term").write.partitionBy("bucket").parquet(path)
+
+
 def read_index(spark: SparkSession, path: str, buckets: int = 64, analyser: str = "simple") -> Index:
     return Index(
-        postings=spark.read.schema(_POSTINGS).parquet(f"{path}/postings"),
-        terms=spark.read.schema(_TERMS).parquet(f"{path}/terms"),
+        postings=spark.read.schema(POSTINGS).parquet(f"{path}/postings"),
+        terms=spark.read.schema(TERMS).parquet(f"{path}/terms"),
         stats=spark.read.schema(_STATS).parquet(f"{path}/stats"),
-        docs=spark.read.schema(_DOCS).parquet(f"{path}/docs"),
+        docs=spark.read.schema(DOCS).parquet(f"{path}/docs"),
         buckets=buckets,
         analyser=analyser,
+        grams=spark.read.schema(_GRAMS).parquet(f"{path}/grams"),
     )
 
 
+def field_counts(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Words per field, and one row without a field for the number of documents: counts that can be added up."""
+    per_field = postings.groupBy("field").agg(F.lit(0).cast("bigint").alias("n_docs"), F.sum("tf").alias("total"))
+    number = docs.agg(F.count("*").alias("n_docs"))
+    return per_field.unionByName(number.select(F.lit(None).cast("string").alias("field"), "n_docs", F.lit(0).cast("bigint").alias("total")))
+
+
+def index_of_parts(postings: DataFrame, docs: DataFrame, terms: DataFrame, counts: DataFrame, buckets: int, analyser: str) -> Index:
+    """An index whose frequencies and counts are sums over the small tables of its parts, some of them negative, so that a
+    search reads postings of its own words only."""
+    known = terms.groupBy("bucket", "term", "field").agg(F.sum("df").alias("df")).where("df > 0")
+    n_docs = counts.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).scalar()
+    totals = counts.where("field IS NOT NULL").groupBy("field").agg(F.sum("total").alias("total")).where("total > 0")
+    stats = totals.select("field", n_docs.alias("n_docs"), "total", (F.col("total").cast("double") / n_docs).alias("avgdl"))
+    return Index(postings, known, stats, docs, buckets, analyser)
+
+
 def delete_documents(index: Index, ids: DataFrame) -> Index:
-    """The index without some documents; frequencies and averages follow from what is left."""
-    postings = index.postings.join(ids.select("id"), "id", "left_anti")
-    docs = index.docs.join(ids.select("id"), "id", "left_anti")
+    """The index without some documents. Nothing is rewritten: the deleted ids are stored, with what they take off the
+    fields' counts.
+
+    A search drops deleted rows from the postings of its own words, and takes off their frequencies what the deleted rows
+    of those words make up: filters on bucket and term reach the postings on both ways, so only their buckets are read. The
+    postings of the deleted documents are read once, here, for the lengths.
+    """
+    gone = written(index.docs.join(ids.select("id"), "id", "left_semi").select("id").distinct(), "deleted")
+    theirs = index.postings.join(gone, "id", "left_semi")
+    less = theirs.groupBy("field").agg(F.sum("tf").alias("less"))
+    n = index.docs.agg(F.count("*")).scalar() - gone.agg(F.count("*")).scalar()
+    total = F.col("total") - F.coalesce("less", F.lit(0))
+    left = index.stats.join(less, "field", "left").select("field", n.alias("n_docs"), total.alias("total"), F.try_divide(total.cast("double"), n).alias("avgdl"))
+    off = document_frequencies(theirs).withColumnRenamed("df", "off")
+    df = F.col("df") - F.coalesce("off", F.lit(0))
+    terms = index.terms.join(off, ["bucket", "term", "field"], "left").select("bucket", "term", "field", df.alias("df"))
     return replace(
         index,
-        postings=postings,
-        docs=docs,
-        terms=document_frequencies(postings),
-        stats=field_statistics(postings, docs),
+        postings=index.postings.join(gone, "id", "left_anti"),
+        docs=index.docs.join(gone, "id", "left_anti"),
+        terms=terms.where("df > 0"),
+        stats=written(left.where("total > 0"), "stats"),
     )
 
 
@@ -177,7 +225,10 @@ def stems_of_terms(index: Index) -> DataFrame:
     return with_stem(index.terms.select("term").distinct(), "term")
 
 
-def analyse_query(text: str, index: Index) -> list[str]:
-    """Index terms of a query text; a query is a handful of words, so this runs where the plan is made."""
-    found = re.findall(r"[^\W_]+", text.lower())
-    return stems_of(index.docs.sparkSession, found) if index.analyser == "en_stem" else found
+def analyse_queries(texts: list[str], index: Index) -> list[list[str]]:
+    """Index terms of query texts; a query is a handful of words, so this runs where the plan is made, in one go."""
+    found = [re.findall(r"[^\W_]+", text.lower()) for text in texts]
+    if index.analyser == "simple" or not any(found):
+        return found
+    stems = iter(stems_of(index.docs.sparkSession, [w for words_of in found for w in words_of]))
+    return [[next(stems) for _ in words_of] for words_of in found]

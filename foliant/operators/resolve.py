@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import ids
 from foliant.functions.text import filled, first_filled, no_strings, or_empty
 from foliant.operators.dedupe import known, lookup
+from foliant.operators.updates import last_of_each
 from foliant.session import written
 
 META_TYPES = {
@@ -184,9 +185,15 @@ def resolve_by_doi(items: DataFrame, articles: DataFrame, row_id: str = "seq", n
 def resolve_by_isbn(
     items: DataFrame, books_a: DataFrame, books_b: DataFrame, row_id: str = "seq", name: str = "book"
 ) -> DataFrame:
-    """Add the metadata struct of the item's ISBN: the first book source, else the second."""
-    rows = lookup(items, _by_key(books_a, "isbn", "_a"), "isbn", row_id)
-    rows = lookup(rows, _by_key(books_b, "isbn", "_b"), "isbn", row_id)
+    """Add the metadata struct of the item's ISBN: the first book source, else the second.
+
+    The sources may repeat an ISBN; the smallest record counts. Only records that items ask for are moved.
+    """
+    rows = items.withColumn("_folded", F.lower("isbn"))
+    for side, source in (("_a", books_a), ("_b", books_b)):
+        records = asked_records(source, items, "isbn").select(F.col("_key").alias("_folded"), F.col("record").alias(side))
+        rows = lookup(rows, records, "_folded", row_id)
+    rows = rows.drop("_folded")
     item_b = F.get(F.from_json(F.col("_b"), _BOOK_B)["items"], F.lit(0))
     rows = rows.withColumns({"_a": F.try_parse_json(F.col("_a")), "_b": item_b})
     both = F.coalesce(_book_meta_a(F.col("isbn"), F.col("_a")), _book_meta_b(F.col("isbn"), F.col("_b")))
@@ -229,18 +236,31 @@ def resolve_metadata(
     return rows.withColumn("meta", F.coalesce(*sources, guess)).drop("article", "book", "matched")
 
 
+def _oa_url(record: Column) -> Column:
+    place = lambda name: F.get_json_object(record, f"$.best_oa_location.{name}")
+    return first_filled(place("url_for_pdf"), place("url"))
+
+
 def best_oa_location(oa_records: DataFrame) -> DataFrame:
-    """Best open document address per DOI, or the reason there is none."""
-    record = _by_key(oa_records, "doi", "record")
-    place = lambda name: F.get_json_object("record", f"$.best_oa_location.{name}")
-    url = first_filled(place("url_for_pdf"), place("url"))
-    return record.select("doi", url.alias("oa_url"), F.when(url.isNull(), F.lit("no_oa_pdf")).alias("reason"))
+    """Best open document address per DOI, or the reason there is none. Of several records for one DOI, whatever its
+    letter case, the smallest counts."""
+    one = oa_records.where(F.col("doi").isNotNull()).groupBy(F.lower("doi")).agg(F.min("doi").alias("doi"), F.min("record").alias("record"))
+    url = _oa_url(F.col("record"))
+    return one.select("doi", url.alias("oa_url"), F.when(url.isNull(), F.lit("no_oa_pdf")).alias("reason"))
+
+
+def with_oa_location(items: DataFrame, oa_records: DataFrame, row_id: str = "seq") -> DataFrame:
+    """Add ``oa_url``, the best open document address of the item's DOI, whatever its letter case."""
+    records = asked_records(oa_records, items, "doi").select(F.col("_key").alias("_folded"), F.col("record").alias("_oa"))
+    rows = lookup(items.withColumn("_folded", F.lower("doi")), records, "_folded", row_id)
+    return rows.withColumn("oa_url", _oa_url(F.col("_oa"))).drop("_folded", "_oa")
 
 
 def merge_lookup(papers: DataFrame, fetched: DataFrame, now: str) -> DataFrame:
-    """Papers with the non-empty fields of a fetched row (id and metadata fields) written over them."""
+    """Papers with the non-empty fields of a fetched row (id and metadata fields) written over them. Of rows that repeat
+    an id the last counts, by ``seq`` where there is one."""
     new = {c: f"_new_{c}" for c in META_TYPES}
-    side = fetched.select("id", *[F.col(c).alias(n) for c, n in new.items()], F.lit(True).alias("_hit"))
+    side = last_of_each(fetched.select("id", *META_TYPES, *(["seq"] if "seq" in fetched.columns else []))).select("id", *[F.col(c).alias(n) for c, n in new.items()], F.lit(True).alias("_hit"))
     rows = papers.join(side, "id", "left")
 
     def merged(c: str) -> Column:
@@ -281,9 +301,10 @@ def page_import_outcomes(
 
     Adds ``ok``, ``reason``, ``duplicate``, ``meta`` and ``open_access``.
     """
-    rows = lookup(metadata, known(papers, "doi", "_known"), "doi", row_id)
+    # Read by several look-ups below; the pages themselves are not part of it.
+    rows = lookup(written(metadata, "page-rows"), known(papers, "doi", "_known"), "doi", row_id)
     rows = resolve_by_doi(rows, articles, row_id)
-    rows = lookup(rows, best_oa_location(oa_records).drop("reason"), "doi", row_id)
+    rows = with_oa_location(rows, oa_records, row_id)
     has_pdf, has_oa = F.col("pdf_url").isNotNull(), F.col("oa_url").isNotNull()
     scraped = meta(**{c: F.col(c) for c in META_TYPES})
     file_name = F.concat(F.regexp_replace(or_empty(F.col("doi")), r'[/\\:*?"<>|]', "_"), F.lit(".pdf"))

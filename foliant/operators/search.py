@@ -5,15 +5,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import bm25
-from foliant.operators.index import FIELDS, Index, analyse_query, term_bucket
+from foliant.functions.stem import with_stem
+from foliant.functions.text import spread_out
+from foliant.operators.index import FIELDS, LONG_WORD, Index, analyse_queries, term_bucket, words
 from foliant.operators.listing import Filters, apply_filters, newest_first
 from foliant.operators.numbering import ranked
+from foliant.session import written
 
 SNIPPET_CHARS = 300
+#: Largest table of (field, id) that is sent to all tasks, in bytes of its plain columns.
+BROADCAST_BYTES = 16 << 20
 _HIT = ["clause", "id", "score"]
 
 
@@ -56,11 +61,11 @@ def glob_like(pattern: str) -> str:
     return plain.replace("*", "%")
 
 
-def _of_terms(index: Index, table: DataFrame, terms: list[str]) -> DataFrame:
+def _of_terms(index: Index, table: DataFrame, terms: list[str], column: str = "term") -> DataFrame:
     """Rows of literal terms: the bucket prunes folders, the term prunes row groups."""
     buckets = [term_bucket(F.lit(t), index.buckets) for t in sorted(set(terms))]
     in_bucket = reduce(lambda a, b: a | b, [F.col("bucket") == b for b in buckets])
-    return table.where(in_bucket & F.col("term").isin(sorted(set(terms))))
+    return table.where(in_bucket & F.col(column).isin(sorted(set(terms))))
 
 
 def _postings_for(index: Index, terms: list[str], fields: tuple[str, ...], columns: list[str]) -> DataFrame:
@@ -107,11 +112,19 @@ def _term_hits(index: Index, wanted: list[tuple[int, str, tuple[str, ...]]]) ->
 def phrase_matches(index: Index, terms: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """How often the terms stand next to each other, per (field, id).
 
-    The postings of a document's field meet as they are, one row per word of the phrase. Where all words are there,
+    The frequency table names the rarest word. Its rows are few, so they go to the scans of the other words, which keep
+    the rows of the same documents and fields before anything is shuffled; only where even the rarest word has too many
+    rows to be sent are all rows shuffled. Then the postings of a document's field meet, one row per word of the phrase:
     each position list is moved back by the place of its word, and the phrase stands where the moved lists meet.
     """
     different = sorted(set(terms))
     rows = _postings_for(index, different, fields, ["term", "field", "id", "dl", "positions"])
+    known = _of_terms(index, index.terms, different).where(F.col("field").isin(list(fields)))
+    counts = {r["term"]: r["df"] for r in known.groupBy("term").agg(F.sum("df").alias("df")).collect()}  # one row a word
+    rarest = min(different, key=lambda t: (counts.get(t, 0), t))
+    if len(different) > 1 and counts.get(rarest, 0) * 24 <= BROADCAST_BYTES:
+        here = _postings_for(index, [rarest], fields, ["field", "id"])
+        rows = rows.join(F.broadcast(here), ["field", "id"], "left_semi")
     by_word = [F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{k}") for k, t in enumerate(different)]
     met = rows.groupBy("field", "id", "dl").agg(*by_word)
     for k in range(len(different)):
@@ -138,15 +151,28 @@ def _phrase_hits(index: Index, clause: int, terms: list[str], fields: tuple[str,
     return found.select(F.lit(clause).alias("clause"), "id", _score().alias("score"))
 
 
+def glob_grams(pattern: str) -> list[str]:
+    """3-grams that every term of a glob's shape has; the ends of the glob are marked like those of terms."""
+    pieces = f"^{pattern.lower()}$".split("*")
+    return sorted({p[i : i + 3] for p in pieces for i in range(len(p) - 2)})
+
+
+def glob_terms(index: Index, pattern: str) -> DataFrame:
+    """(bucket, term) of the terms of a shape. With three literal characters in a row, ends included, this is an
+    equi-join on the gram table that reads the buckets of those grams; a shorter glob runs over the distinct terms."""
+    like = F.col("term").like(glob_like(pattern))
+    grams = glob_grams(pattern)
+    if index.grams is None or not grams:
+        return index.terms.where(like).select("bucket", "term").distinct()
+    rows = _of_terms(index, index.grams, grams, "gram").where(like)
+    found = rows.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+    return found.select(term_bucket(F.col("term"), index.buckets).alias("bucket"), "term")
+
+
 def glob_matches(index: Index, pattern: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """(field, id) of documents with a term of that shape. The pattern runs over the distinct terms only."""
-    terms = index.terms.where(F.col("field").isin(list(fields))).where(F.col("term").like(glob_like(pattern)))
-    lead = pattern.lower().split("*")[0]
-    if lead:
-        terms = terms.where(F.col("term").startswith(lead))
-    found = terms.select("bucket", "term", "field")
-    rows = index.postings.select("bucket", "term", "field", "id")
-    return rows.join(found, ["bucket", "term", "field"], "left_semi").select("field", "id").distinct()
+    """(field, id) of documents with a term of that shape. The pattern never runs over the text."""
+    rows = index.postings.where(F.col("field").isin(list(fields))).select("bucket", "term", "field", "id")
+    return rows.join(glob_terms(index, pattern), ["bucket", "term"], "left_semi").select("field", "id").distinct()
 
 
 def _glob_hits(index: Index, clause: int, pattern: str, fields: tuple[str, ...]) -> DataFrame:
@@ -159,8 +185,15 @@ def _year_hits(index: Index, clause: int, first: int, last: int) -> DataFrame:
     return rows.select(F.lit(clause).alias("clause"), "id", bm25.exact(F.lit(1.0)).alias("score"))
 
 
-def clause_hits(index: Index, clauses: list[Clause]) -> DataFrame | None:
+def _analysed(index: Index, clauses: list[Clause]) -> dict[int, list[str]]:
+    """Index terms of every text clause, stemmed together."""
+    texts = {no: c.value[0] for no, c in enumerate(clauses) if c.kind == "text"}
+    return dict(zip(texts, analyse_queries(list(texts.values()), index)))
+
+
+def clause_hits(index: Index, clauses: list[Clause], terms: dict[int, list[str]] | None = None) -> DataFrame | None:
     """Every (clause, id, score) that matches; a document may have several rows per clause."""
+    terms = _analysed(index, clauses) if terms is None else terms
     parts: list[DataFrame] = []
     single: list[tuple[int, str, tuple[str, ...]]] = []
     for no, c in enumerate(clauses):
@@ -169,12 +202,10 @@ def clause_hits(index: Index, clauses: list[Clause]) -> DataFrame | None:
         elif c.kind == "glob":
             if c.value[0].replace("*", ""):
                 parts.append(_glob_hits(index, no, c.value[0], c.fields))
-        else:
-            terms = analyse_query(c.value[0], index)
-            if len(terms) == 1:
-                single.append((no, terms[0], c.fields))
-            elif terms:
-                parts.append(_phrase_hits(index, no, terms, c.fields))
+        elif len(terms[no]) == 1:
+            single.append((no, terms[no][0], c.fields))
+        elif terms[no]:
+            parts.append(_phrase_hits(index, no, terms[no], c.fields))
     if single:
         parts.append(_term_hits(index, single))
     return reduce(DataFrame.unionByName, parts) if parts else None
@@ -182,7 +213,8 @@ def clause_hits(index: Index, clauses: list[Clause]) -> DataFrame | None:
 
 def search(index: Index, clauses: list[Clause]) -> DataFrame:
     """(id, score) of all matching documents, without a cap. One shuffle, by document."""
-    hits = clause_hits(index, clauses)
+    terms = _analysed(index, clauses)
+    hits = clause_hits(index, clauses, terms)
     if hits is None:
         return index.docs.select("id", F.lit(0.0).alias("score")).limit(0)
     # A clause without any usable word can not match; it is left out, as a reader of the query would.
@@ -192,17 +224,34 @@ def search(index: Index, clauses: list[Clause]) -> DataFrame:
     wanted = ~F.col("clause").isin(banned) if banned else F.lit(True)
     total = F.sum(F.when(wanted, F.col("score"))).cast("double").alias("score")
     found = hits.groupBy("id").agg(total, *flags).where(F.col("score").isNotNull())
-    usable = {i for i, c in enumerate(clauses) if _usable(index, c)}
     for i, occur in marked:
-        if i in usable:
+        c = clauses[i]
+        if c.kind == "years" or (c.value[0].replace("*", "") if c.kind == "glob" else terms[i]):
             found = found.where(F.col(f"_m{i}") if occur == "must" else ~F.col(f"_m{i}"))
     return found.select("id", "score")
 
 
-def _usable(index: Index, c: Clause) -> bool:
-    if c.kind == "glob":
-        return bool(c.value[0].replace("*", ""))
-    return c.kind == "years" or bool(analyse_query(c.value[0], index))
+def search_many(index: Index, queries: DataFrame, k: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(query_id, rank, id, score): the best ``k`` documents of every row of ``queries`` (query_id, text) in one plan.
+
+    A text is its different words, each of which may match. Words meet their postings in one join by bucket and term; the rows
+    of a word that many queries ask for, or very many documents hold, can be split over tasks. Tasks keep the best ``k`` of a
+    query before the last shuffle. Equal scores are ordered by id. Queries without a known word, or with a NULL text or
+    id, find nothing; rows that repeat an id are one query with the words of all.
+    """
+    asked = spread_out(queries.where("query_id IS NOT NULL"), words(F.col("text")), "term").where(F.octet_length("term") < LONG_WORD)
+    if index.analyser == "en_stem":
+        asked = with_stem(asked, "term").drop("term").withColumnRenamed("stem", "term")
+    wanted = asked.select("query_id", "term").distinct()
+    wanted = written(wanted.withColumn("bucket", term_bucket(F.col("term"), index.buckets)), "query-words")
+    df = index.terms.where(F.col("field").isin(list(fields))).join(F.broadcast(index.stats), "field")
+    weights = df.select("bucket", "term", "field", bm25.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl")
+    weighted = written(wanted.join(weights, ["bucket", "term"]).select("query_id", "bucket", "term", "field", "idf", "avgdl"), "query-weights")
+    rows = index.postings.select("bucket", "term", "field", "id", "tf", "dl")
+    scored = rows.join(weighted, ["bucket", "term", "field"]).select("query_id", "id", _score().alias("score"))
+    total = scored.groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return total.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", F.col("score").cast("double").alias("score"))
 
 
 def best_first(hits: DataFrame) -> DataFrame:

@@ -1,53 +1,33 @@
-"""The collection tree: levels, closure and member counts.
-
-Levels and names are walked step by step with joins, one written level per step, so there is no row limit and no
-growing lineage, and cycles end because a row that was reached before is not followed again. The closure doubles.
-"""
+"""The collection tree: depth and path, closure and member counts, by joins that double their reach and are stored each round."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import scratch_path, written
-
-
-def _walk(start: DataFrame, step, key: list[str]) -> DataFrame:
-    """Rows of ``start`` and everything ``step`` reaches from them, each key once."""
-    spark = start.sparkSession
-    path = scratch_path(spark, "walk")
-    schema = start.schema
-    start.write.parquet(f"{path}/level=0")
-    level = 0
-    while True:
-        frontier = spark.read.schema(schema).parquet(f"{path}/level={level}")
-        seen = spark.read.schema(schema).parquet(*[f"{path}/level={i}" for i in range(level + 1)])
-        fresh = step(frontier).select(*schema.names).join(seen.select(*key), key, "left_anti").dropDuplicates(key)
-        found = Observation()
-        fresh.observe(found, F.count("*").alias("n")).write.parquet(f"{path}/level={level + 1}")
-        if found.get["n"] == 0:
-            return seen
-        level += 1
+from foliant.session import written
 
 
 def collection_tree(collections: DataFrame, separator: str = "/") -> DataFrame:
-    """Depth and name path of every collection below a root; orphans and cycles are left out."""
-    roots = collections.where(F.col("parent_id").isNull()).select(
-        "id", "name", "parent_id", F.lit(0).alias("depth"), F.col("name").alias("path")
-    )
-    children = collections.where(F.col("parent_id").isNotNull())
-
-    def step(frontier: DataFrame) -> DataFrame:
-        above = frontier.select(F.col("id").alias("parent_id"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
-        return children.join(above, "parent_id").select(
-            "id",
-            "name",
-            "parent_id",
-            (F.col("_d") + 1).alias("depth"),
-            F.concat(F.col("_p"), F.lit(separator), F.col("name")).alias("path"),
-        )
+    """Depth and name path of every collection below a root; orphans and cycles are left out.
 
-    return _walk(roots, step, ["id"])
+    Every collection points at an ancestor and holds the names in between. A round joins it with that ancestor, which doubles
+    the reach, so the number of rounds follows the logarithm of the depth. What still points somewhere after as many rounds as
+    the number of collections allows hangs on a cycle.
+    """
+    start = collections.select("id", "name", "parent_id", F.col("parent_id").alias("up"), F.lit(0).alias("depth"), F.col("name").alias("path"))
+    rows = written(start, "tree")
+    rounds = rows.count().bit_length()
+    for _ in range(rounds):
+        if rows.where("up IS NOT NULL").isEmpty():
+            break
+        above = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        longer = rows.where("up IS NOT NULL").join(above, "up").select(
+            "id", "name", "parent_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth") + 1).alias("depth"),
+            F.concat("_path", F.lit(separator), "path").alias("path"),
+        )
+        rows = written(rows.where("up IS NULL").unionByName(longer), "tree")
+    return rows.where("up IS NULL").drop("up")
 
 
 def collection_closure(collections: DataFrame) -> DataFrame:

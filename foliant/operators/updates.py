@@ -54,14 +54,18 @@ def last_of_each(changes: DataFrame) -> DataFrame:
     return changes.groupBy("id").agg(F.max_by(rest, order).alias("_r")).select("id", "_r.*")
 
 
-def insert_papers(papers: DataFrame, rows: DataFrame, now: str) -> DataFrame:
-    """Append rows (with ``seq``, without ``id``) that break no unique rule, with the next free ids."""
+def new_papers(papers: DataFrame, rows: DataFrame, now: str, more: list[str] | None = None) -> DataFrame:
+    """The rows (with ``seq``, without ``id``) that break no unique rule, with the next free ids; ``more`` columns stay."""
     fresh = accepted_in_order(new_by_path(new_by_doi(rows, papers), papers))
     stamped = fresh.withColumns(
         {"date_added": F.coalesce(filled(F.col("date_added")), F.lit(now)), "date_modified": F.lit(now)}
     )
-    numbered = with_new_ids(stamped, papers, [F.col("seq")])
-    return papers.select(*PAPER_COLUMNS).unionByName(numbered.select(*PAPER_COLUMNS))
+    return with_new_ids(stamped, papers, [F.col("seq")]).select(*PAPER_COLUMNS, *(more or []))
+
+
+def insert_papers(papers: DataFrame, rows: DataFrame, now: str) -> DataFrame:
+    """Append rows (with ``seq``, without ``id``) that break no unique rule, with the next free ids."""
+    return papers.select(*PAPER_COLUMNS).unionByName(new_papers(papers, rows, now))
 
 
 def update_papers(papers: DataFrame, changed: DataFrame, now: str) -> DataFrame:

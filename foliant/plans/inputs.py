@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators.resolve import unique_records
 from foliant.operators.tree import collection_closure
 from foliant.plans.views import view
 from foliant.sources.schema import PAPER_COLUMNS
@@ -32,8 +31,8 @@ def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def books(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    """Both book sources, one record per ISBN (short ISBNs repeat in the first source of a large library)."""
-    return [unique_records(view(spark, sf_dir, "book_records_a_v"), "isbn"), view(spark, sf_dir, "book_records_b_v")]
+    """Both book sources; short ISBNs repeat in the first source of a large library."""
+    return [view(spark, sf_dir, "book_records_a_v"), view(spark, sf_dir, "book_records_b_v")]
 
 
 def flat(papers_like: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from foliant.plans.inputs import FLAT_PAPER, books, flat, papers
 from foliant.plans.pages import PAGE_METADATA
 from foliant.plans.registry import query
 from foliant.plans.views import spark_sql, view
+from foliant.session import written
 
 _INCOMING = """SELECT seq, nullif(item, '10.1234/abc.7') AS doi, concat('/lib/src', CAST(seq % 10 AS STRING), '/', CAST(seq % 700 AS STRING), '.pdf') AS file_path FROM import_queue_v"""
 
@@ -140,7 +141,7 @@ WITH {BOOKS}, asked AS (SELECT id, {FULLTEXT_ISBN} AS isbn FROM fulltext_v)
 SELECT id, asked.isbn AS asked, title, authors, journal, year, pages, abstract, keywords, metadata_source FROM asked LEFT JOIN books ON asked.isbn = books.isbn
 """)
 def resolve_by_isbn(spark, sf_dir):
-    asked = identifiers.extract_isbn(view(spark, sf_dir, "fulltext_v")).select("id", "isbn")
+    asked = written(identifiers.extract_isbn(view(spark, sf_dir, "fulltext_v")).select("id", "isbn"), "found")
     rows = resolve.resolve_by_isbn(asked, *books(spark, sf_dir), row_id="id").select("id", F.col("isbn").alias("asked"), "book.*")
     return flat_lists(rows).drop("doi", "volume", "issue", "needs_review", "isbn", "document_type")
 
@@ -154,7 +155,9 @@ UNION ALL SELECT id, {META_COLUMNS} FROM (SELECT found.id, g.* FROM found, LATER
   WHERE (found_doi IS NULL OR found_doi NOT IN (SELECT doi FROM art)) AND (found_isbn IS NULL OR found_isbn NOT IN (SELECT isbn FROM books)))
 """)
 def resolve_metadata(spark, sf_dir):
-    asked = identifiers.extract_isbn(identifiers.extract_doi(view(spark, sf_dir, "fulltext_v")))
+    found = identifiers.extract_isbn(identifiers.extract_doi(view(spark, sf_dir, "fulltext_v")))
+    # The texts are read once; what was found in them is read by the look-ups.
+    asked = written(found.select("id", "doi", "isbn", "file_name", "xmp_title", "xmp_author"), "found")
     rows = resolve.resolve_metadata(asked, view(spark, sf_dir, "article_records_v"), *books(spark, sf_dir), row_id="id")
     return flat_lists(rows.select("id", "meta.*"))
 

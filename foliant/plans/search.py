@@ -193,6 +193,24 @@ def search_wildcard(spark, sf_dir):
     return shown(op.search(library_index(spark, sf_dir), [op.glob("The*ion")]))
 
 
+@query("search_infix", _TOKENS + """
+SELECT id, CAST(count(DISTINCT field) AS DOUBLE) AS score FROM tok WHERE regexp_full_match(term, '.*icen.*e') GROUP BY id
+""")
+def search_infix(spark, sf_dir):
+    return shown(op.search(library_index(spark, sf_dir), [op.glob("*icen*e")]))
+
+
+@query("search_many", _WEIGHTS + r""",
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM @benchmark),
+found AS (SELECT query_id, id, sum(s) AS s FROM asked JOIN scored USING (term) GROUP BY query_id, id)
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(CAST(s AS DOUBLE), 4) + 0e0 AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM found) t WHERE rank <= 10
+""")
+def search_many(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return shown(op.search_many(library_index(spark, sf_dir), asked, 10))
+
+
 @query("normalise_score", _THREE + """
 SELECT id, round(CAST(s AS DOUBLE) / (SELECT CAST(max(s) AS DOUBLE) FROM hits) * 100, 4) + 0e0 AS score_pct FROM hits
 """)
@@ -260,6 +278,17 @@ def delete_from_index(spark, sf_dir):
     return ix.delete_documents(library_index(spark, sf_dir), _toxic(spark, sf_dir)).terms.select("term", "field", "df")
 
 
+_AFTER = _WEIGHTS.replace("FROM tok GROUP BY term", "FROM kept GROUP BY term").replace("post AS", "kept AS (SELECT * FROM tok WHERE id NOT IN (SELECT doc_id FROM @labels WHERE toxic = 1)),\npost AS", 1).replace(
+    "(SELECT count(*) FROM @documents)", "(SELECT count(*) FROM @documents WHERE doc_id NOT IN (SELECT doc_id FROM @labels WHERE toxic = 1))"
+)
+
+
+@query("search_after_delete", _AFTER + f"SELECT id, {_ROUND} FROM scored WHERE term IN ('license', 'ering', 'that') GROUP BY id")
+def search_after_delete(spark, sf_dir):
+    left = ix.delete_documents(library_index(spark, sf_dir), _toxic(spark, sf_dir))
+    return shown(op.search(left, op.any_of(WORDS)))
+
+
 @query("index_doc_count", "SELECT count(*) AS indexed FROM papers_v")
 def index_doc_count(spark, sf_dir):
     return ix.document_count(library_index(spark, sf_dir))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from foliant.operators import search as search_op
-from foliant.plans.categorise import _SIM, THRESHOLD, rounded
+from foliant.plans.categorise import SIM, THRESHOLD, rounded
 from foliant.plans.imports import _DOIS, flat_outcomes
 from foliant.plans.inputs import papers
 from foliant.plans.registry import query
@@ -65,7 +65,7 @@ def stream_progress(spark, sf_dir):
 
 
 _WORDS = r"""
-WITH field_text AS (SELECT doc_id AS id, 'abstract' AS field, split_part(text, chr(10), 1) AS text FROM @documents UNION ALL
+WITH field_text AS (SELECT doc_id AS id, 'abstract' AS field, text FROM @documents UNION ALL
   SELECT doc_id, 'keywords', concat(source, ' ', lang) FROM @documents UNION ALL SELECT doc_id, 'fulltext', text FROM @documents),
 tok AS (SELECT id, field, term FROM (SELECT id, field, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM field_text) WHERE strlen(term) < 40),
 post AS MATERIALIZED (SELECT term, field, id, count(*) AS tf FROM tok GROUP BY term, field, id),
@@ -85,7 +85,7 @@ def stream_index(spark, sf_dir):
     shaped = docs.select(
         F.col("doc_id").alias("id"),
         empty.alias("title"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("abstract"),
+        F.col("text").alias("abstract"),
         empty.alias("authors"),
         F.concat("source", F.lit(" "), "lang").alias("keywords"),
         F.col("text").alias("fulltext"),
@@ -98,7 +98,7 @@ def stream_index(spark, sf_dir):
     return shown(search_op.search(index, search_op.any_of("license ering")))
 
 
-@query("stream_categorise", f"WITH {_SIM} SELECT id, category_id, round(s, 4) + 0e0 AS similarity FROM sims")
+@query("stream_categorise", f"WITH {SIM} SELECT id, category_id, round(s, 4) + 0e0 AS similarity FROM sims")
 def stream_categorise(spark, sf_dir):
     docs = _stream(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     out = scratch_path(spark, "stream-categories")

@@ -24,7 +24,7 @@ SELECT d.doc_id AS id,
   CAST(1 + d.doc_id % 40 AS STRING) AS volume,
   CAST(1 + d.doc_id % 12 AS STRING) AS issue,
   '' AS pages,
-  CASE WHEN split_part(d.text, chr(10), 2) = '' THEN d.text ELSE split_part(d.text, chr(10), 2) END AS abstract,
+  CASE WHEN instr(d.text, chr(10)) > 0 THEN substr(d.text, instr(d.text, chr(10)) + 1) ELSE d.text END AS abstract,
   split(concat(d.source, ' corpus,', d.lang), ',') AS keywords,
   split(concat('tag', CAST(d.doc_id % 9 AS STRING), ',', d.lang), ',') AS tags,
   CASE WHEN d.doc_id % 3 = 0 THEN 1 + d.doc_id % 5

@@ -1,7 +1,8 @@
 """Long-running imports, indexing and categorising as streams.
 
 State lives in tables: a micro-batch writes its own ``batch=<id>`` folder and overwrites it when it is replayed, so
-a restart from the checkpoint repeats nothing and loses nothing.
+a restart from the checkpoint repeats nothing and loses nothing. What earlier batches have seen is kept as keys by hash
+(``KeyTable``): a batch reads the buckets of its own keys, in a number of folders that does not grow.
 """
 
 from __future__ import annotations
@@ -13,19 +14,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from foliant.functions.text import strip_ws
 from foliant.operators.categorise import THRESHOLD, similarity_join
 from foliant.operators.dedupe import dedupe_batch, without
 from foliant.operators.imports import OUTCOME, import_dois
 from foliant.operators.index import (
-    _DOCS,
-    _POSTINGS,
+    DOCS,
+    POSTINGS,
+    TERMS,
     Index,
     document_frequencies,
+    field_counts,
+    index_of_parts,
     postings_of,
     read_index,
+    write_grams,
     write_postings,
 )
-
+from foliant.streaming.keys import KeyTable
 
 _OUTCOME = ", ".join(f"{c} {kind}" for c, kind in OUTCOME.items())
 _STALE = "id BIGINT, old BIGINT"
@@ -40,13 +46,6 @@ def read_files(spark: SparkSession, folder: str, schema: StructType | str, glob:
     return reader.parquet(folder)
 
 
-def _earlier(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows earlier micro-batches have written."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return _folder(spark, path, schema, batch_id).drop("batch")
-
-
 def run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Start a stream that hands each micro-batch to ``handle``. ``once`` stops when all present data is done."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -59,11 +58,16 @@ def import_stream(
     """Import DOIs as (seq, item) arrive. Items of earlier batches are done; DOIs stored by them are duplicates."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        done = _earlier(batch.sparkSession, out, _OUTCOME, batch_id)
-        stored = done.where(F.col("outcome").isin("succeeded", "needs_review")).select("doi")
-        library = papers.select("doi").unionByName(stored)
-        fresh = import_dois(batch, library, articles, oa_records, processed=done.select("item"))
+        spark = batch.sparkSession
+        items, dois = KeyTable(spark, f"{checkpoint}-keys/items"), KeyTable(spark, f"{checkpoint}-keys/dois")
+        done = items.earlier(batch.select(F.col("item").alias("key")), batch_id)
+        stored = dois.earlier(batch.select(strip_ws(F.col("item")).alias("key")), batch_id)
+        library = papers.select("doi").unionByName(stored.select(F.col("key").alias("doi")))
+        fresh = import_dois(batch, library, articles, oa_records, processed=done.select(F.col("key").alias("item")))
         fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        written = spark.read.schema(_OUTCOME).parquet(f"{out}/batch={batch_id}")
+        items.add(written.select(F.col("item").alias("key")), batch_id)
+        dois.add(written.where(F.col("outcome").isin("succeeded", "needs_review")).select(F.col("doi").alias("key")), batch_id)
 
     return run(queue, handle, checkpoint, once)
 
@@ -72,10 +76,14 @@ def dedupe_stream(items: DataFrame, papers: DataFrame, out: str, checkpoint: str
     """Keep the first of each DOI that neither the library nor an earlier batch has: (seq, doi)."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = _earlier(batch.sparkSession, out, "seq BIGINT, doi STRING", batch_id)
+        spark = batch.sparkSession
+        seen = KeyTable(spark, f"{checkpoint}-keys/dois")
+        earlier = seen.earlier(batch.select(F.col("doi").alias("key")), batch_id).select(F.col("key").alias("doi"))
         rows = dedupe_batch(batch.select("seq", "doi"))
-        new = without(without(rows, papers, "doi", "seq"), seen, "doi", "seq")
+        new = without(without(rows, papers, "doi", "seq"), earlier, "doi", "seq")
         new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        written = spark.read.schema("seq BIGINT, doi STRING").parquet(f"{out}/batch={batch_id}")
+        seen.add(written.select(F.col("doi").alias("key")), batch_id)
 
     return run(items, handle, checkpoint, once)
 
@@ -94,12 +102,6 @@ def _folder(spark: SparkSession, path: str, schema: str, before: int | None = No
     return rows if before is None else rows.where(F.col("batch") < before)
 
 
-def _counts(postings: DataFrame, docs: DataFrame) -> DataFrame:
-    """Words per field, and one row without a field for the number of documents."""
-    words = postings.groupBy("field").agg(F.lit(0).cast("bigint").alias("n_docs"), F.sum("tf").alias("total"))
-    return words.unionByName(docs.agg(F.count("*").alias("n_docs")).select(F.lit(None).cast("string").alias("field"), "n_docs", F.lit(0).cast("bigint").alias("total")))
-
-
 def _less(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: -F.col(c) for c in columns})
 
@@ -118,24 +120,23 @@ def index_stream(docs: DataFrame, out: str, checkpoint: str, buckets: int = 64,
         newest = batch.groupBy("id").agg(F.max_by(row, F.struct(F.coalesce("date_modified", F.lit("")), row)).alias("r")).select("id", "r.*")
         write_postings(postings_of(newest, buckets, analyser), f"{out}/postings/batch={batch_id}", "overwrite")
         newest.select("id", "title", "year", "date_modified").write.mode("overwrite").parquet(f"{out}/docs/batch={batch_id}")
-        postings = spark.read.schema(_POSTINGS).parquet(f"{out}/postings/batch={batch_id}")
-        stored = spark.read.schema(_DOCS).parquet(f"{out}/docs/batch={batch_id}")
-        terms, counts = document_frequencies(postings), _counts(postings, stored)
-        if batch_id == 0:
-            stale = spark.createDataFrame([], _STALE)
-        else:
-            earlier = _folder(spark, f"{out}/docs", _DOCS, batch_id).select("id", F.col("batch").alias("old"))
-            noted = _folder(spark, f"{out}/stale", _STALE, batch_id).select("id", "old")
-            stale = earlier.join(stored.select("id"), "id", "left_semi").join(noted, ["id", "old"], "left_anti")
-        stale.write.mode("overwrite").parquet(f"{out}/stale/batch={batch_id}")
+        postings = spark.read.schema(POSTINGS).parquet(f"{out}/postings/batch={batch_id}")
+        stored = spark.read.schema(DOCS).parquet(f"{out}/docs/batch={batch_id}")
+        terms, counts = document_frequencies(postings), field_counts(postings, stored)
+        seen = KeyTable(spark, f"{out}-keys", "bigint")
+        stale = seen.earlier(stored.select(F.col("id").alias("key")), batch_id)  # by its last batch; earlier ones are noted already
+        stale.select(F.col("key").alias("id"), F.col("batch").alias("old")).write.mode("overwrite").parquet(f"{out}/stale/batch={batch_id}")
         stale = spark.read.schema(_STALE).parquet(f"{out}/stale/batch={batch_id}")
-        if not stale.isEmpty():
-            gone = _folder(spark, f"{out}/postings", _POSTINGS, batch_id).withColumnRenamed("batch", "old").join(stale, ["id", "old"], "left_semi")
+        batches = [r["old"] for r in stale.select("old").distinct().collect()]  # one number a batch at most
+        if batches:
+            before = _folder(spark, f"{out}/postings", POSTINGS, batch_id).where(F.col("batch").isin(batches))
+            gone = before.withColumnRenamed("batch", "old").join(stale, ["id", "old"], "left_semi")
             terms = terms.unionByName(_less(document_frequencies(gone), "df"))
-            counts = counts.unionByName(_less(_counts(gone, stale), "n_docs", "total"))
+            counts = counts.unionByName(_less(field_counts(gone, stale), "n_docs", "total"))
         by_bucket = terms.repartition("bucket").sortWithinPartitions("bucket", "term", "field")
         by_bucket.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/terms/batch={batch_id}")
         counts.coalesce(1).write.mode("overwrite").parquet(f"{out}/counts/batch={batch_id}")
+        seen.add(stored.select(F.col("id").alias("key")), batch_id)
 
     return run(docs, handle, checkpoint, once)
 
@@ -147,16 +148,13 @@ def open_stream_index(spark: SparkSession, out: str, buckets: int = 64, analyser
     only. Stale rows are left out by a join with the noted (id, batch) pairs.
     """
     stale = _folder(spark, f"{out}/stale", _STALE).select("id", F.col("old").alias("batch"))
-    postings = _folder(spark, f"{out}/postings", _POSTINGS)
-    docs = _folder(spark, f"{out}/docs", _DOCS)
+    postings = _folder(spark, f"{out}/postings", POSTINGS)
+    docs = _folder(spark, f"{out}/docs", DOCS)
     if not stale.isEmpty():
         postings, docs = (rows.join(stale, ["id", "batch"], "left_anti") for rows in (postings, docs))
-    terms = _folder(spark, f"{out}/terms", "bucket INT, term STRING, field STRING, df BIGINT").groupBy("bucket", "term", "field").agg(F.sum("df").alias("df"))
+    terms = _folder(spark, f"{out}/terms", TERMS)
     counts = _folder(spark, f"{out}/counts", _COUNTS)
-    n_docs = counts.agg(F.sum("n_docs")).scalar()
-    totals = counts.where("field IS NOT NULL").groupBy("field").agg(F.sum("total").alias("total")).where("total > 0")
-    stats = totals.select("field", n_docs.alias("n_docs"), "total", (F.col("total").cast("double") / n_docs).alias("avgdl"))
-    return Index(postings.drop("batch"), terms.where("df > 0"), stats, docs.drop("batch"), buckets, analyser)
+    return index_of_parts(postings.drop("batch"), docs.drop("batch"), terms, counts, buckets, analyser)
 
 
 def merge_stream_index(spark: SparkSession, out: str, target: str, buckets: int = 64, analyser: str = "simple") -> Index:
@@ -165,6 +163,7 @@ def merge_stream_index(spark: SparkSession, out: str, target: str, buckets: int
     write_postings(index.postings, f"{target}/postings")
     index.docs.write.parquet(f"{target}/docs")
     index.terms.repartition("bucket").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(f"{target}/terms")
+    write_grams(spark.read.schema(TERMS).parquet(f"{target}/terms"), f"{target}/grams", buckets)
     index.stats.coalesce(1).write.parquet(f"{target}/stats")
     return read_index(spark, target, buckets, analyser)
 

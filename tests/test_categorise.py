@@ -61,6 +61,11 @@ def test_similarity_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(op, "BLOCK", block)
         got = {(r.id, r.category_id) for r in op.similarity_join(docs, cats).collect()}
         assert got == want
+    monkeypatch.setattr(op, "ROWS", 7)
+    monkeypatch.setattr(op, "CATEGORY_BYTES", 8 * 8 * 5)  # several parts of the table
+    got = {(r.id, r.category_id) for r in op.similarity_join(docs, cats).collect()}
+    assert got == want
+    monkeypatch.undo()
     assert op.similarity_join(docs, cats.limit(0)).count() == 0
     wide = docs.union(spark.createDataFrame([(98, [1.0] * 9)], "id BIGINT, embedding ARRAY<FLOAT>"))
     with pytest.raises(Exception, match="vector width"):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import dedupe, paths, resolve, tree, updates
+from foliant.operators import dedupe, imports, paths, resolve, tree, updates
 from foliant.operators.listing import Filters, apply_filters, by_journal, get_by_ids
 from foliant.operators.numbering import ranked
 from foliant.sources.schema import PAPERS
@@ -132,6 +132,38 @@ def test_merge_lookup(spark):
     assert r.needs_review is False and got[2].needs_review is True  # a lookup always clears the flag
 
 
+def test_repeated_rows_of_a_lookup(spark):
+    papers = table(spark, paper(1), paper(2))
+    rows = [resolve.meta(title=F.lit(t), authors=F.array(F.lit("X")), metadata_source=F.lit("crossref")).alias("m") for t in ("first", "second")]
+    one = spark.range(1).select(F.lit(1).cast("bigint").alias("id"))
+    fetched = one.select("id", rows[0], F.lit(2).alias("seq")).unionByName(one.select("id", rows[1], F.lit(5).alias("seq"))).select("id", "m.*", "seq")
+    got = resolve.merge_lookup(papers, fetched, "now").collect()
+    assert sorted((r.id, r.title) for r in got)[0] == (1, "second") and len(got) == 2
+
+
+def test_records_that_repeat_and_differ_in_case(spark):
+    oa = spark.createDataFrame([("10.1/a", '{"best_oa_location":{"url":"b"}}'), ("10.1/A", '{"best_oa_location":{"url":"a"}}'), (None, "{}"), ("10.1/c", "{}")], "doi STRING, record STRING")
+    assert sorted((r.doi, r.oa_url, r.reason) for r in resolve.best_oa_location(oa).collect()) == [("10.1/A", "a", None), ("10.1/c", None, "no_oa_pdf")]
+    items = spark.createDataFrame([(1, "10.1/A", "97X"), (2, "10.1/a", "97x"), (3, None, None), (4, "10.1/c", "1")], "seq BIGINT, doi STRING, isbn STRING")
+    assert sorted((r.seq, r.oa_url) for r in resolve.with_oa_location(items, oa).collect()) == [(1, "a"), (2, "a"), (3, None), (4, None)]
+    books = spark.createDataFrame([("97X", '{"title":"B"}'), ("97x", '{"title":"A"}'), ("97X", '{"title":"C"}')], "isbn STRING, record STRING")
+    found = resolve.resolve_by_isbn(items, books, books.limit(0)).collect()
+    assert sorted((r.seq, r.book and r.book.title) for r in found) == [(1, "A"), (2, "A"), (3, None), (4, None)]
+    empty = spark.createDataFrame([], "doi STRING, file_path STRING")
+    queue = spark.createDataFrame([(1, "10.1/A")], "seq BIGINT, item STRING")
+    outcomes = imports.import_dois(queue, empty, spark.createDataFrame([], "doi STRING, record STRING"), oa).collect()
+    assert [(r.item, r.outcome) for r in outcomes] == [("10.1/A", "needs_review")]
+
+
+def test_depth_needs_few_rounds(spark, monkeypatch):
+    chain = [(k, f"n{k}", k - 1 if k else None) for k in range(100)] + [(500, "x", 501), (501, "y", 500), (502, "z", 501), (600, "o", 999)]
+    rounds = []
+    plain = tree.written
+    monkeypatch.setattr(tree, "written", lambda df, label: rounds.append(label) or plain(df, label))
+    got = {r.id: (r.depth, r.path) for r in tree.collection_tree(spark.createDataFrame(chain, "id BIGINT, name STRING, parent_id BIGINT"), "/").collect()}
+    assert got == {k: (k, "/".join(f"n{i}" for i in range(k + 1))) for k in range(100)} and len(rounds) <= 9
+
+
 def test_violations(spark):
     papers = table(spark, paper(1, doi="d"), paper(2, doi="d"), paper(3, doi=None, file_path="/l/1.pdf"), paper(4, doi=None))
     assert {(r.id, r.field) for r in dedupe.unique_violations(papers).collect()} == {(2, "doi"), (3, "file_path")}

@@ -64,6 +64,14 @@ def test_linked_data(spark):
     assert (m.isbn, m.document_type) == (None, "article")  # a known DOI leaves the identifier list unread
 
 
+def test_marks_inside_scripts_and_styles(spark):
+    hidden = '<script>if (a) x = "<!-- </style>";</script>'
+    m = meta(spark, hidden + ld('{"@type":"Article","name":"seen"}') + "<!-- end -->")
+    assert m.title == "seen"
+    assert meta(spark, "<!-- " + ld('{"@type":"Article","name":"old"}') + " -->" + ld('{"@type":"Article","name":"new"}')).title == "new"
+    assert meta(spark, hidden + '<meta name="citation_title" content="T"><!-- x -->').title == "T"
+
+
 def test_url_doi_is_last(spark):
     assert meta(spark, "<p>", "http://h.example/10.1234/u.").doi == "10.1234/u"
     assert meta(spark, '<meta name="DC.identifier" content="10.1234/d">', "http://h.example/10.1234/u").doi == "10.1234/d"

@@ -115,6 +115,42 @@ def test_deletion_and_drift(spark, docs, index):
     assert states == {1: "changed", 2: "deleted", 4: "deleted", 102: "not_indexed"}
 
 
+def test_search_after_a_delete_reads_only_its_buckets(spark, docs, index):
+    left = ix.delete_documents(index, spark.createDataFrame([(2,)], "id BIGINT"))
+    text = op.search(left, op.any_of("laws"))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scans = [part for part in text.split("\n\n") if "Scan parquet" in part and "/postings" in part]
+    assert len(scans) == 2 and all("PartitionFilters: [" in s and "bucket" in s.split("PartitionFilters: ")[1].split("\n")[0] for s in scans)
+    assert ids(left, *op.any_of("laws")) == [1]
+    none_left = ix.delete_documents(index, docs.select("id"))
+    assert ids(none_left, *op.any_of("laws cats")) == [] and none_left.terms.count() == 0
+
+
+def test_many_queries_are_like_one(spark, index, stemmed):
+    texts = {1: "laws", 2: "the neural dogs", 3: "nothing known", 4: None, 5: "Learning, learning CATS"}
+    asked = spark.createDataFrame([*texts.items(), (None, "laws")], "query_id BIGINT, text STRING")
+    for ix_ in (index, stemmed):
+        for k in (1, 10):
+            got = {}
+            for r in sorted(op.search_many(ix_, asked, k).collect()):
+                got.setdefault(r.query_id, []).append((r.id, round(r.score, 6)))
+            want = {q: [(r.id, round(r.score, 6)) for r in op.top_hits(op.search(ix_, [op.word(w) for w in set(t.replace(",", "").lower().split())]), k).collect()] for q, t in texts.items() if t}
+            assert got == {q: hits for q, hits in want.items() if hits}
+
+
+def test_globs_by_grams(index):
+    assert op.glob_grams("The*ion") == ["^th", "ion", "on$", "the"] and op.glob_grams("a*b") == []
+    scan = ix.replace(index, grams=None)
+    for pattern in ("*earn*", "dog*", "*s", "*aw*", "l*s", "*ear*ing", "*aling", "cats", "*", "d*", "*zzz*"):
+        terms = [sorted(r.term for r in op.glob_terms(i, pattern).collect()) for i in (index, scan)]
+        assert terms[0] == terms[1], pattern
+        assert ids(index, op.glob(pattern)) == ids(scan, op.glob(pattern))
+
+
+def test_the_rarest_word_prunes_a_phrase(index):
+    plan = op.phrase_matches(index, ["the", "laws"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
 # Pairs from the published vocabulary of the stemming rules.
 PUBLISHED = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist
 consistency consist consistent consist consistently consist consolation consol consolations consol consolatory consolatori

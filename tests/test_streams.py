@@ -10,6 +10,7 @@ from foliant.plans.inputs import papers
 from foliant.plans.views import table, view
 from foliant.session import scratch_path
 from foliant.streaming import jobs
+from foliant.streaming.keys import KeyTable
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,6 +54,23 @@ def test_dedupe_in_batches(spark, queue):
     assert set(got) == {r.item for r in queue.collect()} - known
 
 
+def test_keys_of_many_batches_lie_in_few_folders(spark):
+    path, seen, opened = scratch_path(spark, "keys"), {}, []
+    table_of_keys = KeyTable(spark, path, buckets=4, merge=4)
+    for batch in range(14):
+        own = [f"k{k}" for k in (batch, batch + 1, 3 * batch)] + [None]
+        rows = spark.createDataFrame([(k,) for k in own], "key STRING")
+        found = table_of_keys.earlier(rows, batch)
+        assert {r.key: r.batch for r in found.collect()} == {k: seen[k] for k in own if k in seen}
+        opened.append(len(table_of_keys.folders(batch)))
+        table_of_keys.add(rows, batch)
+        table_of_keys.add(rows, batch)  # a batch that is repeated
+        seen.update({k: batch for k in own if k})
+    assert max(opened) <= 4 and opened[13] == 2
+    one = table_of_keys.earlier(spark.createDataFrame([("k1",)], "key STRING"), 13)
+    assert len(one.inputFiles()) <= 8  # two folders of four buckets, after fourteen batches
+
+
 def test_index_in_batches(spark):
     docs = [(i, f"title {i}", "common words here", "", "", f"body w{i % 3}", 2000 + i, "t") for i in range(12)]
     rows = spark.createDataFrame(docs, "id BIGINT, title STRING, abstract STRING, authors STRING, keywords STRING, fulltext STRING, year INT, date_modified STRING")
