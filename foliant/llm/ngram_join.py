@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.batches import BROADCAST_BYTES, Batches, Words, by_ids, map_batches, mix, pieces, texts_of
 from foliant.llm.components import components
+from foliant.operators.numbering import ranked
 from foliant.session import written
 
 #: Counters of the frequency sketch (four bytes each), the same at every size of the corpus.
@@ -123,17 +124,18 @@ def shingle_table(docs: DataFrame, words: int, percent: int, classes: np.ndarray
             yield pa.RecordBatch.from_arrays(
                 [
                     b["doc_id"],
+                    b["text_hash"],
                     pa.array(sizes, pa.int64()),
                     *[pa.array(c, pa.binary()) for c in (digests, groups, prefixes)],
                     *[pa.array(np.ascontiguousarray(w)) for w in words_of_bits],
                 ],
-                ["doc_id", "n_shingles", "content", "prefix_digest", "prefix", *_BITS],
+                ["doc_id", "text_hash", "n_shingles", "content", "prefix_digest", "prefix", *_BITS],
             )
 
     return map_batches(
-        docs.select(F.col("doc_id").cast("bigint"), "text"),
+        docs.select("doc_id", "text_hash", "text"),
         scan,
-        "doc_id bigint, n_shingles bigint, content binary, prefix_digest binary, prefix binary, b0 bigint, b1 bigint, b2 bigint, b3 bigint",
+        "doc_id bigint, text_hash bigint, n_shingles bigint, content binary, prefix_digest binary, prefix binary, b0 bigint, b1 bigint, b2 bigint, b3 bigint",
     )
 
 
@@ -259,50 +261,85 @@ def _pairs_apart(shared: DataFrame, members: DataFrame, now: DataFrame, percent:
     return counted.where(_enough(F.col("s"), F.col("n"), F.col("m"), percent)).select("a", "b")
 
 
-def _texts_of_pairs(source: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and text of the documents in some pairs, read from where they lie when the pairs are few."""
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pair-nodes")
-    return written(by_ids(source.withColumnRenamed("doc_id", "node"), nodes, ["node"], 8).select("node", "text"), "texts")
+def _texts_of_pairs(source: DataFrame, pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """node and text of the contents in some pairs, read from their first documents where these lie when they are few."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = written(nodes.join(contents.select("node", "doc_id", "text_hash"), "node"), "pair-nodes")
+    found = by_ids(source, named, ["doc_id", "text_hash"], 24).select("node", "text")
+    return written(found.dropDuplicates(["node"]), "texts")  # rows may repeat in full
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row.
+def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row's doc_id, text_hash, n_shingles and content; and of every content that has shingles its first document (doc_id,
+    text_hash) and that of its component (first_id, first_hash).
 
-    Two documents link when ``100 * common >= percent * union`` over their distinct shingles of ``words`` words.
-    NULL, empty or blank text has no shingles and links with nothing. Equal sets are one content, whose copies link
-    with one another. Rows with a NULL doc_id take part in no link and have a NULL component; of rows that repeat a
-    doc_id each has the component of its own text. An empty table gives an empty result. Shingles are compared by 64-bit hashes.
+    Contents are numbered in the order of their smallest doc_id, so texts that share an id are nodes of their own and
+    the smallest number of a component belongs to its smallest doc_id.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    source = source.withColumn("text_hash", F.xxhash64("text"))
     classes = _frequency_classes(source, words)
     table = written(shingle_table(source, words, percent, classes), "shingles")
     usable = table.where("doc_id IS NOT NULL AND n_shingles > 0")
-    contents = usable.groupBy("content", "n_shingles", "prefix_digest", *_BITS).agg(F.min("doc_id").alias("node"))
-    contents = written(contents, "contents")
+    found = usable.groupBy("content", "n_shingles", "prefix_digest", *_BITS).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    found = found.select("content", "n_shingles", "prefix_digest", *_BITS, "first.*")
+    contents = written(ranked(found, [], [F.col("doc_id"), F.col("content")], "node"), "contents")
     groups = contents.groupBy("prefix_digest", "n_shingles").agg(F.min("node").alias("grp"))
-    members = written(contents.join(groups, ["prefix_digest", "n_shingles"]).select("grp", "node", "n_shingles", "content", *_BITS), "members")
+    members = written(contents.join(groups, ["prefix_digest", "n_shingles"]).drop("prefix_digest"), "members")
 
-    first = members.where("grp = node").select(F.col("node").alias("doc_id"), "grp", "content")
+    first = members.where("grp = node").select("doc_id", "grp", "content")
     prefixes = by_ids(usable.select("doc_id", "content", "n_shingles", "prefix"), first, ["doc_id", "content"], 32)
     shared = written(_shared_tokens(_tokens(prefixes, classes)), "shared-tokens")
 
     stars = written(_star_pairs(shared, members, percent), "star-pairs")
-    linked = written(_verify(stars, _texts_of_pairs(source, stars), words, percent), "star-links")
+    linked = written(_verify(stars, _texts_of_pairs(source, stars, contents), words, percent), "star-links")
     apart = _pairs_apart(shared, members, components(linked), percent).join(stars, ["a", "b"], "left_anti")
     rest = written(apart, "rest-pairs")
-    more = written(_verify(rest, _texts_of_pairs(source, rest), words, percent), "rest-links")
+    more = written(_verify(rest, _texts_of_pairs(source, rest, contents), words, percent), "rest-links")
     final = components(linked.unionByName(more))
 
-    of_content = contents.join(final, "node", "left").select("content", F.coalesce("component", "node").alias("component_id"))
-    keyed = table.select("doc_id", "n_shingles", "content")
-    joined = keyed.where("doc_id IS NOT NULL AND n_shingles > 0").join(of_content, "content")
-    alone = keyed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = contents.select("content", "node", "doc_id", "text_hash").join(final, "node", "left")
+    lowest = contents.select(F.col("node").alias("component"), F.col("doc_id").alias("lowest_id"), F.col("text_hash").alias("lowest_hash"))
+    joined = own.join(lowest, "component", "left")
+    of_content = joined.select(
+        "content", "doc_id", "text_hash", F.coalesce("lowest_id", "doc_id").alias("first_id"), F.when(F.col("lowest_id").isNull(), F.col("text_hash")).otherwise(F.col("lowest_hash")).alias("first_hash")
+    )
+    return table.select("doc_id", "text_hash", "n_shingles", "content"), written(of_content, "content-components")
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of every row.
+
+    Two documents link when ``100 * common >= percent * union`` over their distinct shingles of ``words`` words.
+    NULL, empty or blank text has no shingles and links with nothing; texts of any length are read whole. Equal sets are one
+    content, whose copies link with one another. Rows with a NULL doc_id take part in no link and have a NULL component; of
+    rows that repeat a doc_id each has the component of its own text. Other columns are not read. An empty table gives an
+    empty result. Shingles are compared by 64-bit hashes.
+    """
+    rows, contents = _components(docs, words, percent)
+    linked = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    joined = linked.join(contents.select("content", F.col("first_id").alias("component_id")), "content")
+    alone = rows.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def one_of_each_group(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """The documents without those that link, directly or through others, to one with a smaller doc_id."""
-    found = jaccard_components(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = written(found, "near-copies")
-    small = gone.count() * 8 <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if small else gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The documents without those that link, directly or through others, to an earlier one: of a group the document with the
+    smallest doc_id stays, once.
+
+    A document is a doc_id with a text: of two texts under one id, each stays or goes with its own group. Rows that
+    repeat such a document in full stay once. Rows with a NULL doc_id, and those with NULL, empty or blank text, belong to no
+    group and all stay. All columns are kept as they are; an empty table gives an empty result.
+    """
+    rows, contents = _components(docs, words, percent)
+    linked = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    placed = linked.join(contents.select("content", "first_id", "first_hash"), "content")
+    counted = placed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.first("first_id").alias("first_id"), F.first("first_hash").alias("first_hash"))
+    stays = (F.col("doc_id") == F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    marked = written(counted.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), stays.alias("__stays")), "near-copies")
+    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("bigint"), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    small = marked.count() * 24 <= BROADCAST_BYTES
+    side = F.broadcast(marked) if small else marked.hint("shuffle_hash")
+    met = keyed.join(side, (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__hash")), "left").where("__stays IS NULL OR __stays")
+    once = met.where("__stays").dropDuplicates(["__doc", "__text"])  # rows of documents that are repeated in full
+    return met.where("__stays IS NULL").unionByName(once).select(*[F.col(c) for c in docs.columns])
