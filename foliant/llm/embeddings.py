@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.batches import Batches, map_batches
 from foliant.llm.components import components
+from foliant.operators.numbering import ranked
 from foliant.session import ship_package, written
 
 #: The rotation is fitted on at most this many vectors of a width, smallest hashes first. It only sets the order of
@@ -25,6 +26,8 @@ from foliant.session import ship_package, written
 FIT_VECTORS = 8192
 #: Rows of a block; a tile compares two blocks.
 BLOCK_ROWS = 4096
+#: Products this near to the threshold are computed again on the vectors as given.
+_EDGE = 1e-12
 _UNIT = "vec_id bigint, label string, width int, unit binary"
 
 
@@ -76,11 +79,16 @@ def _join_small(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[n
 
 def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of all pairs with an inner product of at least ``threshold``; columns are in PCA order."""
+    return _close(x, y, threshold, step)[:2]
+
+
+def _close(x: np.ndarray, y: np.ndarray, threshold: float, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs and their products."""
     width = x.shape[1]
     stops = sorted({min(width, s) for s in (8, 16, 32, width)})
     rest_x = np.sqrt(np.maximum(np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1], 0))
     rest_y = np.sqrt(np.maximum(np.cumsum((y * y)[:, ::-1], axis=1)[:, ::-1], 0))
-    lefts, rights = [], []
+    lefts, rights, products = [], [], []
     for at in range(0, len(x), step):
         a = x[at : at + step]
         done, part, rows = 0, np.zeros((len(a), len(y))), None
@@ -101,20 +109,26 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float, step: int = 256)
             done = stop
         lefts.append(rows[0] + at)
         rights.append(rows[1])
-    return np.concatenate(lefts), np.concatenate(rights)
+        products.append(sums)
+    return np.concatenate(lefts), np.concatenate(rights), np.concatenate(products)
 
 
-def _tile(threshold: float):
+def _tile(threshold: float, axes: dict[int, np.ndarray]):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         right = pdf["right"].to_numpy(bool)
         ids, copies = pdf["node"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
-        z = np.stack([np.frombuffer(v) for v in pdf["turned"]])
+        units = np.stack([np.frombuffer(v) for v in pdf["unit"]])
+        z = units @ axes[units.shape[1]]
         own = bool(pdf["single"].iloc[0])
         first, second = np.flatnonzero(~right), np.arange(len(z)) if own else np.flatnonzero(right)
         if not len(first) or not len(second):
             return pd.DataFrame({"a": [], "b": [], "n": [], "is_count": []}).astype({"a": "int64", "b": "int64", "n": "int64", "is_count": bool})
-        i, j = close_pairs(z[first], z[second], threshold)
+        # The rotation moves a product by its last bits; what is that near to the threshold is decided by the vectors as given.
+        i, j, product = _close(z[first], z[second], threshold - _EDGE)
         i, j = first[i], second[j]
+        edge = np.flatnonzero(product < threshold + _EDGE)
+        below = edge[np.einsum("ij,ij->i", units[i[edge]], units[j[edge]]) < threshold]
+        i, j = np.delete(i, below), np.delete(j, below)
         if own:
             i, j = i[i < j], j[i < j]
         n = np.zeros(len(z), np.int64)
@@ -140,16 +154,19 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, vector: str = "emb
     Vectors are compared when their labels are equal and not NULL and they have the same width. Rows with a NULL id,
     label or vector, a NULL or non-finite component or only zeros link with nothing and stay in components of their
     own (a NULL id has a NULL component and is kept). Equal vectors of one label are compared once, as one node, and
-    count one another as links. An empty table gives an empty result.
+    count one another as links; of rows that repeat an id with other vectors each has the links of its own. A pair at the
+    threshold links when the product of the unit vectors reaches it in double precision. Other columns are not read. An
+    empty table gives an empty result.
     """
     spark = rows.sparkSession
     ship_package(spark)
     units = written(unit_vectors(rows, vector).withColumn("digest", F.sha2("unit", 256)), "units")
-    nodes = written(
-        units.groupBy("label", "width", "digest").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vector-nodes"
-    )
-    # One unit vector per node: the row that carries the node's id and digest.
-    bodies = units.withColumnRenamed("vec_id", "node").join(nodes, ["label", "width", "digest", "node"]).dropDuplicates(["label", "width", "digest"])
+    # Nodes are numbered by their smallest id: vectors that share an id stay apart, and the smallest number of a component is that
+    # of its smallest id.
+    same = units.groupBy("label", "width", "digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    nodes = written(ranked(same, [], [F.col(c) for c in ("vec_id", "label", "width", "digest")], "node"), "vector-nodes")
+    # One unit vector per node: a row that carries the node's id and digest.
+    bodies = units.join(nodes, ["label", "width", "digest", "vec_id"]).dropDuplicates(["node"])
 
     sample = None
     for width in [r["width"] for r in nodes.select("width").distinct().collect()]:
@@ -169,17 +186,17 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, vector: str = "emb
             turned = [np.frombuffer(u) @ axes[w] for u, w in zip(b["unit"].to_pylist(), b["width"].to_pylist())]
             cells = [[math.floor((z[k] if k < len(z) else 0.0) / reach) for z in turned] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(
-                [b["node"], b["label"], b["width"], b["copies"], *[pa.array(c, pa.int32()) for c in cells], pa.array([z.tobytes() for z in turned], pa.binary())],
-                ["node", "label", "width", "copies", "cx", "cy", "turned"],
+                [b["node"], b["label"], b["width"], b["copies"], *[pa.array(c, pa.int32()) for c in cells], b["unit"]],
+                ["node", "label", "width", "copies", "cx", "cy", "unit"],
             )
 
     placed = written(
         map_batches(
             bodies.select("node", "label", "width", "copies", "unit"),
             turn,
-            "node bigint, label string, width int, copies bigint, cx int, cy int, turned binary",
+            "node bigint, label string, width int, copies bigint, cx int, cy int, unit binary",
         ),
-        "turned",
+        "placed-vectors",
     )
     cell = ["label", "width", "cx", "cy"]
     sizes = placed.groupBy(*cell).count().withColumn("blocks", F.ceil(F.col("count") / BLOCK_ROWS).cast("int")).drop("count")
@@ -197,20 +214,23 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, vector: str = "emb
     at = placed.join(sizes, cell).withColumn("own", F.struct("cx", "cy", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
     compared = written(
         at.join(sides, ["label", "width", "own"])
-        .select("tile", "single", "right", "node", "copies", "turned")
+        .select("tile", "single", "right", "node", "copies", "unit")
         .groupBy("tile")
-        .applyInPandas(_tile(threshold), "a bigint, b bigint, n bigint, is_count boolean"),
+        .applyInPandas(_tile(threshold, axes), "a bigint, b bigint, n bigint, is_count boolean"),
         "tiles",
     )
     linked = compared.where("is_count").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     joined = components(compared.where("NOT is_count"))
-    of_node = nodes.join(linked, "node", "left").join(joined, "node", "left").select(
+    lowest = nodes.select(F.col("node").alias("component"), F.col("vec_id").alias("lowest"))
+    of_node = nodes.join(linked, "node", "left").join(joined.join(lowest, "component"), "node", "left").select(
         F.col("label").alias("__label"),
+        F.col("width").alias("__width"),
         F.col("digest").alias("__digest"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "node").alias("component_id"),
+        F.coalesce("lowest", "vec_id").alias("component_id"),
     )
-    members = units.join(of_node, (F.col("label") == F.col("__label")) & (F.col("digest") == F.col("__digest")))
+    same_vector = [F.col(c) == F.col(f"__{c}") for c in ("label", "width", "digest")]
+    members = units.join(of_node, same_vector)
     found = members.select("vec_id", "n_links", "component_id")
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col(vector).isNotNull()
     # Rows that cannot link: those left out above, and of the others as many as the unit step left out.
