@@ -38,7 +38,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS number
+    ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS number
   FROM documents),
 src AS (
   SELECT source, sum(size)::BIGINT AS size, 3 * sum(size)::BIGINT AS cap,
@@ -55,13 +55,14 @@ filled AS (
   FROM src, level),
 plan AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM filled),
-units AS (SELECT source, number, sum(size) AS words FROM sized GROUP BY ALL),
+units AS (SELECT source, number, sum(size) AS words, count(*) AS rows FROM sized GROUP BY ALL),
 placed AS (
-  SELECT source, number, words, coalesce(sum(words) OVER (PARTITION BY source ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM units)
+  SELECT source, number, words, rows, coalesce(sum(words) OVER (PARTITION BY source ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM units),
+copies AS (SELECT *, row_number() OVER (PARTITION BY source, number) AS j FROM sized)
 SELECT s.doc_id, s.size, p.source_size, p.target,
-  (s.size * (p.whole + CASE WHEN u.before + u.words / 2.0 <= p.target - p.whole * p.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+  (s.size * (p.whole + CASE WHEN u.words = 0 THEN 0 WHEN s.j <= floor((p.target - p.whole * p.source_size - u.start)::DOUBLE * u.rows / u.words + 0.5) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM copies s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 JOIN placed u ON s.source IS NOT DISTINCT FROM u.source AND s.number = u.number""",
 )
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
