@@ -77,6 +77,27 @@ def test_jaccard_components_of_the_given_documents(spark):
     assert kept == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_texts_that_share_an_id_keep_their_own_groups(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (2, a + " more"), (3, b + " more"), (7, "something else that is long enough to have shingles"), (7, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == [(2, 2), (3, 3), (5, 2), (5, 3), (7, 2), (7, 7)]
+    kept = sorted((r["doc_id"], r["text"][:6]) for r in ngram_join.one_of_each_group(docs).collect())
+    assert kept == [(2, "a0 a1 "), (3, "b0 b1 "), (7, "someth")]
+
+
+def test_one_of_each_group_keeps_what_belongs_to_none(spark):
+    a, alone = " ".join(f"a{k}" for k in range(40)), " ".join(f"z{k}" for k in range(40))
+    rows = [(5, a, 1), (5, alone, 2), (2, a + " x", 3), (2, a + " x", 4), (None, a, 5), (None, a, 6), (9, None, 7), (9, None, 8), (10, " ", 9), (11, a, 10)]
+    docs = spark.createDataFrame([(*r, "g") for r in rows], "doc_id bigint, text string, n int, node string")
+    got = ngram_join.one_of_each_group(docs)
+    assert got.columns == docs.columns
+    kept = sorted(r["n"] for r in got.collect())
+    assert kept in ([2, 3, 5, 6, 7, 8, 9], [2, 4, 5, 6, 7, 8, 9])
+    assert ngram_join.one_of_each_group(docs.limit(0)).count() == 0
+
+
 def test_prefix_bound_holds():
     for n in range(1, 60):
         for m in range(n, 80):
@@ -94,18 +115,41 @@ def test_parity_bits_bound_the_difference():
         assert apart <= len(np.setxor1d(x, y))
 
 
-def sim_hash(words):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(words)]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def distance(a, b):
-    row = list(range(len(b) + 1))
+def near(a, b, most):
+    """Whether the edit distance is at most ``most``: the usual table, only as far from its diagonal as that."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    far = most + 1
+    row = [j if j <= most else far for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+        low, high = max(1, i - most), min(len(b), i + most)
+        new = [far] * (len(b) + 1)
+        if i <= most:
+            new[0] = i
+        for j in range(low, high + 1):
+            new[j] = min(row[j - 1] + (x != b[j - 1]), row[j] + 1, new[j - 1] + 1)
+        row = new
+        if min(row[max(0, low - 1) : high + 1]) > most:
+            return False
+    return row[-1] <= most
+
+
+def similar_pairs(bodies, percent):
+    """All pairs of similar texts, by edit similarity alone. An edit changes at most four counts of character pairs, which rules
+    out most of them without a table."""
+    order = sorted(range(len(bodies)), key=lambda k: len(bodies[k]))
+    counts = np.zeros((len(bodies), 1024), np.int16)
+    for k, text in enumerate(bodies):
+        pairs = [xxhash.xxh32_intdigest(text[i : i + 2].encode()) % 1024 for i in range(len(text) - 1)]
+        np.add.at(counts[k], pairs, 1)
+    for at, k in enumerate(order):
+        others = [m for m in order[:at] if 100 * len(bodies[m]) >= percent * len(bodies[k])]
+        if others:
+            most = len(bodies[k]) * (100 - percent) // 100
+            apart = np.abs(counts[others] - counts[k]).sum(1, dtype=np.int64)
+            for m in np.array(others)[apart <= 4 * most]:
+                if near(bodies[m], bodies[k], most):
+                    yield int(m), k
 
 
 def lines_truth(rows, percent=85):
@@ -117,13 +161,7 @@ def lines_truth(rows, percent=85):
             if words:
                 place[i, k] = words
     forms = sorted(set(place.values()))
-    hashes = {f: sim_hash(f) for f in forms}
-    links = []
-    for a, b in itertools.combinations([f for f in forms if len(f) >= lines.FUZZY_WORDS], 2):
-        if bin(hashes[a] ^ hashes[b]).count("1") <= lines.NEAR_BITS:
-            x, y = " ".join(a), " ".join(b)
-            if distance(x, y) <= max(len(x), len(y)) * (100 - percent) // 100:
-                links.append((a, b))
+    links = [(forms[a], forms[b]) for a, b in similar_pairs([" ".join(f) for f in forms], percent)]
     comp = union(forms, links)
     seen, out = set(), {}
     for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
@@ -217,6 +255,13 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_vectors_that_share_an_id_keep_their_own_links(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (4, [1.0, 0.01], 1), (3, [0.01, 1.0], 1), (1, [5.0, 5.0], 2)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(frame).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (1, 1, 1), (3, 1, 1), (4, 1, 1)]
+
+
 def test_vectors_empty_and_without_ids(spark):
     schema = "vec_id bigint, embedding array<float>, label int"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -306,6 +306,16 @@ def test_mix_is_near_its_targets_and_repeats(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_mixed_apart(spark):
+    rows = [(None, " ".join(["w"] * 10), "a")] * 50 + [(7, f"x y {k}", "a") for k in range(30)] + [(k, " ".join(["v"] * 100), "b") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = mixing.mix_sources(docs).toPandas()
+    for (size, target), part in got.groupby(["source_size", "target"]):
+        assert part["size"].sum() == size and abs(part.taken.sum() - target) <= part["size"].max()
+    mixed = mixing.mixed_documents(docs).toPandas()
+    assert mixed.text.str.split().str.len().sum() == got.taken.sum()
+
+
 # --- URLs ---
 
 
