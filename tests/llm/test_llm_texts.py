@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import pathlib
 import re
 import unicodedata
@@ -14,7 +15,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from foliant.llm import mixing, order_minhash, packing, quality, queries, tokens, toxicity, urls
-from foliant.llm.batches import Words
+from foliant.llm.batches import Words, run_hashes
 from foliant.llm.training import held_out_quality
 
 WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -73,6 +74,42 @@ def test_toxicity_is_learnt_from_document_labels(spark):
     assert left == set(got[got.score < 0.7].doc_id)
 
 
+def plain_toxicity(text, weights):
+    """Score and offending sentences of one text, word by word."""
+    lower = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+    clean, found = 1.0, []
+    pieces = [p for p in re.split(rb"[\n\r!.?]", lower) if re.search(rb"[0-9a-z\x80-\xff]", p)] or [b""]
+    for piece in pieces:
+        z = weights[-1]
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", piece):
+            for size in (None, *(n for n in (3, 4, 5, 6) if n < len(word))):
+                part = np.frombuffer(word[:size], np.uint8)
+                h = int(run_hashes(part, np.array([0]), np.array([len(part)]))[0]) + (size or 0)
+                z += weights[(h % 2**64) >> 46]
+        p = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        clean *= 1 - p
+        if p >= 0.5:
+            found.append(piece)
+    return 1 - clean, len(found)
+
+
+def test_toxicity_scores_against_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    weights = rng.normal(size=toxicity.WEIGHTS + 1) * 0.7
+    weights[-1] = -2.0
+    texts = [t for t in ODD if t is None or "\x1c" not in t] + ["A bad day. A good day!\nBad", "word " * 60_000, "One. " * 30_000] + [" ".join(f"w{k}." for k in rng.integers(0, 50, 30))]
+    rows = [(i, t, 0.5, "z") for i, t in enumerate(texts)] + [(1, "A bad day.", 0.5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score double, predicted string")
+    got = sorted((r["doc_id"], r["score"], len(r["offending"]), r["predicted"]) for r in toxicity.score(docs, weights).collect())
+    want = sorted((i, *plain_toxicity(t, weights)) for i, t, *_ in rows)
+    assert len(got) == len(want)
+    for (i, score, n, predicted), (j, truth, m) in zip(got, want):
+        assert (i, n, predicted) == (j, m, int(score >= 0.7)) and abs(score - truth) < 1e-9
+    assert toxicity.score(docs.limit(0), weights).count() == 0
+    kept = toxicity.clean_documents(docs, weights)
+    assert kept.columns == docs.columns and kept.count() == sum(score < 0.7 for _, score, _ in want)
+
+
 def test_hinge_loss_reaches_its_minimum():
     rng = np.random.default_rng(2)
     rows = [np.sort(rng.choice(50, 10, replace=False)) for _ in range(80)]
