@@ -135,19 +135,21 @@ def near(a, b, most):
 
 
 def similar_pairs(bodies, percent):
-    """All pairs of similar texts, by edit similarity alone. An edit changes at most four counts of character pairs, which rules
-    out most of them without a table."""
+    """All pairs of similar texts, by edit similarity alone. An edit changes at most four counts of character pairs and six of
+    triples, which rules out most pairs of texts without a table."""
     order = sorted(range(len(bodies)), key=lambda k: len(bodies[k]))
-    counts = np.zeros((len(bodies), 1024), np.int16)
+    counts = {q: np.zeros((len(bodies), 1024), np.int16) for q in (2, 3)}
     for k, text in enumerate(bodies):
-        pairs = [xxhash.xxh32_intdigest(text[i : i + 2].encode()) % 1024 for i in range(len(text) - 1)]
-        np.add.at(counts[k], pairs, 1)
+        for q in counts:
+            np.add.at(counts[q][k], [xxhash.xxh32_intdigest(text[i : i + q].encode()) % 1024 for i in range(len(text) - q + 1)], 1)
     for at, k in enumerate(order):
         others = [m for m in order[:at] if 100 * len(bodies[m]) >= percent * len(bodies[k])]
         if others:
             most = len(bodies[k]) * (100 - percent) // 100
-            apart = np.abs(counts[others] - counts[k]).sum(1, dtype=np.int64)
-            for m in np.array(others)[apart <= 4 * most]:
+            close = np.array(others)
+            for q, table in counts.items():
+                close = close[np.abs(table[close] - table[k]).sum(1, dtype=np.int64) <= 2 * q * most]
+            for m in close:
                 if near(bodies[m], bodies[k], most):
                     yield int(m), k
 
