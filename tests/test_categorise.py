@@ -1,8 +1,9 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.functions.phrases import pick_phrases
 from foliant.operators import categorise as op
 
 
@@ -33,14 +34,16 @@ def plain_mmr(words, phrases, n, diversity):
 
 
 def test_mmr_against_plain_loop(spark):
+    rng = random.Random(5)
     text = "Graph graph search finds paths; search engines rank paths and the graph engines rank results results"
-    row = spark.createDataFrame([(1, text), (2, ""), (3, None)], "id BIGINT, abstract STRING")
-    words, phrases = op.candidate_phrases(row).orderBy("id").select("words", "phrases").first()
+    drawn = [" ".join(rng.choices("red green blue green yellow the pink 77".split(), k=n)) for n in (1, 2, 3, 9, 40, 200)]
+    rows = spark.createDataFrame(list(enumerate([text, "", None, "of the", "same same same", *drawn])), "id BIGINT, abstract STRING")
+    found = {r.id: (r.words or [], r.phrases or []) for r in op.candidate_phrases(rows).collect()}
+    words, phrases = found[0]
     assert "the" not in words and "paths graph" in phrases  # stop words go before pairs are made
-    for n, diversity in ((5, 0.5), (1, 0.5), (50, 0.0), (8, 0.9)):
-        assert pick_phrases(words, phrases, n, diversity) == plain_mmr(words, phrases, n, diversity)
-    tags = {r.id: r.tags for r in op.mmr_tags(row, 4).collect()}
-    assert tags == {1: plain_mmr(words, phrases, 4, 0.5), 2: [], 3: []}
+    for n, diversity in ((5, 0.5), (1, 0.5), (7, 0.0), (6, 0.9)):
+        tags = {r.id: r.tags for r in op.mmr_tags(rows, n, diversity).collect()}
+        assert tags == {i: plain_mmr(w, p, n, diversity) for i, (w, p) in found.items()}
 
 
 def vectors(spark, n, name, seed):
