@@ -204,6 +204,42 @@ def delete_documents(index: Index, ids: DataFrame) -> Index:
     )
 
 
+def replace_documents(index: Index, docs: DataFrame, path: str) -> Index:
+    """The index with newer versions of some documents, and with documents it did not have.
+
+    ``docs`` is as from ``index_documents``, one row per id. The new versions get postings, frequencies and counts of their own
+    at ``path``; the old versions are dropped as by ``delete_documents``. Nothing else is rewritten, and the postings of the
+    result are laid out by the same buckets on both sides, so a search still reads the buckets of its words only.
+    """
+    spark = docs.sparkSession
+    left = delete_documents(index, docs)
+    write_postings(postings_of(docs, index.buckets, index.analyser), f"{path}/postings")
+    docs.select("id", "title", "year", "date_modified").write.parquet(f"{path}/docs")
+    fresh = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    stored = spark.read.schema(DOCS).parquet(f"{path}/docs")
+    own = document_frequencies(fresh).repartition("bucket").sortWithinPartitions("bucket", "term", "field")
+    own.write.partitionBy("bucket").parquet(f"{path}/terms")
+    known = spark.read.schema(TERMS).parquet(f"{path}/terms")
+    grams = None
+    if index.grams is not None:
+        write_grams(known, f"{path}/grams", index.buckets)
+        grams = index.grams.unionByName(spark.read.schema(_GRAMS).parquet(f"{path}/grams"))
+    counts = written(field_counts(fresh, stored), "counts")
+    kept = left.stats.select("field", F.lit(0).cast("bigint").alias("n_docs"), "total")
+    number = left.docs.agg(F.count("*").alias("n_docs")).select(
+        F.lit(None).cast("string").alias("field"), "n_docs", F.lit(0).cast("bigint").alias("total")
+    )
+    parts = index_of_parts(
+        left.postings.unionByName(fresh),
+        left.docs.unionByName(stored),
+        left.terms.unionByName(known),
+        written(kept.unionByName(number).unionByName(counts), "counts"),
+        index.buckets,
+        index.analyser,
+    )
+    return replace(parts, grams=grams)
+
+
 def document_count(index: Index) -> DataFrame:
     return index.docs.agg(F.count("*").alias("indexed"))
 

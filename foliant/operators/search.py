@@ -165,7 +165,8 @@ def glob_terms(index: Index, pattern: str) -> DataFrame:
     if index.grams is None or not grams:
         return index.terms.where(like).select("bucket", "term").distinct()
     rows = _of_terms(index, index.grams, grams, "gram").where(like)
-    found = rows.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+    found = rows.groupBy("term").agg(F.count_distinct("gram").alias("n"))  # parts of an index may both know a term
+    found = found.where(F.col("n") == len(grams))
     return found.select(term_bucket(F.col("term"), index.buckets).alias("bucket"), "term")
 
 

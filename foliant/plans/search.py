@@ -289,6 +289,30 @@ def search_after_delete(spark, sf_dir):
     return shown(op.search(left, op.any_of(WORDS)))
 
 
+# Toxic documents come again with another title and abstract.
+_NEW_TITLE, _NEW_ABSTRACT = "revised ", "license that was cleared"
+_REPLACED = _WEIGHTS.replace("WITH field_text AS", "WITH old_text AS", 1).replace("\ntok AS (", f"""
+field_text AS (SELECT id, field, CASE WHEN id NOT IN (SELECT doc_id FROM @labels WHERE toxic = 1) THEN text
+  WHEN field = 'title' THEN concat('{_NEW_TITLE}', text) WHEN field = 'abstract' THEN '{_NEW_ABSTRACT}' ELSE text END AS text FROM old_text),
+tok AS (""", 1)
+
+
+def _replaced(spark, sf_dir):
+    again = documents(spark, sf_dir).join(_toxic(spark, sf_dir), "id", "left_semi")
+    newer = again.withColumns({"title": F.concat(F.lit(_NEW_TITLE), "title"), "abstract": F.lit(_NEW_ABSTRACT)})
+    return ix.replace_documents(library_index(spark, sf_dir), newer, scratch_path(spark, "index-newer"))
+
+
+@query("replace_in_index", _REPLACED + " SELECT term, field, df FROM freq")
+def replace_in_index(spark, sf_dir):
+    return _replaced(spark, sf_dir).terms.select("term", "field", "df")
+
+
+@query("search_after_replace", _REPLACED + f" SELECT id, {_ROUND} FROM scored WHERE term IN ('license', 'ering', 'that', 'revised') GROUP BY id")
+def search_after_replace(spark, sf_dir):
+    return shown(op.search(_replaced(spark, sf_dir), op.any_of(f"{WORDS} revised")))
+
+
 @query("index_doc_count", "SELECT count(*) AS indexed FROM papers_v")
 def index_doc_count(spark, sf_dir):
     return ix.document_count(library_index(spark, sf_dir))

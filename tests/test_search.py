@@ -125,6 +125,23 @@ def test_search_after_a_delete_reads_only_its_buckets(spark, docs, index):
     assert ids(none_left, *op.any_of("laws cats")) == [] and none_left.terms.count() == 0
 
 
+@pytest.mark.parametrize("which", ["index", "stemmed"])
+def test_replaced_documents_are_like_a_new_index(spark, docs, which, request):
+    old = request.getfixturevalue(which)
+    newer = docs.where("id IN (1, 4)").selectExpr(
+        "IF(id = 4, 9, id) AS id", "'Dogs learning tricks' AS title", "abstract", "authors", "keywords", "'laws of tricks' AS fulltext", "2024 AS year", "'new' AS date_modified"
+    )
+    got = ix.replace_documents(old, newer, scratch_path(spark, "t"))
+    rebuilt = ix.write_index(docs.where("id <> 1").unionByName(newer), scratch_path(spark, "t"), 4, old.analyser)
+    for clauses in (op.any_of("learning laws dogs"), [op.phrase("scaling laws")], [op.glob("*ick*")], [op.glob("la*")], [op.word("dogs", "must"), op.years(2024, 2024)]):
+        assert sorted(op.search(got, clauses).collect()) == sorted(op.search(rebuilt, clauses).collect())
+    assert sorted(got.terms.drop("bucket").collect()) == sorted(rebuilt.terms.drop("bucket").collect())
+    again = ix.replace_documents(got, newer.where("id = 9").withColumn("title", ix.F.lit("Cats")), scratch_path(spark, "t"))
+    assert ids(again, op.word("cats", field="title")) == [3, 9] and again.docs.count() == 5
+    nothing = ix.replace_documents(got, newer.limit(0), scratch_path(spark, "t"))
+    assert sorted(nothing.stats.collect()) == sorted(got.stats.collect())
+
+
 def test_many_queries_are_like_one(spark, index, stemmed):
     texts = {1: "laws", 2: "the neural dogs", 3: "nothing known", 4: None, 5: "Learning, learning CATS"}
     asked = spark.createDataFrame([*texts.items(), (None, "laws")], "query_id BIGINT, text STRING")
