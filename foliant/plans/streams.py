@@ -18,7 +18,8 @@ from foliant.streaming import jobs
 
 
 def _stream(spark, sf_dir, name):
-    return jobs.read_files(spark, sf_dir, table(spark, sf_dir, name).schema, f"{name}.parquet")
+    # A table is one file or a folder of files; the stream takes either.
+    return jobs.read_files(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
 
 
 def _queue(spark, sf_dir):

@@ -38,8 +38,8 @@ _STALE = "id BIGINT, old BIGINT"
 _COUNTS = "field STRING, n_docs BIGINT, total BIGINT"
 
 
-def read_files(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
-    """A stream of the parquet files that arrive in a folder."""
+def read_files(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*", per_batch: int | None = None) -> DataFrame:
+    """A stream of the parquet files that arrive in a folder; ``folder`` may also name a single file."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch).option("latestFirst", "false")
