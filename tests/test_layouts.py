@@ -25,3 +25,14 @@ def same(spark, folder, name, tables):
 def test_stream_of_a_folder(spark, tmp_path, name, read):
     table(spark, SF, read).repartition(3).write.parquet(f"{tmp_path}/{read}.parquet")
     same(spark, str(tmp_path), name, [read])
+
+
+@pytest.mark.parametrize("name", ["import_urls", "reason_counts"])
+def test_pages_that_share_an_address(spark, tmp_path, name):
+    read = ("documents", "labels", "pages")
+    for t in read:
+        rows = table(spark, SF, t)
+        if t == "pages":  # three pages an address, so direct documents and landing pages repeat
+            rows = rows.selectExpr("page_id", "concat('https://a.example.com/', page_id div 3) AS url", "html")
+        rows.write.parquet(f"{tmp_path}/{t}.parquet")
+    same(spark, str(tmp_path), name, read)
