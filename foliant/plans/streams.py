@@ -18,8 +18,8 @@ from foliant.streaming import jobs
 
 
 def _stream(spark, sf_dir, name):
-    # A table is one file or a folder of files; the stream takes either.
-    return jobs.read_files(spark, f"{sf_dir}/{name}.parquet", table(spark, sf_dir, name).schema)
+    # A table is one file or a folder of files; a pattern (here of this one name) may match either.
+    return jobs.read_files(spark, f"{sf_dir}/{name}.[p]arquet", table(spark, sf_dir, name).schema)
 
 
 def _queue(spark, sf_dir):

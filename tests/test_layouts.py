@@ -36,3 +36,7 @@ def test_pages_that_share_an_address(spark, tmp_path, name):
             rows = rows.selectExpr("page_id", "concat('https://a.example.com/', page_id div 3) AS url", "html")
         rows.write.parquet(f"{tmp_path}/{t}.parquet")
     same(spark, str(tmp_path), name, read)
+
+
+def test_stream_of_a_single_file(spark):
+    assert contract.queries()["stream_categorise"](spark, SF).count() > 0
