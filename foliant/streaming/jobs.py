@@ -26,11 +26,12 @@ from foliant.operators.index import (
     document_frequencies,
     field_counts,
     index_of_parts,
-    postings_of,
     read_index,
+    write_document_postings,
     write_grams,
     write_postings,
 )
+from foliant.session import written as stored_once
 from foliant.streaming.keys import KeyTable
 
 _OUTCOME = ", ".join(f"{c} {kind}" for c, kind in OUTCOME.items())
@@ -39,7 +40,7 @@ _COUNTS = "field STRING, n_docs BIGINT, total BIGINT"
 
 
 def read_files(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*", per_batch: int | None = None) -> DataFrame:
-    """A stream of the parquet files that arrive in a folder; ``folder`` may also name a single file."""
+    """A stream of the parquet files that arrive in a folder; a pattern may name single files."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch).option("latestFirst", "false")
@@ -118,7 +119,8 @@ def index_stream(docs: DataFrame, out: str, checkpoint: str, buckets: int = 64,
         spark = batch.sparkSession
         row = F.struct(*[c for c in batch.columns if c != "id"])
         newest = batch.groupBy("id").agg(F.max_by(row, F.struct(F.coalesce("date_modified", F.lit("")), row)).alias("r")).select("id", "r.*")
-        write_postings(postings_of(newest, buckets, analyser), f"{out}/postings/batch={batch_id}", "overwrite")
+        newest = stored_once(newest, "stream-batch")  # read three times
+        write_document_postings(newest, f"{out}/postings/batch={batch_id}", buckets, analyser, "overwrite")
         newest.select("id", "title", "year", "date_modified").write.mode("overwrite").parquet(f"{out}/docs/batch={batch_id}")
         postings = spark.read.schema(POSTINGS).parquet(f"{out}/postings/batch={batch_id}")
         stored = spark.read.schema(DOCS).parquet(f"{out}/docs/batch={batch_id}")
