@@ -7,7 +7,8 @@ a node is bounded.
 
 The first lists come from random projection trees. Their leaves also are the blocks in which the rounds run: nodes of one leaf
 have common neighbours, so a block fetches each vector once. Building compares unit vectors in whole numbers (steps of
-1/``SCALE``), whose inner products do not depend on the order of addition. What is returned is measured on the original vectors.
+1/``SCALE``) by their squared distance, which orders them as the cosine does, but tells vectors apart whose cosines are all
+near 1; sums of whole numbers do not depend on the order of addition. What is returned is measured on the original vectors.
 
 Equal vectors are one node; its smallest ids are brought back at the end, so copies neither fill the lists nor are lost.
 """
@@ -26,16 +27,16 @@ from pyspark.sql import functions as F
 from foliant.llm.batches import Batches, drop_table, map_batches, mix, release_shuffles, stored
 from foliant.session import ship_package, written
 
-#: Unit vectors are multiplied by this and rounded to a byte a component; their inner products are exact in float32.
-SCALE = 127
+#: Unit vectors are multiplied by this and rounded, as fine as float32 components; their inner products are exact in float64.
+SCALE = 1 << 25
 #: Nodes of a leaf, on average.
 LEAF = 512
 #: Trees are fitted on at most so many nodes, those with the smallest digests, and hold at most so many numbers a tree.
 FIT_NODES, FIT_NUMBERS = 32768, 1 << 19
 #: Sample of a fitted leaf.
 _LEAST = 16
-_FOUND = "array<struct<score:int,other:bigint,home:bigint>>"
-_LISTS = "block bigint, node bigint, small binary, near array<struct<score:int,other:bigint,home:bigint,fresh:boolean>>"
+_FOUND = "array<struct<score:bigint,other:bigint,home:bigint>>"
+_LISTS = "block bigint, node bigint, small binary, near array<struct<score:bigint,other:bigint,home:bigint,fresh:boolean>>"
 
 
 @dataclass(frozen=True)
@@ -64,7 +65,7 @@ def _usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
                 unit = unit / math.sqrt(float(unit @ unit))
                 ids.append(i), widths.append(len(x)), raws.append(x.tobytes())
                 digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                smalls.append(np.rint(unit * SCALE).astype(np.int8).tobytes())
+                smalls.append(np.rint(unit * SCALE).astype(np.int32).tobytes())
             columns = [pa.array(ids, pa.int64()), pa.array(widths, pa.int32()), *[pa.array(c, pa.binary()) for c in (digests, raws, smalls)]]
             yield pa.RecordBatch.from_arrays(columns, ["id", "width", "digest", "raw", "small"])
 
@@ -80,7 +81,12 @@ def _first(rows: DataFrame, keys: list[str], order: list[str], n: int, name: str
 
 def _matrix(rows: list[bytes]) -> np.ndarray:
     parts = list(rows)
-    return np.frombuffer(b"".join(parts), np.int8).reshape(len(parts), -1).astype(np.float32)
+    return np.frombuffer(b"".join(parts), np.int32).reshape(len(parts), -1).astype(np.float64)
+
+
+def _closeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Minus the squared distance of every row of x to every row of y."""
+    return 2 * (x @ y.T) - np.einsum("ij,ij->i", x, x)[:, None] - np.einsum("ij,ij->i", y, y)[None, :]
 
 
 # --- First lists: projection trees ----------------------------------------------------------------------------------
@@ -88,7 +94,7 @@ def _matrix(rows: list[bytes]) -> np.ndarray:
 
 def _tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Directions and medians of a complete binary tree over the sample."""
-    ways, cuts = np.zeros(((1 << depth) - 1, sample.shape[1]), np.float32), np.zeros((1 << depth) - 1, np.float32)
+    ways, cuts = np.zeros(((1 << depth) - 1, sample.shape[1])), np.zeros((1 << depth) - 1)
     members = {0: np.arange(len(sample))}
     for k in range(len(ways)):
         rows = members.pop(k, np.zeros(0, int))
@@ -119,7 +125,7 @@ def _in_leaves(points: DataFrame, trees: int, seed: int) -> DataFrame:
         width, n = r["width"], r["count"]
         depth = min(math.ceil(math.log2(max(1, n / LEAF))), int(math.log2(FIT_NODES / _LEAST)), int(math.log2(max(2, FIT_NUMBERS / width))))
         some = points.where(F.col("width") == width).orderBy("digest").limit(FIT_NODES).select("small").collect() if depth else []
-        sample = _matrix([bytes(s["small"]) for s in some]) if some else np.zeros((0, width), np.float32)
+        sample = _matrix([bytes(s["small"]) for s in some]) if some else np.zeros((0, width))
         rng = np.random.default_rng(seed)
         forest[width] = depth, [_tree(sample, depth, rng) for _ in range(trees)] if depth else []
 
@@ -178,11 +184,11 @@ def _leaf_lists(k: int):
         most = min(k, len(x) - 1)
         picked, scored = [], []
         for at in range(0, len(x), 1024):  # a share may be larger than the average
-            scores = x[at : at + 1024] @ x.T
+            scores = _closeness(x[at : at + 1024], x)
             scores[np.arange(len(scores)), np.arange(at, at + len(scores))] = -np.inf
             best = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most else np.zeros((len(scores), 0), int)
             picked.append(best.ravel()), scored.append(np.take_along_axis(scores, best, 1).ravel())
-        j, score = np.concatenate(picked), np.concatenate(scored).astype(np.int32)
+        j, score = np.concatenate(picked), np.concatenate(scored).astype(np.int64)
         found = _ragged(np.full(len(x), most), score=score, other=nodes[j], home=homes[j])
         return pa.table({"home": rows["home"], "node": rows["node"], "found": found})
 
@@ -227,7 +233,7 @@ def _gathered(k: int, most: int, salt: int):
         node = lists["node"].to_numpy()
         sizes, near = _flat(lists["near"])
         item = {c: near.field(c).to_numpy(zero_copy_only=False) for c in ("score", "other", "home", "fresh")}
-        last = np.full(len(node), -(1 << 30), np.int64)
+        last = np.full(len(node), -(1 << 60), np.int64)
         full = np.flatnonzero(sizes >= k)
         last[full] = item["score"][np.cumsum(sizes)[full] - 1]
         to, source = back["node"].to_numpy(), back["member"].to_numpy()
@@ -268,14 +274,14 @@ def _local_join(k: int, most: int, salt: int):
 
     def join(members: pa.Table, vectors: pa.Table) -> pa.Table:
         empty = np.zeros(0, np.int64)
-        nothing = pa.table({"home": empty, "node": empty, "found": _ragged(empty, score=empty.astype(np.int32), other=empty, home=empty)})
+        nothing = pa.table({"home": empty, "node": empty, "found": _ragged(empty, score=empty, other=empty, home=empty)})
         if not len(vectors):
             return nothing
         ids, homes, last, degree = (vectors[c].to_numpy() for c in ("id", "home", "last", "degree"))
         by_id = np.argsort(ids)
-        ids, homes, last, degree = ids[by_id], homes[by_id], last[by_id].astype(np.float32), degree[by_id]
+        ids, homes, last, degree = ids[by_id], homes[by_id], last[by_id].astype(np.float64), degree[by_id]
         smalls = vectors["small"].to_pylist()
-        x = np.concatenate([_matrix([smalls[i] for i in by_id]), np.zeros((1, len(smalls[0])), np.float32)])
+        x = np.concatenate([_matrix([smalls[i] for i in by_id]), np.zeros((1, len(smalls[0]) // 4))])
         node = members["node"].to_numpy(zero_copy_only=False)
         sizes, items = _flat(members["members"])
         row, member = np.repeat(np.arange(len(node)), sizes), items.field("member").to_numpy(zero_copy_only=False)
@@ -288,8 +294,8 @@ def _local_join(k: int, most: int, salt: int):
         one = np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1]))) if len(row) else np.zeros(0, bool)
         row, at, fresh = row[one], at[one], fresh[one]
         _, starts, sizes = np.unique(row, return_index=True, return_counts=True)
-        froms, tos, scores = [empty], [empty], [empty.astype(np.float32)]
-        bars = np.concatenate([last, [np.inf]]).astype(np.float32)
+        froms, tos, scores = [empty], [empty], [empty.astype(np.float64)]
+        bars = np.concatenate([last, [np.inf]])
         order = np.argsort(sizes, kind="stable")
         for part in (order[p : p + 32] for p in range(0, len(order), 32)):  # nodes with about as many members
             wide = sizes[part].max()
@@ -299,14 +305,15 @@ def _local_join(k: int, most: int, salt: int):
             who = np.where(there, at[place], len(ids))
             new = there & fresh[place]
             g = x[who]
-            s = g @ g.transpose(0, 2, 1)
+            own = np.einsum("pij,pij->pi", g, g)
+            s = 2 * (g @ g.transpose(0, 2, 1)) - own[:, :, None] - own[:, None, :]
             ok = (s > bars[who][:, :, None]) & (new[:, :, None] | new[:, None, :]) & there[:, None, :]
             ok[:, np.arange(wide), np.arange(wide)] = False
             p, i, j = np.nonzero(ok)
             froms.append(who[p, i]), tos.append(who[p, j]), scores.append(s[p, i, j])
         a, b, s = np.concatenate(froms), np.concatenate(tos), np.concatenate(scores)
         best = _nearest_first(a, b, s, np.zeros(len(a), bool), k)
-        a, b, s = a[best], b[best], s[best].astype(np.int32)
+        a, b, s = a[best], b[best], s[best].astype(np.int64)
         who, held = np.unique(a, return_counts=True)
         return pa.table({"home": homes[who], "node": ids[who], "found": _ragged(held, score=s, other=ids[b], home=homes[b])})
 
@@ -383,10 +390,15 @@ def _scores(pairs: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x, y = b["small"].to_pylist(), b["asked"].to_pylist()
-                score = [int(np.frombuffer(p, np.int8).astype(np.int64) @ np.frombuffer(q, np.int8)) for p, q in zip(x, y)] if len({*map(len, x)}) > 1 else np.einsum("ij,ij->i", _matrix(x), _matrix(y)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b["query"], b["other"], pa.array(score, pa.int32())], ["query", "other", "score"])
+                widths = np.array([len(p) for p in x])
+                score = np.zeros(len(x), np.int64)
+                for width in np.unique(widths):
+                    rows = np.flatnonzero(widths == width)
+                    apart = _matrix([x[i] for i in rows]) - _matrix([y[i] for i in rows])
+                    score[rows] = -np.einsum("ij,ij->i", apart, apart).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b["query"], b["other"], pa.array(score)], ["query", "other", "score"])
 
-    return map_batches(pairs.select("query", "other", "small", "asked"), multiply, "query bigint, other bigint, score int")
+    return map_batches(pairs.select("query", "other", "small", "asked"), multiply, "query bigint, other bigint, score bigint")
 
 
 def _entries(graph: Graph, n: int) -> list[int]:
@@ -394,7 +406,7 @@ def _entries(graph: Graph, n: int) -> list[int]:
 
 
 def greedy_search(
-    graph: Graph, queries: DataFrame, vector: str = "embedding", id_column: str = "vec_id", top: int = 5, beam: int = 96, step: int = 24, entries: int = 32
+    graph: Graph, queries: DataFrame, vector: str = "embedding", id_column: str = "vec_id", top: int = 5, beam: int = 224, step: int = 56, entries: int = 32
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest found of each query; its own id is no answer.
 

@@ -182,6 +182,16 @@ def test_search_recall_and_copies(spark):
     assert got[4200] == [(4201, pytest.approx(1.0))]
 
 
+def test_search_recall_of_vectors_that_are_all_near(spark):
+    """Cosines that differ behind the third digit: one direction with little noise, and groups as large as many lists."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(2, 24))
+    for x in (centres[:1] + 0.05 * rng.normal(size=(1500, 24)), centres[np.arange(1500) % 2] + 0.001 * rng.normal(size=(1500, 24))):
+        rows = [(k, [float(np.float32(c)) for c in v]) for k, v in enumerate(x)]
+        frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(4)
+        assert recall(found(frame), search_truth(rows, range(0, 1500, 50))) >= 0.95
+
+
 def test_search_of_vectors_outside_the_index(spark):
     rng = np.random.default_rng(6)
     rows = [(k, [float(np.float32(x)) for x in rng.normal(size=8)]) for k in range(1, 900) if k % 50]
