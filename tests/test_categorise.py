@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions import phrases
 from foliant.operators import categorise as op
 
 
@@ -105,3 +107,16 @@ def test_embeddings_are_unit_vectors(spark):
     docs = spark.createDataFrame([(1, "graph search"), (2, "graph search"), (3, "cooking pasta")], "id BIGINT, text STRING")
     v = {r.id: np.array(r.embedding) for r in op.embed_text(docs, 64).collect()}
     assert abs(np.linalg.norm(v[1]) - 1) < 1e-5 and np.dot(v[1], v[2]) > 0.999 > np.dot(v[1], v[3])
+
+
+def test_tags_are_picked_from_few_texts_at_a_time(spark):
+    words = [[f"w{i % 7}", "graph", f"v{i % 5}"] for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(words), pa.array(words)], names=["id", "words", "phrases"])
+    parts = list(phrases.picked_phrases(5, 0.5)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= phrases.TEXTS
+    assert [t for p in parts for t in p.column("tags").to_pylist()] == [phrases.pick_phrases(w, w, 5, 0.5) for w in words]
+    rows = spark.createDataFrame([(1, "graph of words")], "id BIGINT, abstract STRING")
+    tags = op.mmr_tags(rows)
+    assert tags.first().tags[0] == "graph words"
+    assert "MapInArrow" in tags._jdf.queryExecution().executedPlan().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= op.TEXT_BYTES
