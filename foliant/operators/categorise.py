@@ -91,14 +91,12 @@ def document_text(papers: DataFrame) -> DataFrame:
 
 
 def embed_text(documents: DataFrame, dim: int = 256, column: str = "text") -> DataFrame:
-    """Unit vectors of texts from hashed and weighted word counts."""
-    stages = [
-        RegexTokenizer(inputCol=column, outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0),
-    ]
-    unit = Pipeline(stages=stages).fit(documents).transform(documents)
+    """Unit vectors of texts from hashed and weighted word counts. The words are split and counted once and stored: weights need all counts first."""
+    words = RegexTokenizer(inputCol=column, outputCol="_words", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
+    hashed = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dim)
+    counts = written(hashed.transform(words.transform(documents)).select(*documents.columns, "_counts"), "word-counts")
+    stages = [IDF(inputCol="_counts", outputCol="_weighted"), Normalizer(inputCol="_weighted", outputCol="_unit", p=2.0)]
+    unit = Pipeline(stages=stages).fit(counts).transform(counts)
     return unit.select(*documents.columns, vector_to_array("_unit", "float32").alias("embedding"))
 
 

@@ -120,3 +120,17 @@ def test_tags_are_picked_from_few_texts_at_a_time(spark):
     assert tags.first().tags[0] == "graph words"
     assert "MapInArrow" in tags._jdf.queryExecution().executedPlan().toString()
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= op.TEXT_BYTES
+
+
+def test_texts_are_split_into_words_once(spark):
+    docs = spark.createDataFrame([(1, "graph of words"), (2, "words")], "id BIGINT, text STRING")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    assert op.embed_text(docs.select("id", counted("text").alias("text")), 16).select("embedding").count() == 2
+    op.embed_text(docs.select("id", counted("text").alias("text")), 16).select("embedding").collect()
+    assert seen.value == 4  # one pass over two rows, twice
