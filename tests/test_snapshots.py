@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import imports, search
+from foliant.operators import index as ix
 from foliant.plans.inputs import books
 from foliant.plans.views import table, view
 from foliant.session import scratch_path
+from foliant.sources import snapshots
 from foliant.sources.snapshots import TABLES, Library
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +61,15 @@ def test_imports_one_after_another(spark, monkeypatch):
     assert search.search(index, search.any_of("that")).count() > search.search(one.index(), search.any_of("that")).count() > 0
     with pytest.raises(RuntimeError):  # a run that started from the first snapshot comes too late
         library.publish(one, {"docs": one.table("docs")})
+
+
+def test_laid_postings_are_copied_without_a_shuffle(spark, monkeypatch):
+    docs = ix.index_columns(view(spark, SF, "indexed_v").where("id < 40"))
+    index = ix.write_index(docs, scratch_path(spark, "index"), 4)
+    monkeypatch.setattr(snapshots, "write_postings", None)  # the way that deals rows out by bucket
+    library = Library(spark, scratch_path(spark, "library"), 4)
+    got = library.publish(library.snapshot(), {"postings": index.postings}, laid=("postings",)).table("postings")
+    names = [c for c in index.postings.columns if c != "positions"]
+    assert got.count() == index.postings.count() > 0
+    assert got.select(*names).exceptAll(index.postings.select(*names)).isEmpty()
+    assert got.where(F.col("bucket") == 2).count() == index.postings.where(F.col("bucket") == 2).count() > 0
