@@ -1,7 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
+from foliant.functions import bm25
 from foliant.functions.stem import stems_of
 from foliant.operators import index as ix
 from foliant.operators import search as op
@@ -154,6 +156,26 @@ def test_many_queries_are_like_one(spark, index, stemmed):
             assert got == {q: hits for q, hits in want.items() if hits}
 
 
+def test_postings_of_many_queries_are_dealt_out_once(spark, index):
+    """Rows that move are postings scored once, not one row for every query that asks for the word."""
+    asked = spark.createDataFrame([(q, "the neural laws") for q in range(40)], "query_id BIGINT, text STRING")
+    found = op.search_many(index, asked, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(query_id" in x and ", id#" in x]
+    assert [x for x in plan.splitlines() if "Exchange hashpartitioning(id#" in x]
+    want = [(r.id, round(r.score, 6)) for r in op.top_hits(op.search(index, op.any_of("the neural laws")), 3).collect()]
+    got = {}
+    for r in sorted(found.collect()):
+        got.setdefault(r.query_id, []).append((r.id, round(r.score, 6)))
+    assert got == dict.fromkeys(range(40), want)
+
+
+def test_counted_scores_are_the_exact_ones(spark):
+    rows = spark.range(20_000).select((F.rand(5) * 40).alias("s"))
+    apart = rows.where((bm25.counted(F.col("s")) / bm25.PARTS) != bm25.exact(F.col("s")).cast("double"))
+    assert apart.isEmpty()
+
+
 def test_globs_by_grams(index):
     assert op.glob_grams("The*ion") == ["^th", "ion", "on$", "the"] and op.glob_grams("a*b") == []
     scan = ix.replace(index, grams=None)
