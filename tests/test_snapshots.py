@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import imports, search
 from foliant.operators import index as ix
+from foliant.plans import imports as plans
 from foliant.plans.inputs import books
 from foliant.plans.views import table, view
 from foliant.session import scratch_path
@@ -73,3 +74,29 @@ def test_laid_postings_are_copied_without_a_shuffle(spark, monkeypatch):
     assert got.count() == index.postings.count() > 0
     assert got.select(*names).exceptAll(index.postings.select(*names)).isEmpty()
     assert got.where(F.col("bucket") == 2).count() == index.postings.where(F.col("bucket") == 2).count() > 0
+
+
+def test_a_written_index_is_taken_in_as_it_lies(spark, monkeypatch):
+    docs = ix.index_columns(view(spark, SF, "indexed_v").where("id < 40"))
+    index = ix.write_index(docs, scratch_path(spark, "index"), 4)
+    monkeypatch.setattr(Library, "_copy", None)  # nothing is copied
+    library = Library(spark, scratch_path(spark, "library"), 4)
+    library.publish(library.snapshot(), {}, index=index)
+    # More documents are indexed beside it, and their words are not shuffled by bucket.
+    monkeypatch.setattr(snapshots, "write_postings", None)
+    more = ix.index_columns(view(spark, SF, "indexed_v").where("id >= 40 AND id < 60"))
+    got = library.publish(library.snapshot(), {}, documents=more).index()
+    want = ix.write_index(ix.index_columns(view(spark, SF, "indexed_v").where("id < 60")), scratch_path(spark, "index"), 4)
+    for name in ("postings", "terms", "docs", "stats"):
+        columns = [c for c in getattr(want, name).columns if c != "positions"]
+        one, two = (sorted(map(repr, getattr(i, name).select(*columns).collect())) for i in (got, want))
+        assert one == two and one, name
+    with pytest.raises(ValueError):
+        library.publish(library.snapshot(), {}, index=ix.delete_documents(index, index.docs.limit(1)))
+
+
+@pytest.mark.parametrize("ids", [[3, 4, 5, 5], [3, 5], []])
+def test_postings_of_ids_with_and_without_gaps(spark, ids):
+    postings = spark.range(10)
+    got = plans._postings_of_ids(postings, spark.createDataFrame([(i,) for i in ids], "id bigint"))
+    assert sorted(r.id for r in got.collect()) == sorted(set(ids))
